@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limner.functions.numbers import round_exact
+from limner.schemas import fields
 
 # File signatures.
 PNG_MAGIC = bytes.fromhex("89504E470D0A1A0A")
@@ -52,7 +54,7 @@ def jpeg_dims(data: bytes) -> tuple[int | None, int | None, str | None]:
     return None, None, "truncated header"
 
 
-@F.pandas_udf("width bigint, height bigint, error string")
+@F.pandas_udf(fields(width=T.LongType(), height=T.LongType(), error=T.StringType()))
 def _jpeg_dims(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for payloads in batches:
         rows = [(None, None, None) if p is None else jpeg_dims(p) for p in payloads]

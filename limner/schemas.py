@@ -7,48 +7,46 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+_LONG, _INT, _DOUBLE, _STRING, _BYTES = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BinaryType()
 
-def ddl(text: str) -> T.StructType:
-    """Schema from a DDL string."""
-    return T.StructType.fromDDL(text)
 
+def fields(**types: T.DataType) -> T.StructType:
+    """Schema from ``name=type`` pairs, in order."""
+    return T.StructType([T.StructField(name, kind) for name, kind in types.items()])
 
-IMAGE_SHARD = ddl("image struct<bytes: binary, path: string>, artist bigint, genre bigint, style bigint")
 
-UNIQUE_INDEX = ddl(
-    "unique_idx bigint, image_hash string, source_shard string, source_row_idx bigint, artist bigint, "
-    "genre bigint, style bigint, width bigint, height bigint, orientation string, aspect_ratio double, "
-    "bytes_size bigint, megapixels double"
+IMAGE_SHARD = fields(image=fields(bytes=_BYTES, path=_STRING), artist=_LONG, genre=_LONG, style=_LONG)
+
+UNIQUE_INDEX = fields(
+    unique_idx=_LONG, image_hash=_STRING, source_shard=_STRING, source_row_idx=_LONG, artist=_LONG, genre=_LONG,
+    style=_LONG, width=_LONG, height=_LONG, orientation=_STRING, aspect_ratio=_DOUBLE, bytes_size=_LONG, megapixels=_DOUBLE,
 )
 
-DUPLICATES = ddl(
-    "image_hash string, duplicate_shard string, duplicate_row_idx bigint, primary_unique_idx bigint, "
-    "artist bigint, genre bigint, style bigint"
+DUPLICATES = fields(
+    image_hash=_STRING, duplicate_shard=_STRING, duplicate_row_idx=_LONG, primary_unique_idx=_LONG,
+    artist=_LONG, genre=_LONG, style=_LONG,
 )
 
-DECODE_ERRORS = ddl("source_shard string, source_row_idx bigint, error string")
+DECODE_ERRORS = fields(source_shard=_STRING, source_row_idx=_LONG, error=_STRING)
 
-STREAM_SAMPLE = ddl(
-    "source_shard string, source_row_idx bigint, image_bytes binary, style int, genre int"
-)
+STREAM_SAMPLE = fields(source_shard=_STRING, source_row_idx=_LONG, image_bytes=_BYTES, style=_INT, genre=_INT)
 
-METRICS_LONG = ddl(
-    "run_id string, target string, model_id string, n_images bigint, top1_accuracy double, top5_accuracy double, "
-    "elapsed_seconds double, images_per_second double, metrics_path string, predictions_path string"
+METRICS_LONG = fields(
+    run_id=_STRING, target=_STRING, model_id=_STRING, n_images=_LONG, top1_accuracy=_DOUBLE, top5_accuracy=_DOUBLE,
+    elapsed_seconds=_DOUBLE, images_per_second=_DOUBLE, metrics_path=_STRING, predictions_path=_STRING,
 )
 
-METRICS_DOCUMENT = ddl(
-    "model string, target string, n_images bigint, top1_accuracy double, top5_accuracy double, "
-    "elapsed_seconds double, images_per_second double, "
-    "per_class map<string, struct<n: bigint, top1_acc: double>>"
+METRICS_DOCUMENT = fields(
+    model=_STRING, target=_STRING, n_images=_LONG, top1_accuracy=_DOUBLE, top5_accuracy=_DOUBLE,
+    elapsed_seconds=_DOUBLE, images_per_second=_DOUBLE, per_class=T.MapType(_STRING, fields(n=_LONG, top1_acc=_DOUBLE)),
 )
 
-DETECTIONS = T.ArrayType(ddl("label string, score double"))
+DETECTIONS = T.ArrayType(fields(label=_STRING, score=_DOUBLE))
 
-GRADE_REPLY = ddl("grade int, explanation string")
+GRADE = fields(grade=_INT, explanation=_STRING)
 
-PREDICTION = ddl(
-    "run_id string, model_id string, image_id string, label string, score double, prediction string, split string"
+PREDICTION = fields(
+    run_id=_STRING, model_id=_STRING, image_id=_STRING, label=_STRING, score=_DOUBLE, prediction=_STRING, split=_STRING
 )
 
 
