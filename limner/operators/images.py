@@ -75,6 +75,36 @@ def _signed32(x: Column) -> Column:
     return F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x)
 
 
+def _dims(width: Column | None = None, height: Column | None = None, error: str | None = None) -> Column:
+    number = lambda x: F.lit(x).cast("bigint") if x is None else x.cast("bigint")
+    return F.struct(number(width).alias("width"), number(height).alias("height"), F.lit(error).cast("string").alias("error"))
+
+
+def _header_dims(head: Column, n: Column) -> Column:
+    """``struct(width, height, error)`` from the first bytes of a PNG, GIF or BMP payload of ``n`` bytes."""
+
+    def starts(*magics: bytes) -> Column:
+        return F.substring(head, 1, len(magics[0])).isin(*[F.lit(m) for m in magics])
+
+    short = _dims(error="truncated header")
+    png = (
+        F.when(n < 24, short)
+        .when(F.substring(head, 13, 4) == F.lit(b"IHDR"), _dims(_big_endian(head, 17, 4), _big_endian(head, 21, 4)))
+        .otherwise(_dims(error="broken png header"))
+    )
+    gif = F.when(n < 10, short).otherwise(_dims(_little_endian(head, 7, 2), _little_endian(head, 9, 2)))
+    bmp = F.when(n < 26, short).otherwise(
+        _dims(_signed32(_little_endian(head, 19, 4)), F.abs(_signed32(_little_endian(head, 23, 4))))
+    )
+    return (
+        F.when(F.coalesce(n, F.lit(0)) == 0, _dims(error="empty payload"))
+        .when(starts(PNG_MAGIC), png)
+        .when(starts(*GIF_MAGICS), gif)
+        .when(starts(BMP_MAGIC), bmp)
+        .otherwise(_dims(error="unknown image format"))
+    )
+
+
 def image_dims(df: DataFrame, payload: str, jpeg: bool = True) -> DataFrame:
     """Add ``width``, ``height`` and ``error`` from the encoded header; pixels stay encoded.
 
@@ -83,50 +113,15 @@ def image_dims(df: DataFrame, payload: str, jpeg: bool = True) -> DataFrame:
     only when ``jpeg`` is on.
     """
     b = F.col(payload)
-    n = F.octet_length(b)
-
-    def starts(*magics: bytes) -> Column:
-        return F.substring(b, 1, len(magics[0])).isin(*[F.lit(m) for m in magics])
-
-    png, gif, bmp = starts(PNG_MAGIC), starts(*GIF_MAGICS), starts(BMP_MAGIC)
-    kind = (
-        F.when(b.isNull() | (n == 0), "empty")
-        .when(png, "png")
-        .when(starts(JPEG_MAGIC), "jpeg")
-        .when(gif, "gif")
-        .when(bmp, "bmp")
-        .otherwise("unknown")
-    )
-    need = F.when(F.col("_kind") == "png", 24).when(F.col("_kind") == "gif", 10).when(F.col("_kind") == "bmp", 26)
-    out = df.withColumn("_kind", kind).withColumn("_whole", n >= need)
-    ready = lambda name: (F.col("_kind") == name) & F.col("_whole")
-    png_ok = ready("png") & (F.substring(b, 13, 4) == F.lit(b"IHDR"))
-    width = (
-        F.when(png_ok, _big_endian(b, 17, 4))
-        .when(ready("gif"), _little_endian(b, 7, 2))
-        .when(ready("bmp"), _signed32(_little_endian(b, 19, 4)))
-    )
-    height = (
-        F.when(png_ok, _big_endian(b, 21, 4))
-        .when(ready("gif"), _little_endian(b, 9, 2))
-        .when(ready("bmp"), F.abs(_signed32(_little_endian(b, 23, 4))))
-    )
-    error = (
-        F.when(F.col("_kind") == "empty", "empty payload")
-        .when(F.col("_kind") == "unknown", "unknown image format")
-        .when(F.col("_whole") == F.lit(False), "truncated header")
-        .when((F.col("_kind") == "png") & ~png_ok, "broken png header")
-    )
+    # Bound once inside the lambda, so that a pushed-down filter does not repeat the payload expression.
+    header = F.struct(F.substring(b, 1, 26).alias("head"), F.octet_length(b).alias("n"))
+    found = F.get(F.transform(F.array(header), lambda h: _header_dims(h["head"], h["n"])), F.lit(0))
+    out = df.withColumn("_dims", found)
     if jpeg:
-        out = out.withColumn("_jpeg", _jpeg_dims(F.when(F.col("_kind") == "jpeg", b)))
-        is_jpeg = F.col("_kind") == "jpeg"
-        width = F.when(is_jpeg, F.col("_jpeg.width")).otherwise(width)
-        height = F.when(is_jpeg, F.col("_jpeg.height")).otherwise(height)
-        error = F.when(is_jpeg, F.col("_jpeg.error")).otherwise(error)
-    else:
-        error = F.when(F.col("_kind") == "jpeg", "unknown image format").otherwise(error)
-    out = out.withColumns({"width": width, "height": height, "error": error})
-    return out.drop("_kind", "_whole", "_jpeg")
+        is_jpeg = F.substring(b, 1, 2) == F.lit(JPEG_MAGIC)
+        out = out.withColumn("_jpeg", _jpeg_dims(F.when(is_jpeg, b)))
+        out = out.withColumn("_dims", F.when(is_jpeg, F.col("_jpeg")).otherwise(F.col("_dims"))).drop("_jpeg")
+    return out.withColumns({c: F.col(f"_dims.{c}") for c in ("width", "height", "error")}).drop("_dims")
 
 
 def orientation(width: Column, height: Column) -> Column:

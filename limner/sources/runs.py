@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limner.schemas import METRICS_DOCUMENT, METRICS_LONG
-from limner.sources.tables import path_exists
 
 
 def _matching(spark: SparkSession, root: str, patterns: Sequence[str]) -> list[str]:
@@ -25,20 +25,29 @@ def _matching(spark: SparkSession, root: str, patterns: Sequence[str]) -> list[s
 def read_runs(
     spark: SparkSession, root: str, run_globs: Sequence[str], file: str = "summary/metrics_long.csv"
 ) -> list[DataFrame]:
-    """One frame per matching run folder that holds a metrics table.
+    """Metric tables of all run folders that match, one frame per distinct header.
 
-    A folder matched by several patterns counts once. Columns are read by their
-    header; ``run_id`` falls back to the folder name. Empty tables are left out.
+    A folder matched by several patterns counts once; folders without the file
+    and tables without rows add nothing. ``run_id`` falls back to the folder name.
+    ``file`` is looked up below each folder and may be a pattern.
     """
+    files = _matching(spark, root, [f"{glob.rstrip('/')}/{file}" for glob in run_globs])
+    if not files:
+        return []
+    depth = file.count("/") + 1
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -1 - depth)
+    # Metric tables are short: a row per target and model. The headers decide how to read them.
+    header = F.regexp_replace(F.substring_index("value", "\n", 1), "\\s+$", "")
+    heads = spark.read.option("wholetext", True).text(files).select(header.alias("header"), F.col("_metadata.file_path").alias("path"))
+    groups: dict[str, list[str]] = {}
+    for r in heads.filter("header <> ''").collect():
+        groups.setdefault(r["header"], []).append(r["path"])
     frames = []
-    for folder in _matching(spark, root, run_globs):
-        if not path_exists(spark, f"{folder}/{file}"):
-            continue
-        df = spark.read.option("header", True).csv(f"{folder}/{file}")
-        if not df.columns or df.isEmpty():
-            continue
-        name = folder.rstrip("/").rsplit("/", 1)[-1]
-        frames.append(df if "run_id" in df.columns else df.withColumn("run_id", F.lit(name)))
+    for head in sorted(groups):
+        cols = [c.strip().strip('"') for c in head.split(",")]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+        df = spark.read.schema(schema).option("header", True).csv(groups[head])
+        frames.append(df if "run_id" in cols else df.withColumn("run_id", folder))
     return frames
 
 

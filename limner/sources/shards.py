@@ -47,19 +47,27 @@ def dataset_footprint(spark: SparkSession, root: str, glob: str = "*.parquet") -
     return out
 
 
+MAX_LISTED_FILES = 100_000
+
+
 def bad_shards(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
-    """``path, length, error`` of files that gave no row although they are not readable as empty.
+    """``path, length, error`` of files that cannot be read as parquet.
 
-    A file without rows is told from a broken one by its footer: parquet files
-    end with the four bytes ``PAR1``.
+    The listing is compared with the files that gave rows. Only files that gave
+    none are opened, to tell an empty table (its file ends with ``PAR1``) from a
+    broken one.
     """
     readable = read_shards(spark, root, schema, [], tolerant=True, glob=glob).select("source_shard").distinct()
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    )
+    files = list_files(spark, root, glob)
     silent = files.join(readable, files["path"] == readable["source_shard"], "left_anti")
-    tail = F.substring("content", -4, 4)
-    return silent.filter(tail != F.lit(b"PAR1")).select("path", "length", F.lit("not a parquet file").alias("error"))
+    paths = [r["path"] for r in silent.select("path").limit(MAX_LISTED_FILES + 1).collect()]
+    if len(paths) > MAX_LISTED_FILES:
+        raise ValueError(f"more than {MAX_LISTED_FILES} files without rows below {root}")
+    if not paths:
+        return silent.withColumn("error", F.lit("not a parquet file")).limit(0)
+    opened = spark.read.format("binaryFile").load(paths)
+    broken = opened.filter((F.col("length") < 8) | (F.substring("content", -4, 4) != F.lit(b"PAR1")))
+    return broken.select("path", "length", F.lit("not a parquet file").alias("error"))
 
 
 def shard_row_counts(rows: DataFrame) -> DataFrame:
