@@ -46,14 +46,15 @@ def batch_encode(df: DataFrame, col: str, make_encoder: Callable[[], Encoder], d
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for values in batches:
-            present = values.notna()
-            result = pd.Series([None] * len(values), index=values.index, dtype=object)
-            if present.any():
-                vectors = np.asarray(encoder(values[present].tolist()), dtype=np.float32)
+            result: list[np.ndarray | None] = [None] * len(values)
+            present = np.flatnonzero(values.notna())
+            if len(present):
+                vectors = np.asarray(encoder([values.iloc[i] for i in present]), dtype=np.float32)
                 if vectors.shape[1] != dim:
                     raise ValueError(f"the encoder returned {vectors.shape[1]} values, expected {dim}")
-                result[present] = list(vectors)
-            yield result
+                for i, vector in zip(present, vectors):
+                    result[i] = vector
+            yield pd.Series(result, index=values.index, dtype=object)
 
     return df.withColumn(out, encode(F.col(col)))
 

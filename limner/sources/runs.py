@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from limner.schemas import METRICS_DOCUMENT, METRICS_LONG
 
 
+MAX_HEADERS = 100
+
+
 def _matching(spark: SparkSession, root: str, patterns: Sequence[str]) -> list[str]:
     """Existing paths that match any of the patterns, each once."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -38,10 +41,13 @@ def read_runs(
     folder = F.element_at(F.split("_metadata.file_path", "/"), -1 - depth)
     # Metric tables are short: a row per target and model. The headers decide how to read them.
     header = F.regexp_replace(F.substring_index("value", "\n", 1), "\\s+$", "")
-    heads = spark.read.option("wholetext", True).text(files).select(header.alias("header"), F.col("_metadata.file_path").alias("path"))
+    texts = spark.read.text(files, wholetext=True)
+    heads = texts.select(header.alias("header"), F.col("_metadata.file_path").alias("path"))
     groups: dict[str, list[str]] = {}
     for r in heads.filter("header <> ''").collect():
         groups.setdefault(r["header"], []).append(r["path"])
+    if len(groups) > MAX_HEADERS:
+        raise ValueError(f"{len(groups)} different headers among the metric tables")
     frames = []
     for head in sorted(groups):
         cols = [c.strip().strip('"') for c in head.split(",")]
