@@ -116,12 +116,12 @@ def image_header_dims(spark: SparkSession, sf: str) -> DataFrame:
     return I.image_dims(B.png(spark, sf), "payload", jpeg=False).select("source_shard", "source_row_idx", "width", "height", "error")
 
 
-@query()
+@query(having(B.GEOM, then="SELECT source_row_idx, width, height, CAST(NULL AS VARCHAR) AS error FROM geom"))
 def jpeg_header_dims(spark: SparkSession, sf: str) -> DataFrame:
     size = F.concat(*[F.lpad(F.hex(c), 4, "0") for c in ("height", "width")])
     jpeg = F.unhex(F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFC0001108"), size, F.lit("03")))
-    rows = B.geom(spark, sf).select("source_row_idx", F.col("width").alias("w"), F.col("height").alias("h"), jpeg.alias("payload"))
-    return I.image_dims(rows, "payload").select("source_row_idx", "w", "h", "width", "height", "error")
+    rows = B.geom(spark, sf).select("source_row_idx", jpeg.alias("payload"))
+    return I.image_dims(rows, "payload").select("source_row_idx", "width", "height", "error")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from limner.catalog import bindings as B
 from limner.catalog.registry import having, query
 from limner.functions import vectors as V
+from limner.functions.numbers import fixed
 from limner.functions.labels import CAPTION_TEMPLATE, STYLE_TEMPLATES
 from limner.operators import encoding as E
 from limner.operators import indexing as X
@@ -15,7 +16,7 @@ from limner.operators import linear_map as L
 from limner.operators import metrics as M
 from limner.operators import scoring as S
 from limner.operators import splits as P
-from limner.plans.staging import scratch_path
+from limner.plans.staging import scratch_path, stage
 from limner.sinks.tables import write_predictions, write_splits
 
 # Splits
@@ -78,7 +79,7 @@ def _map_sql(col: str) -> str:
     )
 )
 def split_data_card(spark: SparkSession, sf: str) -> DataFrame:
-    card = P.data_card(_splits(spark, sf))
+    card = P.data_card(stage(_splits(spark, sf), "splits"))
     pair = lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))
     text = lambda c: F.array_join(F.transform(F.map_entries(c), pair), ",").alias(c)
     maps = ["orientation_counts", "style_counts", "genre_counts"]
@@ -303,7 +304,7 @@ def classifier_head_logits(spark: SparkSession, sf: str) -> DataFrame:
     items, bank = _weights(spark, sf)
     bias = [c / 10 for c in bank.class_ids]
     v = V.as_double(F.col("embedding"))
-    out = items.withColumn("logits", V.head_logits(v, V.matrix(bank.vectors), F.lit(bias)))
+    out = items.withColumn("logits", V.head_logits(v, V.constant(bank.vectors), V.constant(bias)))
     return B.rounded(S.scores_to_rows(out, ["vec_id"], bank.class_ids, "logits").select("vec_id", F.col("class_id").alias("out_dim"), F.col("score").alias("logit")))
 
 
@@ -341,10 +342,16 @@ def flat_scores_to_classes(spark: SparkSession, sf: str) -> DataFrame:
     return B.rounded(rows.select("vec_id", F.col("class_at").cast("bigint").alias("class_at"), "best"))
 
 
-@query()
+@query(
+    having(
+        B.VEC, B.SCORES,
+        then="SELECT 'run_1' AS run_id, 'prototype' AS model_id, CAST(vec_id AS VARCHAR) AS image_id, 'class_' || class_id AS label, "
+        "round(score, 9) AS score, 'class_' || pred_label AS prediction, 'test' AS split FROM scores JOIN preds USING (vec_id)",
+    )
+)
 def standard_prediction_rows(spark: SparkSession, sf: str) -> DataFrame:
     df, _bank = B.scored(spark, sf)
-    return E.prediction_rows(df, "run_1", "prototype", F.col("vec_id"), CLASS_NAMES, "class_scores", F.lit("test"))
+    return B.rounded(E.prediction_rows(df, "run_1", "prototype", F.col("vec_id"), CLASS_NAMES, "class_scores", F.lit("test")))
 
 
 # Metrics
@@ -389,11 +396,20 @@ def per_class_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return B.rounded(M.per_class_accuracy(B.predicted(spark, sf)[0], names))
 
 
-@query()
+@query(
+    having(
+        B.VEC, B.SCORES,
+        "c AS (SELECT true_label, count(*) AS n, avg((pred_label = true_label)::INTEGER) AS acc FROM preds GROUP BY 1)",
+        then="SELECT count(*) AS n_images, CAST(printf('%.4f', avg((pred_label = true_label)::INTEGER)) AS DOUBLE) AS top1_accuracy, "
+        "CAST(printf('%.4f', avg((true_rank <= 5)::INTEGER)) AS DOUBLE) AS top5_accuracy, "
+        "(SELECT string_agg('class_' || true_label || '=' || n || '/' || printf('%.4f', acc), ',' ORDER BY true_label) FROM c) AS per_class FROM preds",
+    )
+)
 def metrics_document(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame(list(enumerate(CLASS_NAMES)), "class_id int, name string")
     record = M.metrics_record(B.predicted(spark, sf)[0], names)
-    return record.withColumn("per_class", F.to_json("per_class"))
+    one = lambda e: F.concat(e["key"], F.lit("="), e["value"]["n"].cast("string"), F.lit("/"), fixed(e["value"]["top1_acc"], 4))
+    return record.withColumn("per_class", F.array_join(F.transform(F.map_entries("per_class"), one), ","))
 
 
 @query(

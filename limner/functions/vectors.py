@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -106,6 +107,15 @@ def best_positions(scores: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["i"])
 
 
-def matrix(rows: Sequence[Sequence[float]]) -> Column:
-    """A constant matrix as an array of rows."""
-    return F.lit([[float(x) for x in row] for row in rows])
+def _plain(x):
+    x = x.tolist() if hasattr(x, "tolist") else x
+    return [_plain(e) for e in x] if isinstance(x, (list, tuple)) else float(x)
+
+
+def constant(values: Sequence) -> Column:
+    """A constant vector, matrix or stack of matrices as one folded literal."""
+    plain = _plain(values)
+    depth, inner = 0, plain
+    while isinstance(inner, list):
+        inner, depth = (inner[0] if inner else 0.0), depth + 1
+    return F.from_json(F.lit(json.dumps(plain)), "array<" * depth + "double" + ">" * depth)

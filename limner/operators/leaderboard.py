@@ -106,12 +106,11 @@ def best_per_target(df: DataFrame) -> DataFrame:
 
 def best_columns_per_target(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """First non-NULL value of each column per target, best row first; columns may come from different rows."""
-    out = df.select("target").distinct()
     rank = [F.col("top1_accuracy").isNull(), -F.col("top1_accuracy"), F.col("top5_accuracy").isNull(),
             -F.col("top5_accuracy"), F.col("run_id"), F.col("model_id")]
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(rank)])
     picks = [F.min_by(c, F.when(F.col(c).isNotNull(), key)).alias(c) for c in cols]
-    return out.join(df.groupBy("target").agg(*picks), "target")
+    return df.groupBy("target").agg(*picks)
 
 
 def dedupe_runs(df: DataFrame) -> DataFrame:

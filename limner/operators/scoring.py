@@ -140,10 +140,9 @@ def score_classes(
     v = V.as_double(F.col(vector))
     v = V.l2_normalize(v) if cosine else v
     ends = [*bank.starts[1:], len(rows)]
-    best = [
-        F.array_max(V.project(F.col("_v"), V.matrix(rows[a:b]))) for a, b in zip(bank.starts, ends)
-    ]
-    return items.withColumn("_v", v).withColumn(out, F.array(*best)).drop("_v")
+    stacked = V.constant([rows[a:b] for a, b in zip(bank.starts, ends)])
+    best = F.transform(stacked, lambda prompts: F.array_max(V.project(F.col("_v"), prompts)))
+    return items.withColumn("_v", v).withColumn(out, best).drop("_v")
 
 
 def score_long(

@@ -15,47 +15,38 @@ from limner.plans.ordering import hash_cuts, hash_histogram, hash_order, running
 SPLITS = ("train", "val", "test")
 
 
-def class_quotas(counts: DataFrame, class_col: str, draws: int) -> DataFrame:
-    """Largest-remainder share of ``draws`` per class: ``class, n, quota``; ties go to the lower class."""
-    total = counts.agg(F.sum("n")).first()[0]
-    exact = F.col("n").cast("double") / F.lit(float(total)) * F.lit(float(draws))
-    shares = counts.select(class_col, "n", F.floor(exact).alias("_floor"), (exact - F.floor(exact)).alias("_rest"))
-    spare = draws - (shares.agg(F.sum("_floor")).first()[0] or 0)
+def class_quotas(counts: DataFrame, class_col: str, n: str, draws: int, total: int, out: str) -> DataFrame:
+    """Add ``out``: the largest-remainder share of ``draws`` per class; ties go to the lower class.
+
+    ``counts`` has one row per class and ``total`` is the sum of ``n``.
+    """
+    exact = F.col(n).cast("double") / F.lit(float(total)) * F.lit(float(draws))
+    shares = counts.withColumn("_floor", F.floor(exact)).withColumn("_rest", exact - F.col("_floor"))
     order = [F.desc("_rest"), F.col(class_col)]
     small = if_small(shares)
     if small is not None:
-        ranked = small.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+        every = Window.partitionBy(F.lit(0))
+        ranked = small.withColumn("_rank", F.row_number().over(every.orderBy(*order))).withColumn(
+            "_floors", F.sum("_floor").over(every)
+        )
     else:
-        ranked = running_totals(shares, order, {"_rank": F.lit(1)})
-    quota = F.col("_floor") + (F.col("_rank") <= spare).cast("bigint")
-    return ranked.select(class_col, "n", quota.alias("quota"))
+        ranked = running_totals(shares, order, {"_rank": F.lit(1), "_floors": "_floor"}).withColumn("_floors", F.col("_floors_all"))
+    quota = F.col("_floor") + (F.col("_rank") <= draws - F.col("_floors")).cast("bigint")
+    return ranked.select(*counts.columns, quota.alias(out))
 
 
-def _draw(df: DataFrame, id_col: str, class_col: str, fraction: float, flag: str) -> DataFrame:
-    """Mark ``ceil(fraction * N)`` rows in hash order, per class unless a class has a single row."""
-    hist = hash_histogram(df, "_hash", [class_col])
-    counts = hist.groupBy(class_col).agg(F.sum("_n").alias("n"))
-    sizes = counts.agg(F.sum("n").alias("n"), F.min("n").alias("smallest")).first()
-    if not sizes["n"]:
-        return df.withColumn(flag, F.lit(False))
-    draws = math.ceil(fraction * sizes["n"])
-    if sizes["smallest"] >= 2:
-        by = [class_col]
-        cuts = class_quotas(counts, class_col, draws).filter("quota > 0")
-        cuts = cuts.select(class_col, F.lit("draw").alias("cut"), F.col("quota").alias("rank"))
-    else:
-        by = []
-        cuts = df.sparkSession.createDataFrame([("draw", draws)], "cut string, rank bigint")
-        hist = hist.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
-    bounds = hash_cuts(df, "_hash", id_col, cuts, by, hist).select(
-        *by, F.struct(F.col("_hash").alias("h"), F.col(id_col).alias("i")).alias("_bound")
-    )
-    here = F.struct(F.col("_hash").alias("h"), F.col(id_col).alias("i"))
-    if by:
-        joined = lookup_join(df, bounds, by, F.col(id_col), "left")
-    else:
-        joined = df.withColumn("_bound", bounds.select("_bound").scalar())
-    return joined.withColumn(flag, F.coalesce(here <= F.col("_bound"), F.lit(False))).drop("_bound")
+def _key(id_col: str) -> Column:
+    return F.struct(F.col("_hash").alias("h"), F.col(id_col).alias("i"))
+
+
+def _bounds(df: DataFrame, id_col: str, cuts: DataFrame, names: Sequence[str], by: list[str], hist: DataFrame) -> DataFrame:
+    """One row per class with the sort key at each named cut."""
+    found = hash_cuts(df, "_hash", id_col, cuts, by, hist)
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("cut") == n, _key(id_col))).alias(f"_{n}") for n in names])
+
+
+def _draw_count(fraction: float, n: int) -> int:
+    return math.ceil(fraction * n)
 
 
 def stratified_split(
@@ -64,17 +55,76 @@ def stratified_split(
     """Add ``split``: test is drawn first, then validation from the rest, the remainder is train.
 
     Inside a class the rows are ordered by an md5 of id and seed, so the split is
-    the same at any layout. No class is ever sorted as a whole.
+    the same at any layout. Rows are counted per class and hash bucket; the sort
+    keys at which a class turns from test to validation to train are looked up,
+    and assigning the split is a comparison. No class is ever sorted as a whole.
+    A draw is not stratified when some class has a single row left.
     """
     if val_frac + test_frac >= 1:
         raise ValueError("val_frac + test_frac must be less than 1")
+    rest_frac = val_frac / (1.0 - test_frac)
     keyed = df.withColumn("_hash", hash_order([id_col], seed))
-    tested = _draw(keyed, id_col, class_col, test_frac, "_test")
-    rest = tested.filter(~F.col("_test"))
-    drawn = _draw(rest, id_col, class_col, val_frac / (1.0 - test_frac), "_val")
-    split = F.when(F.col("_val"), "val").otherwise("train")
-    parts = drawn.withColumn("split", split).drop("_val")
-    return parts.unionByName(tested.filter("_test").withColumn("split", F.lit("test"))).drop("_hash", "_test")
+    hist = hash_histogram(keyed, "_hash", [class_col])
+    counts = hist.groupBy(class_col).agg(F.sum("_n").alias("_n"))
+    sizes = counts.agg(F.sum("_n").alias("n"), F.min("_n").alias("smallest")).first()
+    if not sizes["n"]:
+        return df.withColumn("split", F.lit(None).cast("string"))
+    n_test = _draw_count(test_frac, sizes["n"])
+    if sizes["smallest"] >= 2:
+        quotas = class_quotas(counts, class_col, "_n", n_test, sizes["n"], "_q_test")
+        quotas = quotas.withColumn("_left", F.col("_n") - F.col("_q_test"))
+        single = quotas.agg(F.count_if(F.col("_left") == 1)).first()[0]
+        if not single:
+            n_left = sizes["n"] - n_test
+            return _split_both(keyed, id_col, class_col, quotas, _draw_count(rest_frac, n_left), n_left, hist)
+    return _split_in_turn(keyed, id_col, class_col, test_frac, rest_frac)
+
+
+def _split_both(
+    keyed: DataFrame, id_col: str, class_col: str, quotas: DataFrame, n_val: int, n_left: int, hist: DataFrame
+) -> DataFrame:
+    """Both draws stratified: the validation rows of a class follow its test rows in the same order."""
+    quotas = class_quotas(quotas, class_col, "_left", n_val, n_left, "_q_val")
+    ends = {"test": F.col("_q_test"), "val": F.col("_q_test") + F.col("_q_val")}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), e.alias("rank")) for c, e in ends.items()]))
+    cuts = quotas.select(class_col, each.alias("_cut")).select(class_col, "_cut.cut", "_cut.rank").filter("rank > 0")
+    bounds = _bounds(keyed, id_col, cuts, list(ends), [class_col], hist)
+    joined = lookup_join(keyed, bounds, [class_col], F.col(id_col), "left")
+    key = _key(id_col)
+    split = F.when(key <= F.col("_test"), "test").when(key <= F.col("_val"), "val").otherwise("train")
+    return joined.withColumn("split", split).drop("_hash", "_test", "_val")
+
+
+def _split_in_turn(keyed: DataFrame, id_col: str, class_col: str, test_frac: float, rest_frac: float) -> DataFrame:
+    """One draw after the other; each decides for itself whether it can be stratified."""
+    tested = _draw(keyed, id_col, class_col, test_frac, "test")
+    rest = _draw(tested.filter(~F.col("test")), id_col, class_col, rest_frac, "val")
+    split = F.when(F.col("val"), "val").otherwise("train")
+    parts = rest.withColumn("split", split).drop("val")
+    return parts.unionByName(tested.filter("test").withColumn("split", F.lit("test"))).drop("_hash", "test")
+
+
+def _draw(df: DataFrame, id_col: str, class_col: str, fraction: float, flag: str) -> DataFrame:
+    hist = hash_histogram(df, "_hash", [class_col])
+    counts = hist.groupBy(class_col).agg(F.sum("_n").alias("_n"))
+    sizes = counts.agg(F.sum("_n").alias("n"), F.min("_n").alias("smallest")).first()
+    if not sizes["n"]:
+        return df.withColumn(flag, F.lit(False))
+    draws = _draw_count(fraction, sizes["n"])
+    if sizes["smallest"] >= 2:
+        by = [class_col]
+        quotas = class_quotas(counts, class_col, "_n", draws, sizes["n"], "_q").filter("_q > 0")
+        cuts = quotas.select(class_col, F.lit(flag).alias("cut"), F.col("_q").alias("rank"))
+    else:
+        by = []
+        cuts = df.sparkSession.createDataFrame([(flag, draws)], "cut string, rank bigint")
+        hist = hist.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    bounds = _bounds(df, id_col, cuts, [flag], by, hist)
+    if by:
+        joined = lookup_join(df, bounds, by, F.col(id_col), "left")
+    else:
+        joined = df.withColumn(f"_{flag}", bounds.scalar())
+    return joined.withColumn(flag, F.coalesce(_key(id_col) <= F.col(f"_{flag}"), F.lit(False))).drop(f"_{flag}")
 
 
 def split_distribution(df: DataFrame, class_col: str, split: str = "split") -> DataFrame:
@@ -98,8 +148,8 @@ def data_card(
     wanted = list(dict.fromkeys([*dims, *maps]))
     cells = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in wanted])
     counted = (
-        df.select(split, F.explode(cells).alias("c"))
-        .groupBy(split, "c.dim", "c.key")
+        df.select(split, F.explode(cells).alias("_cell"))
+        .groupBy(split, "_cell.dim", "_cell.key")
         .agg(F.count("*").alias("n"))
     )
     is_dim = lambda d: (F.col("dim") == d) & F.col("key").isNotNull()

@@ -117,8 +117,8 @@ def exact_quantiles(
         *by,
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])
-        ).alias("m"),
-    ).select(*by, "m.metric", "m.value")
+        ).alias("_cell"),
+    ).select(*by, "_cell.metric", "_cell.value")
     counted = melted.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value").agg(F.count("*").alias("n"))
     keys = [*by, "metric"]
     ranked = running_totals(counted, ["value"], {"upto": "n"}, by=keys)
