@@ -13,6 +13,7 @@ from limner.operators import dedupe as D
 from limner.operators import images as I
 from limner.operators import indexing as X
 from limner.operators import profile as P
+from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
 from limner.plans.profile_job import DIMS, profile_document
 from limner.plans.staging import scratch_path
@@ -223,6 +224,66 @@ def repeated_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return D.repeated_hashes(_hash_counts(spark, sf))
 
 
+TINY = """tiny AS (SELECT source_shard, source_row_idx, artist, CAST(left(genre, 1) AS BIGINT) AS genre, style, 1 + artist % 40 AS width,
+  1 + bytes_size % 50 AS height, source_row_idx % 97 = 0 AS cut FROM geom),
+bytes_of AS (SELECT *, CASE WHEN cut THEN left(hex, 40) ELSE hex END AS payload FROM (SELECT *,
+  '89504E470D0A1A0A0000000D49484452' || printf('%08X', width) || printf('%08X', height) AS hex FROM tiny)),
+good AS (SELECT *, md5(from_hex(payload)) AS image_hash FROM bytes_of WHERE NOT cut),
+placed AS (SELECT *, row_number() OVER (PARTITION BY image_hash ORDER BY source_shard, source_row_idx) AS rn FROM good),
+uniq AS (SELECT *, row_number() OVER (ORDER BY source_shard, source_row_idx) - 1 AS unique_idx FROM placed WHERE rn = 1)"""
+
+
+def _image_index(spark: SparkSession, sf: str) -> ImageIndex:
+    """Small PNG headers, so that many payloads repeat."""
+    w, h = 1 + F.col("artist") % 40, 1 + F.col("bytes_size") % 50
+    whole = B.png_payload(w, h)
+    payload = F.when(F.col("source_row_idx") % 97 == 0, F.substring(whole, 1, 20)).otherwise(whole)
+    genre = F.substring("genre", 1, 1).cast("bigint").alias("genre")
+    rows = B.geom(spark, sf).select(*ORDER, "artist", genre, "style", payload.alias("image_bytes"))
+    return build_image_index(rows, jpeg=False)
+
+
+@query(
+    having(
+        B.GEOM, TINY,
+        then="SELECT unique_idx, image_hash, source_shard, source_row_idx, artist, genre, style, width, height, "
+        "CASE WHEN width = height THEN 'square' WHEN width > height THEN 'landscape' ELSE 'portrait' END AS orientation, "
+        "CAST(printf('%.6f', width / height) AS DOUBLE) AS aspect_ratio, 24::BIGINT AS bytes_size, "
+        "CAST(printf('%.6f', width * height / 1e6) AS DOUBLE) AS megapixels FROM uniq",
+    )
+)
+def image_index_unique(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_index(spark, sf).unique
+
+
+@query(
+    having(
+        B.GEOM, TINY,
+        then="SELECT p.image_hash, p.source_shard AS duplicate_shard, p.source_row_idx AS duplicate_row_idx, u.unique_idx AS primary_unique_idx, "
+        "p.artist, p.genre, p.style FROM placed p JOIN uniq u USING (image_hash) WHERE p.rn > 1",
+    )
+)
+def image_index_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_index(spark, sf).duplicates
+
+
+@query(having(B.GEOM, TINY, then="SELECT source_shard, source_row_idx, 'truncated header' AS error FROM bytes_of WHERE cut"))
+def image_index_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return _image_index(spark, sf).errors
+
+
+@query(
+    having(
+        B.GEOM, TINY,
+        then="SELECT (SELECT count(*) FROM tiny) AS total_rows, (SELECT count(*) FROM uniq) AS unique_rows, "
+        "(SELECT count(*) FROM placed WHERE rn > 1) AS duplicate_rows, (SELECT count(*) FROM tiny WHERE cut) AS quarantined_rows, "
+        "round((SELECT count(*) FROM placed WHERE rn > 1) / (SELECT count(*) FROM tiny), 9) AS duplicate_rate",
+    )
+)
+def image_index_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return B.rounded(_image_index(spark, sf).summary)
+
+
 # Joins on the row locator
 
 INDEXED = "idx AS (SELECT doc_id * 2 AS source_row_idx, quality FROM labels)"

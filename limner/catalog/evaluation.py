@@ -16,6 +16,8 @@ from limner.operators import linear_map as L
 from limner.operators import metrics as M
 from limner.operators import scoring as S
 from limner.operators import splits as P
+from limner.plans.evaluation_job import evaluate_linear_map, evaluate_prompts
+from limner.plans.joins import lookup_join
 from limner.plans.staging import scratch_path, stage
 from limner.sinks.tables import write_predictions, write_splits
 
@@ -231,7 +233,7 @@ def prompt_owner_lookup(spark: SparkSession, sf: str) -> DataFrame:
     each = S.load_bank(prompts.select("prompt_id", "template_id", "vector"), class_col="prompt_id")
     long = S.scores_to_rows(S.score_classes(items, each, "embedding"), ["vec_id"], each.class_ids)
     owners = prompts.select(F.col("prompt_id").alias("class_id"), F.col("class_id").alias("owner_id"), "template_id")
-    joined = long.join(F.broadcast(owners), "class_id")  # three rows per label
+    joined = lookup_join(long, owners, ["class_id"], F.col("vec_id"))
     owner = F.concat(F.lit("class_"), "owner_id")
     return B.rounded(
         joined.select("vec_id", F.col("owner_id").alias("class_id"), F.col("template_id").cast("bigint"), owner.alias("owner"), "score")
@@ -587,6 +589,26 @@ def ridge_fold_sums(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    having(
+        B.VEC, B.SCORES,
+        then="SELECT vec_id, true_label, pred_label, true_rank FROM preds",
+    )
+)
+def prompt_evaluation_beyond_broadcast(spark: SparkSession, sf: str) -> DataFrame:
+    items, rows = B.items_and_bank(spark, sf)
+    done = evaluate_prompts(items, rows, ["vec_id"], "embedding", "label", max_bank_bytes=1)
+    return done.select("vec_id", "true_label", "pred_label", "true_rank")
+
+
+@query()
+def linear_map_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    halves = B.pairs(spark, sf).join(B.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    fitted = L.fit_linear_map(halves, "x", "y", ["vec_id"])
+    rows = B.bank_rows(spark, sf).withColumn("vector", F.slice("vector", 33, 32))
+    return M.evaluate(evaluate_linear_map(halves, fitted.weights, rows, ["vec_id"], "x", "label"))
+
+
 @query()
 def encoded_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = B.table(spark, sf, "documents").select("doc_id", "text")

@@ -83,7 +83,7 @@ def streamed_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 def _scored_stream(spark: SparkSession, sf: str, then, mode: str) -> DataFrame:
     rows = B.bank_rows(spark, sf)
     bank = B.bank_of(rows)
-    prompts = F.broadcast(rows.select(F.col("bank_id").alias("vec_id")))  # three rows per label
+    prompts = rows.select(F.col("bank_id").alias("vec_id"))
     items = I.stream_shards(spark, sf, VECTOR_SHARD, "embeddings.parquet").join(prompts, "vec_id", "left_anti")
     return S.drain(then(S.stream_score(items, bank, "embedding", "label")), "scores", mode)
 

@@ -12,9 +12,24 @@ from limner.plans.joins import if_small
 from limner.plans.ordering import dense_index, hash_cuts, hash_histogram, hash_order
 
 
+TOP_ROWS = 1_000
+
+
 def cap_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows in ``order``; 0 keeps all."""
-    return df if n <= 0 else df.orderBy(*order).limit(n)
+    """The first ``n`` rows in ``order`` (unique); 0 keeps all.
+
+    A short list is a top-k. For a longer one the key of the last row is looked
+    up and the rows are filtered by it, so that no task has to hold ``n`` rows
+    of every other task.
+    """
+    if n <= 0:
+        return df
+    if n <= TOP_ROWS:
+        return df.orderBy(*order).limit(n)
+    last = dense_index(df.select(*order), order, "_idx").filter(F.col("_idx") == n - 1).first()
+    if last is None:  # fewer than n rows
+        return df
+    return df.filter(F.struct(*[F.col(c) for c in order]) <= F.struct(*[F.lit(last[c]).alias(c) for c in order]))
 
 
 def fold_starts(n: int, k: int) -> list[int]:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,30 +265,20 @@ def detect(df: DataFrame, labels: Sequence[str], threshold: float, scores: str =
     Scores are emitted at 4 decimals and ordered by that value, then by vocabulary order.
     """
     names = F.lit(list(labels))
-    hits = F.filter(
-        F.transform(scores, lambda s, i: F.struct(F.get(names, i).alias("label"), s.alias("raw"), i.alias("pos"))),
-        lambda d: d["raw"] >= threshold,
-    )
-    return df.withColumn("detections", _ordered(hits))
-
-
-def _ordered(hits: Column) -> Column:
-    keyed = F.transform(
-        hits,
-        lambda d: F.struct((-round_exact(d["raw"], 4)).alias("neg"), d["pos"].alias("pos"), d["label"].alias("label")),
-    )
-    return F.transform(
-        F.array_sort(keyed), lambda d: F.struct(d["label"].alias("label"), (-d["neg"]).alias("score"))
+    scored = F.transform(scores, lambda s, i: F.struct(s.alias("raw"), i.alias("pos"), F.get(names, i).alias("label")))
+    kept = F.filter(scored, lambda d: d["raw"] >= threshold)
+    ranked = F.array_sort(F.transform(kept, lambda d: F.struct((-round_exact(d["raw"], 4)).alias("neg"), d["pos"], d["label"])))
+    return df.withColumn(
+        "detections", F.transform(ranked, lambda d: F.struct(d["label"].alias("label"), (-d["neg"]).alias("score")))
     )
 
 
 def detect_rows(scores: DataFrame, keys: Sequence[str], labels: Sequence[str], threshold: float) -> DataFrame:
-    """``keys, detections`` from ``keys, label, score`` rows with one row per label.
+    """``keys, detections`` from ``keys, label, score`` rows.
 
-    The labels are a fixed vocabulary, so no group exceeds its length.
+    A label counts once, with its best score, so an item with any number of rows
+    still ends in one value per label of the vocabulary.
     """
-    names = F.lit(list(labels))
-    pos = (F.array_position(names, F.col("label")) - 1).cast("int")
-    hit = F.struct(F.col("label"), F.col("score").cast("double").alias("raw"), pos.alias("pos"))
-    kept = F.when((F.col("score") >= threshold) & (pos >= 0), hit)
-    return scores.groupBy(*keys).agg(F.collect_list(kept).alias("_hits")).select(*keys, _ordered(F.col("_hits")).alias("detections"))
+    best = [F.max(F.when(F.col("label") == x, F.col("score").cast("double"))) for x in labels]
+    wide = scores.groupBy(*keys).agg(F.array(*best).alias("_scores"))
+    return detect(wide, labels, threshold, "_scores").drop("_scores")
