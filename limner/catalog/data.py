@@ -16,7 +16,7 @@ from limner.operators import profile as P
 from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
 from limner.plans.profile_job import DIMS, profile_document
-from limner.plans.staging import scratch_path
+from limner.plans.staging import scratch_path, stage
 from limner.sinks.documents import highlights
 from limner.sinks.tables import config_hash, pending_work, read_manifest, write_csv, write_manifest
 from limner.sources import shards as S
@@ -141,14 +141,16 @@ def geometry_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(having(B.GEOM, B.PNG, then="SELECT source_shard, source_row_idx, error FROM png WHERE error IS NOT NULL ORDER BY 1, 2 LIMIT 100"))
 def first_decode_errors(spark: SparkSession, sf: str) -> DataFrame:
-    _valid, bad = I.split_quarantine(I.image_dims(B.png(spark, sf), "payload", jpeg=False))
+    payloads = stage(B.png(spark, sf), "payloads")
+    _valid, bad = I.split_quarantine(I.image_dims(payloads, "payload", jpeg=False))
     order = ["source_shard", "source_row_idx"]
     return I.first_errors(bad.select(*order, "error"), order)
 
 
 @query(having(B.GEOM, B.PNG, then="SELECT error IS NULL AS valid, count(*) AS n FROM png GROUP BY 1"))
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
-    valid, bad = I.split_quarantine(I.image_dims(B.png(spark, sf), "payload", jpeg=False))
+    payloads = stage(B.png(spark, sf), "payloads")
+    valid, bad = I.split_quarantine(I.image_dims(payloads, "payload", jpeg=False))
     counted = lambda df, flag: df.agg(F.lit(flag).alias("valid"), F.count("*").alias("n"))
     return counted(valid, True).unionByName(counted(bad, False))
 

@@ -23,8 +23,16 @@ def percent(x: Column, digits: int = 2) -> Column:
 
 
 def round_exact(x: Column, digits: int) -> Column:
-    """Round to ``digits`` decimals on the exact binary value."""
-    return fixed(x.cast("double"), digits).cast("double")
+    """Round to ``digits`` decimals on the exact binary value.
+
+    Away from a tie plain arithmetic gives the same double; only values within
+    a hair of a tie, or too large for it, are written out and read back.
+    """
+    x = x.cast("double")
+    scaled = x * F.lit(float(10**digits))
+    near_tie = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-5
+    plain = F.rint(scaled) / F.lit(float(10**digits))
+    return F.when(F.isnan(x) | (F.abs(scaled) > 1e9) | near_tie, fixed(x, digits).cast("double")).otherwise(plain)
 
 
 def clamp(x: Column, lo: int | float, hi: int | float) -> Column:

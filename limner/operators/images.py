@@ -113,10 +113,9 @@ def image_dims(df: DataFrame, payload: str, jpeg: bool = True) -> DataFrame:
     only when ``jpeg`` is on.
     """
     b = F.col(payload)
-    # Bound once inside the lambda, so that a pushed-down filter does not repeat the payload expression.
-    header = F.struct(F.substring(b, 1, 26).alias("head"), F.octet_length(b).alias("n"))
-    found = F.get(F.transform(F.array(header), lambda h: _header_dims(h["head"], h["n"])), F.lit(0))
-    out = df.withColumn("_dims", found)
+    found = _header_dims(F.col("_head"), F.col("_n"))
+    measured = df.withColumns({"_head": F.substring(b, 1, 26), "_n": F.octet_length(b)})
+    out = measured.withColumn("_dims", found).drop("_head", "_n")
     if jpeg:
         is_jpeg = F.substring(b, 1, 2) == F.lit(JPEG_MAGIC)
         out = out.withColumn("_jpeg", _jpeg_dims(F.when(is_jpeg, b)))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from limner.functions import vectors as V
 from limner.functions.numbers import round_exact
@@ -208,13 +211,31 @@ def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: i
     batches = ids.select(order, F.expr(f"_at div {batch_size}").alias("batch_id"))
     unit = lambda c: V.l2_normalize(V.as_double(F.col(c)))
     rows = pairs.select(order, unit(a).alias("_a"), unit(b).alias("_b")).join(batches, order)
+    # Never more than batch_size rows per batch.
     packed = rows.groupBy("batch_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("_p")
     )
-    logits = F.transform("_p", lambda x: F.transform("_p", lambda y: V.dot(x["a"], y["b"]) * scale))
-    at = F.sequence(F.lit(0), F.size("_p") - 1)
-    own = F.transform(at, lambda i: F.get(F.get("_z", i), i))
-    by_row = F.transform("_z", lambda z: V.log_sum_exp(z))
-    by_col = F.transform(at, lambda j: V.log_sum_exp(F.transform("_z", lambda z: F.get(z, j))))
-    loss = (V.total(by_row) + V.total(by_col) - 2 * V.total(own)) / (2 * F.size("_p"))
-    return packed.withColumn("_z", logits).select("batch_id", F.size("_p").alias("n"), loss.alias("loss"))
+    side = lambda name: F.flatten(F.transform("_p", lambda p: p[name]))
+    return packed.select("batch_id", F.size("_p").alias("n"), _batch_loss(scale)(F.size("_p"), side("a"), side("b")).alias("loss"))
+
+
+def _batch_loss(scale: float):
+    """Arrow UDF ``n, flat unit vectors a, b -> loss``: batches of one size are multiplied together."""
+
+    @F.arrow_udf(T.DoubleType())
+    def loss(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        sizes = n.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(sizes))
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x, y = (side.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), size, -1) for side in (a, b))
+            z = scale * x @ y.transpose(0, 2, 1)
+            own = np.einsum("bii->bi", z)
+            total = np.zeros(len(at))
+            for axis in (1, 2):
+                top = z.max(axis=axis, keepdims=True)
+                total += (np.log(np.exp(z - top).sum(axis=axis)) + top.squeeze(axis) - own).sum(axis=1)
+            out[at] = total / (2 * size)
+        return pa.array(out)
+
+    return loss

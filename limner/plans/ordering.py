@@ -7,10 +7,13 @@ than one range, whatever the size of the table or of its largest group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from limner.plans.joins import if_small
 from limner.plans.staging import stage
@@ -101,6 +104,15 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
     )
 
 
+def _melt(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols]
+    long = df.select(*by, F.explode(F.array(*cells)).alias("_cell")).select(*by, "_cell.metric", "_cell.value")
+    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+
+MAX_GROUPS = 64
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -109,20 +121,30 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: ``by, metric, q, value``.
 
-    Values are first counted (map-side), then ranked by range, so neither one
-    metric nor one hot group has to fit into a task.
+    For few groups the wanted ranks are narrowed down by histograms, so no value
+    is ever shuffled or sorted. For many groups the distinct values are counted
+    and ranked by range. Neither one metric nor one hot group has to fit into a
+    task. Stage an input that is costly to compute: it is read several times.
     """
-    by = list(by)
-    melted = df.select(
-        *by,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])
-        ).alias("_cell"),
-    ).select(*by, "_cell.metric", "_cell.value")
-    counted = melted.filter(F.col("value").isNotNull()).groupBy(*by, "metric", "value").agg(F.count("*").alias("n"))
+    by, cols = list(by), list(cols)
+    spans = df.groupBy(*by).agg(
+        *[f(_number(c)).alias(f"{f.__name__}|{c}") for c in cols for f in (F.count, F.min, F.max)]
+    )
+    groups = spans.limit(MAX_GROUPS + 1).collect()
+    if len(groups) > MAX_GROUPS:
+        return _quantiles_by_range(df, cols, qs, by)
+    return _quantiles_by_histogram(df, cols, qs, by, groups)
+
+
+def _number(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _quantiles_by_range(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: list[str]) -> DataFrame:
+    counted = _melt(df, cols, by).groupBy(*by, "metric", "value").agg(F.count("*").alias("n"))
     keys = [*by, "metric"]
     ranked = running_totals(counted, ["value"], {"upto": "n"}, by=keys)
-
     probes = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
     at = ranked.select(*keys, "value", "n", "upto", "upto_all", probes.alias("q"))
     pos = F.col("q") * (F.col("upto_all") - 1)
@@ -138,6 +160,107 @@ def exact_quantiles(
     return ends.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"))
 
 
+BINS = 2_048
+MAX_PASSES = 12
+
+
+@dataclass(frozen=True)
+class _Cell:
+    """Values of one metric and group within [lo, hi], of which ``before`` lie below."""
+
+    group: int
+    metric: str
+    lo: float
+    hi: float
+    before: int
+
+
+def _quantiles_by_histogram(
+    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: list[str], groups: Sequence[Row]
+) -> DataFrame:
+    """Find the values at the wanted ranks by repeated histograms of ever smaller cells.
+
+    Every pass counts the values per bin and keeps the smallest and largest value
+    of each bin; a bin of a single value is done, any other bin that holds a
+    wanted rank becomes a cell of the next pass. Bins are monotone in the value,
+    so rounding in their arithmetic cannot change a rank.
+    """
+    wanted: dict[tuple[int, str], set[int]] = {}
+    cells: list[_Cell] = []
+    for g, row in enumerate(groups):
+        for c in cols:
+            n = row[f"count|{c}"]
+            if n:
+                ranks = {math.floor(q * (n - 1)) for q in qs} | {math.ceil(q * (n - 1)) for q in qs}
+                wanted[g, c] = ranks
+                cells.append(_Cell(g, c, row[f"min|{c}"], row[f"max|{c}"], 0))
+    at_rank: dict[tuple[int, str, int], float] = {}
+    passes = 0
+    while cells:
+        pending = []
+        for cell in cells:
+            if cell.lo == cell.hi:
+                at_rank.update({(cell.group, cell.metric, r): cell.lo for r in wanted[cell.group, cell.metric]})
+            else:
+                pending.append(cell)
+        if not pending:
+            break
+        passes += 1
+        steps = [cell.hi / BINS - cell.lo / BINS for cell in pending]
+        if passes > MAX_PASSES or not all(0 < s < math.inf for s in steps):
+            return _quantiles_by_range(df, cols, qs, by)  # infinite or extremely spread values
+        bins = _histogram(df, pending, by, groups)
+        cells = []
+        for i, cell in enumerate(pending):
+            upto = cell.before
+            ranks = wanted[cell.group, cell.metric]
+            for _bin, n, lo, hi in sorted(bins.get(i, ())):
+                inside = [r for r in ranks if upto <= r < upto + n and (cell.group, cell.metric, r) not in at_rank]
+                if inside and lo == hi:
+                    at_rank.update({(cell.group, cell.metric, r): lo for r in inside})
+                elif inside:
+                    cells.append(_Cell(cell.group, cell.metric, lo, hi, upto))
+                upto += n
+    out = []
+    for g, row in enumerate(groups):
+        for c in cols:
+            n = row[f"count|{c}"]
+            for q in qs if n else ():
+                pos = q * (n - 1)
+                a, b = at_rank[g, c, math.floor(pos)], at_rank[g, c, math.ceil(pos)]
+                out.append((*[row[k] for k in by], c, float(q), a + (b - a) * (pos - math.floor(pos))))
+    schema = StructType(
+        [*[df.schema[k] for k in by], StructField("metric", StringType()), StructField("q", DoubleType()), StructField("value", DoubleType())]
+    )
+    return df.sparkSession.createDataFrame(out, schema)
+
+
+def _histogram(df: DataFrame, cells: Sequence[_Cell], by: list[str], groups: Sequence[Row]) -> dict[int, list[tuple]]:
+    """Bins ``(bin, n, smallest, largest)`` of each cell; at most ``BINS`` rows per cell reach the driver."""
+    places: dict[str, Column] = {}
+    for i, cell in enumerate(cells):
+        x = _number(cell.metric)
+        here = (x >= F.lit(cell.lo)) & (x <= F.lit(cell.hi))
+        for k in by:
+            here = F.col(k).eqNullSafe(F.lit(groups[cell.group][k])) & here
+        share = (x / BINS - F.lit(cell.lo / BINS)) / F.lit(cell.hi / BINS - cell.lo / BINS)
+        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+        place = F.struct(F.lit(i).alias("cell"), bin_.alias("bin"), x.alias("x"))
+        old = places.get(cell.metric)
+        places[cell.metric] = F.when(here, place) if old is None else old.when(here, place)
+    found = (
+        df.select(F.explode(F.array(*places.values())).alias("_p"))
+        .filter("_p IS NOT NULL")
+        .groupBy("_p.cell", "_p.bin")
+        .agg(F.count("*").alias("n"), F.min("_p.x").alias("lo"), F.max("_p.x").alias("hi"))
+        .toArrow()
+    )
+    bins: dict[int, list[tuple]] = {}
+    for cell, *rest in zip(*[found[c].to_pylist() for c in ("cell", "bin", "n", "lo", "hi")]):
+        bins.setdefault(cell, []).append(tuple(rest))
+    return bins
+
+
 def hash_order(id_cols: Sequence[str], seed: int) -> Column:
     """Reproducible pseudo-random sort key: md5 of the id and the seed, joined by ``|``."""
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in id_cols], F.lit(str(seed))))
@@ -163,7 +286,8 @@ def hash_histogram(df: DataFrame, hash_col: str, by: Sequence[str] = ()) -> Data
 
 
 def _bucket(hash_col: str) -> Column:
-    return F.conv(F.substring(hash_col, 1, _BUCKET_DIGITS), 16, 10).cast("int")
+    """The first hex digits themselves: they sort like the numbers they write."""
+    return F.substring(hash_col, 1, _BUCKET_DIGITS)
 
 
 def hash_cuts(

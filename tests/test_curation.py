@@ -115,6 +115,23 @@ def test_correlation_of_a_constant_column_is_null(spark):
     assert got["c", "a"] == got["a", "c"]
 
 
+def test_correlation_with_missing_values_is_pairwise(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(60, 3)) + 1e6
+    m[:, 2] += 3 * m[:, 0]
+    data = [tuple(None if (i + k) % 11 == 0 else float(v) for k, v in enumerate(row)) for i, row in enumerate(m)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    want = pd.DataFrame(data, columns=list("abc"), dtype=float).corr()
+    for r in P.correlation_matrix(df, list("abc")).collect():
+        assert r["r"] == pytest.approx(want.loc[r["c1"], r["c2"]], abs=1e-9)
+    whole = df.na.drop()
+    want = whole.toPandas().corr()
+    for r in P.correlation_matrix(whole, list("abc")).collect():
+        assert r["r"] == pytest.approx(want.loc[r["c1"], r["c2"]], abs=1e-9)
+
+
 def test_histogram_matches_numpy(spark):
     rng = np.random.default_rng(2)
     xs = rng.gamma(2.0, 3.0, 500)

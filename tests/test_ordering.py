@@ -65,6 +65,40 @@ def test_exact_quantiles_match_numpy(numbers):
             assert got[g, q] == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["spread", "constant", "two", "tiny", "infinite", "ties"])
+def test_quantiles_of_awkward_values(spark, kind):
+    rng = np.random.default_rng(5)
+    values = {
+        "spread": np.concatenate([10.0 ** rng.uniform(-200, 200, 300), -(10.0 ** rng.uniform(-200, 200, 300))]),
+        "constant": np.full(50, 3.25),
+        "two": np.array([1.0, np.nextafter(1.0, 2.0)]),
+        "tiny": np.arange(9) * 5e-324,
+        "infinite": np.array([1.0, 2.0, 3.0, np.inf, np.inf]),
+        "ties": rng.integers(0, 3, 5000).astype(float),
+    }[kind]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    qs = (0.0, 0.25, 0.5, 0.75)
+    if kind == "infinite":
+        qs = (0.0, 0.25, 0.5)
+    got = {r["q"]: r["value"] for r in exact_quantiles(df, ["v"], qs).collect()}
+    for q in qs:
+        assert got[q] == pytest.approx(np.quantile(values, q), rel=1e-12, abs=0)
+
+
+def test_quantiles_of_many_groups(spark):
+    data = [(g, float((g * 7 + i * i) % 23)) for g in range(100) for i in range(9)]
+    got = {r["g"]: r["value"] for r in exact_quantiles(spark.createDataFrame(data, "g int, v double"), ["v"], [0.3], by=["g"]).collect()}
+    for g in range(100):
+        assert got[g] == pytest.approx(np.quantile([v for k, v in data if k == g], 0.3))
+
+
+def test_long_row_caps_use_the_key_of_the_last_row(spark, monkeypatch):
+    monkeypatch.setattr("limner.operators.indexing.TOP_ROWS", 3)
+    df = spark.range(20).select((F.col("id") * 7 % 20).alias("id"))
+    assert rows(cap_rows(df, ["id"], 5)) == [(i,) for i in range(5)]
+    assert cap_rows(df, ["id"], 50).count() == 20
+
+
 def test_quantiles_ignore_null_and_handle_one_row(spark):
     df = spark.createDataFrame([(None,), (3.0,)], "v double")
     assert [r["value"] for r in exact_quantiles(df, ["v"], (0.25, 0.9)).collect()] == [3.0, 3.0]
