@@ -237,22 +237,27 @@ def _quantiles_by_histogram(
 
 def _histogram(df: DataFrame, cells: Sequence[_Cell], by: list[str], groups: Sequence[Row]) -> dict[int, list[tuple]]:
     """Bins ``(bin, n, smallest, largest)`` of each cell; at most ``BINS`` rows per cell reach the driver."""
-    places: dict[str, Column] = {}
+    metrics = list(dict.fromkeys(cell.metric for cell in cells))
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), _number(c).alias("x")) for m, c in enumerate(metrics)]))
+    long = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], values.alias("_v")).select(
+        *[f"_k{i}" for i in range(len(by))], "_v.m", "_v.x"
+    )
+    number = F.lit(None).cast("int")
     for i, cell in enumerate(cells):
-        x = _number(cell.metric)
-        here = (x >= F.lit(cell.lo)) & (x <= F.lit(cell.hi))
-        for k in by:
-            here = F.col(k).eqNullSafe(F.lit(groups[cell.group][k])) & here
-        share = (x / BINS - F.lit(cell.lo / BINS)) / F.lit(cell.hi / BINS - cell.lo / BINS)
-        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
-        place = F.struct(F.lit(i).alias("cell"), bin_.alias("bin"), x.alias("x"))
-        old = places.get(cell.metric)
-        places[cell.metric] = F.when(here, place) if old is None else old.when(here, place)
+        here = (F.col("m") == metrics.index(cell.metric)) & F.col("x").between(F.lit(cell.lo), F.lit(cell.hi))
+        for k, name in enumerate(by):
+            here = here & F.col(f"_k{k}").eqNullSafe(F.lit(groups[cell.group][name]))
+        number = F.when(here, i).otherwise(number)
+    # Divided by a power of two first, so that the widest spans do not overflow.
+    lo = F.get(F.lit([c.lo / BINS for c in cells]), F.col("cell"))
+    step = F.get(F.lit([c.hi / BINS - c.lo / BINS for c in cells]), F.col("cell"))
+    bin_ = F.least(F.floor((F.col("x") / BINS - lo) / step * BINS), F.lit(BINS - 1)).cast("int")
     found = (
-        df.select(F.explode(F.array(*places.values())).alias("_p"))
-        .filter("_p IS NOT NULL")
-        .groupBy("_p.cell", "_p.bin")
-        .agg(F.count("*").alias("n"), F.min("_p.x").alias("lo"), F.max("_p.x").alias("hi"))
+        long.withColumn("cell", number)
+        .filter("cell IS NOT NULL")
+        .select("cell", bin_.alias("bin"), "x")
+        .groupBy("cell", "bin")
+        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         .toArrow()
     )
     bins: dict[int, list[tuple]] = {}
