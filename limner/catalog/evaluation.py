@@ -23,18 +23,21 @@ from limner.sinks.tables import write_predictions, write_splits
 
 # Splits
 
-SPLIT = """hashed AS (SELECT *, md5(CAST(source_row_idx AS VARCHAR) || '|42') AS h FROM feat),
+# A draw is per class unless some class has a single row; then all rows form one group (-1).
+SPLIT = """hashed AS (SELECT *, md5(CAST(source_row_idx AS VARCHAR) || '|42') AS h,
+  CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM feat GROUP BY style)) >= 2 THEN style ELSE -1 END AS grp FROM feat),
 size1 AS (SELECT count(*) AS total, CAST(ceil(0.1::DOUBLE * count(*)) AS BIGINT) AS draws FROM hashed),
-share1 AS (SELECT style, count(*) AS n, count(*)::DOUBLE / any_value(total)::DOUBLE * any_value(draws)::DOUBLE AS exact FROM hashed, size1 GROUP BY 1),
+share1 AS (SELECT grp, count(*)::DOUBLE / any_value(total)::DOUBLE * any_value(draws)::DOUBLE AS exact FROM hashed, size1 GROUP BY 1),
 spare1 AS (SELECT any_value(draws) - sum(floor(exact))::BIGINT AS spare FROM share1, size1),
-quota1 AS (SELECT style, floor(exact)::BIGINT + (row_number() OVER (ORDER BY exact - floor(exact) DESC, style) <= (SELECT spare FROM spare1))::BIGINT AS q FROM share1),
-rank1 AS (SELECT h.*, row_number() OVER (PARTITION BY h.style ORDER BY h.h, h.source_row_idx) <= q.q AS test FROM hashed h JOIN quota1 q ON h.style = q.style),
-rest AS (SELECT * FROM rank1 WHERE NOT test),
+quota1 AS (SELECT grp, floor(exact)::BIGINT + (row_number() OVER (ORDER BY exact - floor(exact) DESC, grp) <= (SELECT spare FROM spare1))::BIGINT AS q FROM share1),
+rank1 AS (SELECT h.* EXCLUDE (grp), row_number() OVER (PARTITION BY h.grp ORDER BY h.h, h.source_row_idx) <= q.q AS test FROM hashed h JOIN quota1 q ON h.grp = q.grp),
+rest AS (SELECT *, CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM rank1 WHERE NOT test GROUP BY style)) >= 2 THEN style ELSE -1 END AS grp
+  FROM rank1 WHERE NOT test),
 size2 AS (SELECT count(*) AS total, CAST(ceil((0.1::DOUBLE / (1.0::DOUBLE - 0.1::DOUBLE)) * count(*)) AS BIGINT) AS draws FROM rest),
-share2 AS (SELECT style, count(*) AS n, count(*)::DOUBLE / any_value(total)::DOUBLE * any_value(draws)::DOUBLE AS exact FROM rest, size2 GROUP BY 1),
+share2 AS (SELECT grp, count(*)::DOUBLE / any_value(total)::DOUBLE * any_value(draws)::DOUBLE AS exact FROM rest, size2 GROUP BY 1),
 spare2 AS (SELECT any_value(draws) - sum(floor(exact))::BIGINT AS spare FROM share2, size2),
-quota2 AS (SELECT style, floor(exact)::BIGINT + (row_number() OVER (ORDER BY exact - floor(exact) DESC, style) <= (SELECT spare FROM spare2))::BIGINT AS q FROM share2),
-rank2 AS (SELECT r.*, row_number() OVER (PARTITION BY r.style ORDER BY r.h, r.source_row_idx) <= q.q AS val FROM rest r JOIN quota2 q ON r.style = q.style),
+quota2 AS (SELECT grp, floor(exact)::BIGINT + (row_number() OVER (ORDER BY exact - floor(exact) DESC, grp) <= (SELECT spare FROM spare2))::BIGINT AS q FROM share2),
+rank2 AS (SELECT r.*, row_number() OVER (PARTITION BY r.grp ORDER BY r.h, r.source_row_idx) <= q.q AS val FROM rest r JOIN quota2 q ON r.grp = q.grp),
 splits AS (SELECT source_row_idx, style, genre, artist, orientation, megapixels, bytes_size, 'test' AS split FROM rank1 WHERE test
   UNION ALL SELECT source_row_idx, style, genre, artist, orientation, megapixels, bytes_size, CASE WHEN val THEN 'val' ELSE 'train' END FROM rank2)"""
 
