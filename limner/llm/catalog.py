@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from limner.llm.exact_dedup import exact_duplicates
+from limner.llm.line_dedup import line_report
 from limner.llm.ngram_join import shingle_groups
+from limner.llm.packing import packed_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +18,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return line_report(_table(spark, sf, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return shingle_groups(_table(spark, sf, "documents"))
 
@@ -24,9 +30,25 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packed_documents(_table(spark, sf, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (
+            SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM split
+        ), keyed AS (
+            SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+        ), firsts AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key),
+        judged AS (SELECT k.*, coalesce(k.doc_id > f.first_doc, false) AS dropped FROM keyed k LEFT JOIN firsts f USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
     "op4_ngram_jaccard_join": rf"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
@@ -51,4 +73,12 @@ SQL: dict[str, str] = {
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
 }
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_ngram_jaccard_join, op5_exact_dedup)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_line_dedup,
+        op4_ngram_jaccard_join,
+        op5_exact_dedup,
+        op9_best_fit_packing,
+    )
+}
