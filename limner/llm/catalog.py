@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from limner.llm.byte_cnn import fit_language_model, predict_languages
 from limner.llm.exact_dedup import exact_duplicates
 from limner.llm.line_dedup import line_report
 from limner.llm.ngram_join import shingle_groups
 from limner.llm.packing import packed_documents
+from limner.llm.toxicity import fit_toxicity, toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +21,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    """CRC-32 of ``doc_id`` as text, modulo ``n``; a missing id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_report(_table(spark, sf, "documents"))
 
@@ -30,10 +38,23 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = fit_language_model(docs, remainder(4) != 2)
+    return predict_languages(docs, model).withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed_documents(_table(spark, sf, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    model = fit_toxicity(docs, _table(spark, sf, "labels"), remainder(5) != 0)
+    scored = toxicity_scores(docs, model).withColumn("held_out", remainder(5) == 0)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
@@ -79,6 +100,8 @@ QUERIES: dict[str, Query] = {
         op2_line_dedup,
         op4_ngram_jaccard_join,
         op5_exact_dedup,
+        op7_language_id,
         op9_best_fit_packing,
+        op10_toxicity,
     )
 }

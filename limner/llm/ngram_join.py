@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from limner.llm.components import components
 from limner.llm.words import mix, shingle_sets, text_groups, word_hashes
@@ -205,13 +206,18 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, joined: DataFrame, percent:
 
     Lists longer than BLOCK are dealt into blocks, and each pair of blocks is its own task row group.
     """
-    own = nodes.join(joined, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c"), "parity")
-    rows = lists.select("h", "d", "n").join(own, "d")
-    mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = rows.join(mixed.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "h")
+    owner = nodes.join(joined, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c"))
+    every_row = Window.partitionBy("h")
+    rows = lists.join(owner, "d").withColumns({
+        "lo": F.min("c").over(every_row), "hi": F.max("c").over(every_row), "size": F.count("*").over(every_row),
+        "one": F.min("a").over(every_row) == F.max("a").over(every_row),
+    })
+    # two texts that share a list with their first one have been compared with it
+    rows = rows.where("lo < hi AND (size > 2 OR NOT one)").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("d"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("block") == F.col("other"), 3).when(F.col("block") < F.col("other"), 1).otherwise(2)
-    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.cast("long").alias("side"), "d", "n", "c", "parity")
+    rows = rows.select("h", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.cast("long").alias("side"), "d", "n", "c")
+    rows = rows.join(nodes.select("d", "parity"), "d")
     rows = rows.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
     return rows.mapInArrow(_crossing(percent, every), "a long, b long").distinct()
 
@@ -228,17 +234,17 @@ def _segments(width: int, fragments: int, wanted: np.ndarray):
             batch = batch.filter(pa.array(asked))
             for start, stop, values, bounds in _sets(batch, width):
                 place = (values >> np.uint64(64 - fragments.bit_length() + 1)).astype(np.int64)
-                ids = batch.column("doc_id").slice(start, stop - start).to_numpy(zero_copy_only=False)
-                rows: dict[str, list] = {"doc_id": [], "fragment": [], "part": []}
+                digests = _digests(values, bounds)
+                rows: dict[str, list] = {"d": [], "fragment": [], "part": []}
                 for i in range(stop - start):
                     a, b = bounds[i], bounds[i + 1]
                     cuts = a + np.searchsorted(place[a:b], np.arange(fragments + 1))
                     for f in range(fragments):
                         if cuts[f] < cuts[f + 1]:
-                            rows["doc_id"].append(ids[i])
+                            rows["d"].append(digests[i])
                             rows["fragment"].append(f)
                             rows["part"].append(values[cuts[f] : cuts[f + 1]].tobytes())
-                yield _batch(doc_id=pa.array(rows["doc_id"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
+                yield _batch(d=pa.array(rows["d"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
 
     return run
 
@@ -251,7 +257,7 @@ def _partial_overlaps(batches):
             both = np.concatenate((np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64)))
             both.sort()
             common[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield _batch(a=batch.column("a"), b=batch.column("b"), common=common)
+        yield _batch(a=batch.column("a"), b=batch.column("b"), fragment=batch.column("fragment"), common=common)
 
 
 def _crossing(percent: int, every: bool):
@@ -331,14 +337,15 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
 
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
     """``(a, b, common)`` for pairs of digests: the partial overlaps of all fragments, summed per pair."""
-    asked = stage(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(nodes.select("d", "doc_id"), "d"), "asked")
-    source = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bucket")).where("doc_id IS NOT NULL")
-    parts = source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "doc_id long, fragment int, part binary")
-    parts = stage(parts.join(asked, "doc_id").dropDuplicates(["d", "fragment"]).select("d", "fragment", "part"), "segments")
+    asked = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(nodes.select("d", "doc_id"), "d")
+    source = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bucket")).where("doc_id IS NOT NULL")
+    parts = stage(source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "d long, fragment int, part binary"), "segments")
     left = parts.select(F.col("d").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = parts.select(F.col("d").alias("b"), "fragment", F.col("part").alias("part_b"))
-    met = pairs.join(right, "b").join(left, ["a", "fragment"])
-    return met.select("a", "b", "part_a", "part_b").mapInArrow(_partial_overlaps, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    met = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "fragment", "part_a", "part_b")
+    counted = met.mapInArrow(_partial_overlaps, "a long, b long, fragment int, common long")
+    # a set may come from several rows that repeat a doc_id: each fragment counts once
+    return counted.groupBy("a", "b", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
 def _links(docs, nodes, pairs, width, percent) -> DataFrame:
