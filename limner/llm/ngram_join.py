@@ -31,10 +31,11 @@ PERCENT = 75
 FRAGMENTS = 8
 #: Counters of frequent shingles each task keeps, and how many shingles the order puts last.
 COUNTERS = 1 << 16
+#: Bits of the smallest parity bitmaps.
 BITS = 512
 #: Parts into which the list of a frequent shingle is dealt.
 SHARES = 64
-BLOCK = 2048
+BLOCK = 1024
 BLOOM_BITS = 1 << 22
 
 
@@ -60,11 +61,23 @@ def _digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _parity(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """For each set, BITS bits: the parity of the number of its elements that fall on each bit."""
-    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    odd = np.bincount(owner * BITS + place, minlength=(len(bounds) - 1) * BITS) & 1
-    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(-1, BITS), axis=1)]
+    """For each set a bitmap: the parity of the number of its elements that fall on each bit.
+
+    It has as many bits as the set has elements, rounded up to a power of two, BITS at least.
+    """
+    n = np.diff(bounds)
+    bits = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    starts = np.concatenate(([0], np.cumsum(bits)))
+    place = (mix(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(np.repeat(starts[:-1], n) + place, minlength=starts[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[i // 8 : j // 8] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def _folded(parity: bytes, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes as words: of a longer one, the exclusive or of its parts."""
+    words = np.frombuffer(parity, np.uint64)
+    return words if len(parity) == size else np.bitwise_xor.reduce(words.reshape(-1, size // 8))
 
 
 class _Frequent:
@@ -185,9 +198,13 @@ def _may_reach(percent: int):
     def run(batches):
         for batch in batches:
             n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in ("parity_a", "parity_b")]
-            diff = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-            ok = (diff * (100 + percent) <= (n[0] + n[1]) * (100 - percent)) & (100 * np.minimum(*n) >= percent * np.maximum(*n))
+            ok = 100 * np.minimum(*n) >= percent * np.maximum(*n)
+            left, right = batch.column("parity_a"), batch.column("parity_b")
+            for i in np.flatnonzero(ok):
+                one, two = left[i].as_py(), right[i].as_py()
+                size = min(len(one), len(two))
+                diff = int(np.bitwise_count(_folded(one, size) ^ _folded(two, size)).sum())
+                ok[i] = diff * (100 + percent) <= int(n[0][i] + n[1][i]) * (100 - percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -266,20 +283,20 @@ def _crossing(percent: int, every: bool):
     Unless ``every``, the closest such pair of each component only.
     """
 
-    def pairs(rows: list[np.ndarray], bits: np.ndarray, seen: set):
-        d, n, c, side = rows
-        order = np.lexsort((d, n))
-        d, n, c, side, bits = d[order], n[order], c[order], side[order], bits[order]
+    def pairs(rows: list[np.ndarray], parity: list[bytes], seen: set):
+        order = np.lexsort((rows[0], rows[1]))
+        d, n, c, side = (x[order] for x in rows)
+        parity = [parity[i] for i in order]
+        sizes = np.array([len(x) for x in parity])
         best: dict[int, tuple] = {}
-        for start in range(0, len(d), 64):
-            stop = min(start + 64, len(d))
-            diff = np.bitwise_count(bits[start:stop, None] ^ bits[None, start:]).sum(axis=2, dtype=np.int64)
-            both = n[start:stop, None] + n[None, start:]
+        for start, stop, end, bits in chunks(n, sizes, parity):
+            diff = np.bitwise_count(bits[: stop - start, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+            both = n[start:stop, None] + n[None, start:end]
             ok = diff * (100 + percent) <= both * (100 - percent)
-            ok &= 100 * n[start:stop, None] >= percent * n[None, start:]
-            ok &= c[start:stop, None] != c[None, start:]
-            ok &= np.arange(start, stop)[:, None] < np.arange(start, len(d))[None]
-            ok &= (side[start:stop, None] | side[None, start:]) == 3
+            ok &= 100 * n[start:stop, None] >= percent * n[None, start:end]
+            ok &= c[start:stop, None] != c[None, start:end]
+            ok &= np.arange(start, stop)[:, None] < np.arange(start, end)[None]
+            ok &= (side[start:stop, None] | side[None, start:end]) == 3
             i, j = np.nonzero(ok)
             gap = diff[i, j] / both[i, j]
             for x, y, g in zip((i + start).tolist(), (j + start).tolist(), gap.tolist(), strict=True):
@@ -297,6 +314,19 @@ def _crossing(percent: int, every: bool):
                 seen.add(pair)
                 yield pair
 
+    def chunks(n, sizes, parity):
+        """Runs of sets with bitmaps of one size, each with all sets not smaller that are within reach."""
+        for size in np.unique(sizes):
+            first, last = np.searchsorted(sizes, size), np.searchsorted(sizes, size, "right")
+            reach = np.searchsorted(n, n[last - 1] * 100 // percent, "right")
+            words = np.stack([_folded(x, size) for x in parity[first:reach]])
+            start = first
+            while start < last:
+                stop = min(last, start + max(1, (1 << 20) // (words.shape[1] * (reach - start))))
+                end = np.searchsorted(n, n[stop - 1] * 100 // percent, "right")
+                yield start, stop, end, words[start - first : end - first]
+                start = stop
+
     def run(batches):
         key, rest, seen = None, [], set()
         for batch in batches:
@@ -319,8 +349,7 @@ def _crossing(percent: int, every: bool):
         if sum(p.num_rows for p in parts) < 2:
             return []
         table = pa.Table.from_batches(parts).combine_chunks()
-        bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        return list(pairs([table.column(k).to_numpy() for k in ("d", "n", "c", "side")], bits, seen))
+        return list(pairs([table.column(k).to_numpy() for k in ("d", "n", "c", "side")], table.column("parity").to_pylist(), seen))
 
     return run
 
