@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear in the presence of byte 5-grams. It is trained from texts confirmed to be
+The classifier is linear in the density of byte 5-grams. It is trained from texts confirmed to be
 toxic and from unlabelled texts: the risk of calling an unlabelled text clean is corrected by the class
 prior times the risk of the toxic texts, and never taken below zero.
 """
@@ -18,7 +18,7 @@ from limner.llm.words import text_bytes, text_groups
 
 GRAM = 5
 BUCKETS = 1 << 18
-FEATURES = 256
+FEATURES = 1024
 #: The classifier is fitted on so many toxic and so many unlabelled texts at most.
 TOXIC_TEXTS = 2000
 UNLABELLED_TEXTS = 4000
@@ -50,6 +50,11 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32), np.minimum(bounds, size)
 
 
+def density(counts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """Occurrences per 400 bytes, damped for short texts, 3 at most."""
+    return np.minimum(counts * 400 / (size + 200), 3)
+
+
 @dataclass
 class Classifier:
     """``column[bucket]`` is the feature of a bucket, -1 for none."""
@@ -65,17 +70,21 @@ class Classifier:
         owner = np.searchsorted(bounds, hits, "right") - 1
         n, width = len(texts), len(self.weights)
         inside = (owner >= 0) & (owner < n)
-        pairs = np.unique(owner[inside] * width + column[hits[inside]])
-        total = np.bincount(pairs // width, weights=self.weights[pairs % width], minlength=n) if width else np.zeros(n)
+        pairs, counts = np.unique(owner[inside] * width + column[hits[inside]], return_counts=True)
+        dense = density(counts, np.diff(bounds)[pairs // width]) if width else counts
+        total = np.bincount(pairs // width, weights=self.weights[pairs % width] * dense, minlength=n) if width else np.zeros(n)
         return 1 / (1 + np.exp(-np.clip(total + self.shift, -40, 40)))
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, epochs: int = EPOCHS) -> Classifier:
-    """A classifier from the bucket sets of toxic and of unlabelled texts, by the non-negative risk
+Counted = tuple[np.ndarray, np.ndarray, int]
+
+
+def fit(toxic: list[Counted], unlabelled: list[Counted], prior: float, features: int = FEATURES, epochs: int = EPOCHS) -> Classifier:
+    """A classifier from the buckets, their counts and the size of toxic and of unlabelled texts, by the non-negative risk
 
     ``prior * R(toxic, 1) + max(0, R(unlabelled, 0) - prior * R(toxic, 0))`` with the sigmoid loss.
     """
-    counts = [np.bincount(np.concatenate(sets), minlength=BUCKETS) if sets else np.zeros(BUCKETS) for sets in (toxic, unlabelled)]
+    counts = [np.bincount(np.concatenate([own for own, _, _ in sets]), minlength=BUCKETS) if sets else np.zeros(BUCKETS) for sets in (toxic, unlabelled)]
     share = [c / max(1, len(sets)) for c, sets in zip(counts, (toxic, unlabelled), strict=True)]
     floor = 1 / (len(unlabelled) + 1)
     gain = share[0] * np.log((share[0] + floor) / (share[1] + floor))
@@ -88,9 +97,9 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, fea
 
     def matrix(sets):
         x = np.zeros((len(sets), len(chosen)), np.float32)
-        for i, own in enumerate(sets):
+        for i, (own, count, size) in enumerate(sets):
             at = column[own]
-            x[i, at[at >= 0]] = 1
+            x[i, at[at >= 0]] = density(count[at >= 0], size)
         return x
 
     p, u = matrix(toxic), matrix(unlabelled)
@@ -121,9 +130,15 @@ def _sets(batches):
     for batch in batches:
         for start, stop in text_groups(batch):
             buckets, bounds = gram_buckets(batch.column("text").slice(start, stop - start))
-            sets = [np.unique(buckets[bounds[i] : bounds[i + 1]]).astype("<i4").tobytes() for i in range(stop - start)]
             n = stop - start
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, n), batch.column("kind").slice(start, n), pa.array(sets, pa.binary())], names=["doc_id", "kind", "buckets"])
+            sets = [np.unique(buckets[bounds[i] : bounds[i + 1]], return_counts=True) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(start, n), batch.column("kind").slice(start, n), pa.array([b.astype("<i4").tobytes() for b, _ in sets], pa.binary()),
+                    pa.array([c.astype("<i4").tobytes() for _, c in sets], pa.binary()), pa.array(np.diff(bounds), pa.int64()),
+                ],
+                names=["doc_id", "kind", "buckets", "counts", "size"],
+            )
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TOXIC_TEXTS, unlabelled_texts: int = UNLABELLED_TEXTS, prior: float | None = None) -> Classifier | None:
@@ -142,8 +157,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts:
     confirmed = known.where("toxic = 1").select("doc_id", F.lit(1).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_texts)
     others = rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled_texts).distinct().select("doc_id", F.lit(0).alias("kind"))
     asked = F.broadcast(confirmed.union(others))
-    found = rows.join(asked, "doc_id").mapInArrow(_sets, "doc_id long, kind int, buckets binary").dropDuplicates(["doc_id", "kind"]).orderBy("kind", "doc_id").collect()
-    sets = {k: [np.frombuffer(r.buckets, "<i4") for r in found if r.kind == k] for k in (0, 1)}
+    found = rows.join(asked, "doc_id").mapInArrow(_sets, "doc_id long, kind int, buckets binary, counts binary, size long").dropDuplicates(["doc_id", "kind"]).orderBy("kind", "doc_id").collect()
+    sets = {k: [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), r["size"]) for r in found if r.kind == k] for k in (0, 1)}
     return fit(sets[1], sets[0], prior) if sets[1] else None
 
 
