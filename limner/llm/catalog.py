@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limner.llm.byte_cnn import fit_language_model, predict_languages
+from limner.llm.chunk_prints import compared_with_next
+from limner.llm.class_lm import class_model_scores
 from limner.llm.exact_dedup import exact_duplicates
 from limner.llm.line_dedup import line_report
 from limner.llm.ngram_join import shingle_groups
@@ -30,6 +32,10 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_report(_table(spark, sf, "documents"))
 
 
+def op3_class_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return class_model_scores(_table(spark, sf, "documents"), remainder(7) == 2)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return shingle_groups(_table(spark, sf, "documents"))
 
@@ -44,6 +50,10 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return predict_languages(docs, model).withColumn("held_out", remainder(4) == 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_chunk_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return compared_with_next(_table(spark, sf, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed_documents(_table(spark, sf, "documents"))
 
@@ -98,9 +108,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op2_line_dedup,
+        op3_class_lm,
         op4_ngram_jaccard_join,
         op5_exact_dedup,
         op7_language_id,
+        op8_chunk_fingerprints,
         op9_best_fit_packing,
         op10_toxicity,
     )

@@ -66,10 +66,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = text_bytes(texts)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _IN_WORD[raw]
-    first = np.zeros(len(raw) + 1, bool)
-    first[offsets] = True
-    starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    starts = _starts(raw, offsets)[0]
     before = np.searchsorted(starts, offsets)
     hashes = np.empty(len(starts), np.uint64)
     a = 0
@@ -87,6 +84,28 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes), before
 
 
+def _starts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first and of the last byte of each word."""
+    inside = _IN_WORD[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    return starts, np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False]))))
+
+
+def word_endings(texts: pa.Array, n_bytes: int = 3) -> np.ndarray:
+    """Hashes of the last bytes of the words, in the order of ``word_hashes``."""
+    raw, offsets = text_bytes(texts)
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    starts, last = _starts(raw, offsets)
+    ending = np.zeros(len(starts), np.uint64)
+    for k in range(n_bytes):
+        at = last - k
+        ending = ending * np.uint64(257) + np.where(at >= starts, _VALUE[raw[np.maximum(at, 0)]], 0).astype(np.uint64)
+    return mix(ending)
+
+
 def shingle_sets(hashes: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of runs of ``width`` words for each text, and the bounds of each set.
 
