@@ -11,9 +11,11 @@ from limner.llm.byte_cnn import fit_language_model, predict_languages
 from limner.llm.chunk_prints import compared_with_next
 from limner.llm.class_lm import class_model_scores
 from limner.llm.exact_dedup import exact_duplicates
+from limner.llm.license_scan import license_blocks
 from limner.llm.line_dedup import line_report
 from limner.llm.ngram_join import shingle_groups
 from limner.llm.packing import packed_documents
+from limner.llm.piece_dropout import decode_documents, encode_documents
 from limner.llm.toxicity import fit_toxicity, toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,10 @@ def remainder(n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_blocks(_table(spark, sf, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_report(_table(spark, sf, "documents"))
 
@@ -44,6 +50,12 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf, "documents"))
 
 
+def op6_piece_dropout(spark: SparkSession, sf: str) -> DataFrame:
+    decoded = decode_documents(encode_documents(_table(spark, sf, "documents")))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), same.alias("lossless"))
+
+
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = fit_language_model(docs, remainder(4) != 2)
@@ -107,10 +119,12 @@ SQL: dict[str, str] = {
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
         op2_line_dedup,
         op3_class_lm,
         op4_ngram_jaccard_join,
         op5_exact_dedup,
+        op6_piece_dropout,
         op7_language_id,
         op8_chunk_fingerprints,
         op9_best_fit_packing,
