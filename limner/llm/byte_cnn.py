@@ -25,6 +25,8 @@ EMBEDDING = 8
 TEXTS_PER_LANGUAGE = 800
 WINDOWS_PER_TEXT = 3
 EPOCHS = 6
+#: A small sample is gone through more often, until so many steps are done.
+STEPS = 500
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -71,8 +73,10 @@ class ByteCNN:
         means = [np.zeros_like(w) for w in weights]
         squares = [np.zeros_like(w) for w in weights]
         step = 0
+        batches = max(1, len(x) // size)
+        epochs = max(epochs, -(-STEPS // batches))
         for epoch in range(epochs):
-            for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // size)):
+            for rows in np.array_split(rng.permutation(len(x)), batches):
                 step += 1
                 now = rate * (1 - epoch / epochs)
                 for w, g, m, s in zip(weights, self._gradients(x[rows], y[rows]), means, squares, strict=True):
