@@ -602,13 +602,13 @@ def box_stats_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
     having(
         B.GEOM,
         B.PNG,
-        then="SELECT 1::BIGINT AS shards, 0::BIGINT AS bad_shards, count(*) FILTER (error IS NULL) AS decoded_images, "
+        then="SELECT (SELECT count(DISTINCT source_shard) FROM geom) AS shards, 0::BIGINT AS bad_shards, count(*) FILTER (error IS NULL) AS decoded_images, "
         "count(*) FILTER (error IS NOT NULL) AS decode_errors, count(*) AS total_rows FROM png",
     )
 )
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.png(spark, sf)
-    return P.audit_report(rows, I.image_dims(rows, "payload", jpeg=False), n_shards=1, n_bad=0)
+    return P.audit_report(rows, I.image_dims(rows, "payload", jpeg=False), S.bad_shards(spark, sf, B.DOCUMENT_SHARD, "documents.parquet"))
 
 
 # Positions, prefixes, formatted reports

@@ -245,12 +245,14 @@ FINAL = "final AS (" + _first("target, model_id", BEST, "runs", "*") + "), top A
 @query(
     having(
         B.RUNS, FINAL,
-        then="SELECT 1::BIGINT AS n_runs_scanned, (SELECT count(*) FROM runs) AS n_rows_all, (SELECT count(*) FROM final) AS n_rows_final, 'best_top1' AS selection_mode, "
+        then="SELECT (SELECT count(DISTINCT run_id) FROM runs) AS n_runs_scanned, (SELECT count(*) FROM runs) AS n_rows_all, (SELECT count(*) FROM final) AS n_rows_final, 'best_top1' AS selection_mode, "
         "(SELECT string_agg(target || '=' || model_id, ',' ORDER BY target) FROM top) AS best",
     )
 )
 def merge_summary(spark: SparkSession, sf: str) -> DataFrame:
-    summary = L.merge_runs([B.runs(spark, sf)])["merge_summary"]
+    rows = B.runs(spark, sf)
+    n_runs = rows.agg(F.count_distinct("run_id")).first()[0]
+    summary = L.merge_runs([rows], n_scanned=n_runs)["merge_summary"]
     best = F.transform("best_per_target", lambda b: F.concat_ws("=", b["target"], b["model_id"]))
     return summary.select("n_runs_scanned", "n_rows_all", "n_rows_final", "selection_mode", F.array_join(best, ",").alias("best"))
 

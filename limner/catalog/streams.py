@@ -90,6 +90,7 @@ def _scored_stream(spark: SparkSession, sf: str, then, mode: str) -> DataFrame:
 
 @query("SELECT count(*) AS done FROM documents")
 def streamed_progress(spark: SparkSession, sf: str) -> DataFrame:
-    run = I.stream_to_cache(_documents(spark, sf).select("doc_id"), scratch_path(spark, "progress"))
-    run.awaitTermination()
-    return I.eta(I.progress_table(spark, run), 0).select("done")
+    with I.ProgressLog(spark) as log:
+        run = I.stream_to_cache(_documents(spark, sf).select("doc_id"), scratch_path(spark, "progress"))
+        run.awaitTermination()
+        return I.eta(log.table(run), 0).select("done")

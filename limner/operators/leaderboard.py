@@ -181,9 +181,12 @@ def merge_summary(all_runs: DataFrame, final: DataFrame, best: DataFrame, mode:
 
 
 def merge_runs(
-    frames: Sequence[DataFrame], prefer_latest: bool = False, n_images: int = 0, prefixes: Sequence[str] = ()
+    frames: Sequence[DataFrame], prefer_latest: bool = False, n_images: int = 0, prefixes: Sequence[str] = (), n_scanned: int | None = None
 ) -> dict[str, DataFrame]:
-    """All tables of a merge: long, leaderboard, final, best per target, summary."""
+    """All tables of a merge: long, leaderboard, final, best per target, summary.
+
+    ``n_scanned`` is the number of run folders, by default one per frame; frames of ``read_runs`` hold several.
+    """
     merged = require_prefixes(exact_n(coerce_numeric(union_runs(frames)), n_images), prefixes)
     final = latest_per_model(merged) if prefer_latest else best_per_model(merged)
     best = best_per_target(final)
@@ -193,5 +196,5 @@ def merge_runs(
         "all_runs_leaderboard": leaderboard(merged),
         "final_table": final,
         "best_per_target": best,
-        "merge_summary": merge_summary(merged, final, best, mode, len(frames)),
+        "merge_summary": merge_summary(merged, final, best, mode, len(frames) if n_scanned is None else n_scanned),
     }

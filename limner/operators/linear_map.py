@@ -111,6 +111,8 @@ def fit_linear_map(
     fold follows from them, and only systems of the size of the vectors are
     solved on the driver.
     """
+    # folds are drawn among the pairs that exist
+    pairs = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     dims = pairs.agg(
         F.min(F.size(x)).alias("x0"), F.max(F.size(x)).alias("x1"), F.min(F.size(y)).alias("y0"), F.max(F.size(y)).alias("y1")
     ).first()

@@ -21,7 +21,8 @@ def drop_unlabelled(df: DataFrame, label: str) -> DataFrame:
 
 
 def _share(cond: Column) -> Column:
-    return F.avg(cond.cast("double"))
+    """Share of rows where ``cond`` holds; a row without a prediction or label is a miss."""
+    return F.avg(F.coalesce(cond, F.lit(False)).cast("double"))
 
 
 def accuracy(df: DataFrame, truth: str = "true_label", pred: str = "pred_label") -> DataFrame:

@@ -233,10 +233,16 @@ def outliers(df: DataFrame, by: str, tie: str, n: int = 100) -> DataFrame:
 
 
 def _bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).first()
+    ends = df.agg(*[f(_finite(c)).alias(f"{f.__name__}_{c}") for c in cols for f in (F.min, F.max)]).first()
     return {c: (ends[f"min_{c}"], ends[f"max_{c}"]) for c in cols}
 
 
+def _finite(c: str) -> Column:
+    """The number in a column; NULL for NaN and infinite ones, which have no bin."""
+    x = F.col(c).cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
 def _bin(x: Column, lo: float, hi: float, bins: int) -> Column:
     """0-based equal-width bin; the upper end belongs to the last bin."""
     if hi == lo:
@@ -246,14 +252,14 @@ def _bin(x: Column, lo: float, hi: float, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 60) -> DataFrame:
-    """Rows per equal-width bin of each column: ``metric, bin, lo, hi, n``; empty bins are left out."""
+    """Rows per equal-width bin of the finite values of each column: ``metric, bin, lo, hi, n``; empty bins are left out."""
     spans = {c: s for c, s in _bounds(df, cols).items() if s[0] is not None}
     if not spans:
         return df.sparkSession.createDataFrame([], "metric string, bin int, lo double, hi double, n bigint")
     cells = [
         F.struct(
             F.lit(c).alias("metric"),
-            F.when(F.col(c).isNotNull(), _bin(F.col(c), lo, hi, bins)).alias("bin"),
+            F.when(_finite(c).isNotNull(), _bin(_finite(c), lo, hi, bins)).alias("bin"),
             F.lit(lo).alias("_lo"),
             F.lit((hi - lo) / bins).alias("_step"),
         )
@@ -279,7 +285,7 @@ def density_2d(df: DataFrame, x: str, y: str, bins: int = 45) -> DataFrame:
     spans = _bounds(df, [x, y])
     if spans[x][0] is None or spans[y][0] is None:
         return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, n bigint")
-    cells = [_bin(F.col(c), *spans[c], bins).alias(name) for c, name in ((x, "x_bin"), (y, "y_bin"))]
+    cells = [F.when(_finite(c).isNotNull(), _bin(_finite(c), *spans[c], bins)).alias(name) for c, name in ((x, "x_bin"), (y, "y_bin"))]
     return df.groupBy(*cells).agg(F.count("*").alias("n"))
 
 
@@ -313,11 +319,18 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return keyed.drop("_hash")
 
 
-def audit_report(rows: DataFrame, decoded: DataFrame, n_shards: int, n_bad: int) -> DataFrame:
-    """Shards, bad shards, rows, decoded images and decode errors in one row."""
+def audit_report(rows: DataFrame, decoded: DataFrame, bad: DataFrame | None = None, shard: str = "source_shard") -> DataFrame:
+    """Shards, bad shards, rows, decoded images and decode errors in one row.
+
+    ``rows`` names the shard of each row; ``bad`` has one row per shard that lost rows, and ``read_rows`` if some were read.
+    """
+    lost = rows.sparkSession.range(1).select(F.lit(0).alias("n"), F.lit(0).alias("silent"))
+    if bad is not None:
+        silent = F.count_if(F.coalesce("read_rows", F.lit(0)) == 0) if "read_rows" in bad.columns else F.count("*")
+        lost = bad.agg(F.count("*").alias("n"), silent.alias("silent"))
     return decoded.agg(
-        F.lit(n_shards).cast("bigint").alias("shards"),
-        F.lit(n_bad).cast("bigint").alias("bad_shards"),
+        (rows.agg(F.count_distinct(shard)).scalar() + lost.select("silent").scalar()).cast("bigint").alias("shards"),
+        lost.select("n").scalar().cast("bigint").alias("bad_shards"),
         F.count_if(F.col("error").isNull()).alias("decoded_images"),
         F.count_if(F.col("error").isNotNull()).alias("decode_errors"),
     ).withColumn("total_rows", rows.agg(F.count("*")).scalar())

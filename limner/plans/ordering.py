@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from limner.plans.joins import if_small
 from limner.plans.staging import stage
@@ -110,7 +110,7 @@ def _melt(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-MAX_GROUPS = 64
+MAX_GROUPS = 1_000
 
 
 def exact_quantiles(
@@ -166,13 +166,14 @@ MAX_PASSES = 12
 
 @dataclass(frozen=True)
 class _Cell:
-    """Values of one metric and group within [lo, hi], of which ``before`` lie below."""
+    """Values of one metric and group within [lo, hi], of which ``before`` lie below, and the ranks to find among them."""
 
     group: int
     metric: str
     lo: float
     hi: float
     before: int
+    ranks: tuple[int, ...]
 
 
 def _quantiles_by_histogram(
@@ -185,22 +186,20 @@ def _quantiles_by_histogram(
     wanted rank becomes a cell of the next pass. Bins are monotone in the value,
     so rounding in their arithmetic cannot change a rank.
     """
-    wanted: dict[tuple[int, str], set[int]] = {}
     cells: list[_Cell] = []
     for g, row in enumerate(groups):
         for c in cols:
             n = row[f"count|{c}"]
             if n:
                 ranks = {math.floor(q * (n - 1)) for q in qs} | {math.ceil(q * (n - 1)) for q in qs}
-                wanted[g, c] = ranks
-                cells.append(_Cell(g, c, row[f"min|{c}"], row[f"max|{c}"], 0))
+                cells.append(_Cell(g, c, row[f"min|{c}"], row[f"max|{c}"], 0, tuple(sorted(ranks))))
     at_rank: dict[tuple[int, str, int], float] = {}
     passes = 0
     while cells:
         pending = []
         for cell in cells:
             if cell.lo == cell.hi:
-                at_rank.update({(cell.group, cell.metric, r): cell.lo for r in wanted[cell.group, cell.metric]})
+                at_rank.update({(cell.group, cell.metric, r): cell.lo for r in cell.ranks})
             else:
                 pending.append(cell)
         if not pending:
@@ -209,18 +208,18 @@ def _quantiles_by_histogram(
         steps = [cell.hi / BINS - cell.lo / BINS for cell in pending]
         if passes > MAX_PASSES or not all(0 < s < math.inf for s in steps):
             return _quantiles_by_range(df, cols, qs, by)  # infinite or extremely spread values
-        bins = _histogram(df, pending, by, groups)
-        cells = []
-        for i, cell in enumerate(pending):
-            upto = cell.before
-            ranks = wanted[cell.group, cell.metric]
-            for _bin, n, lo, hi in sorted(bins.get(i, ())):
-                inside = [r for r in ranks if upto <= r < upto + n and (cell.group, cell.metric, r) not in at_rank]
-                if inside and lo == hi:
-                    at_rank.update({(cell.group, cell.metric, r): lo for r in inside})
-                elif inside:
-                    cells.append(_Cell(cell.group, cell.metric, lo, hi, upto))
-                upto += n
+        narrower: dict[tuple[int, int], list] = {}
+        for r in _histogram(df, pending, by, groups):
+            cell = pending[r["cell"]]
+            rank = cell.before + r["rank"]
+            if r["lo"] == r["hi"]:
+                at_rank[cell.group, cell.metric, rank] = r["lo"]
+            else:
+                narrower.setdefault((r["cell"], r["before"]), [r["lo"], r["hi"], []])[2].append(rank)
+        cells = [
+            _Cell(pending[i].group, pending[i].metric, lo, hi, pending[i].before + before, tuple(sorted(ranks)))
+            for (i, before), (lo, hi, ranks) in narrower.items()
+        ]
     out = []
     for g, row in enumerate(groups):
         for c in cols:
@@ -235,35 +234,41 @@ def _quantiles_by_histogram(
     return df.sparkSession.createDataFrame(out, schema)
 
 
-def _histogram(df: DataFrame, cells: Sequence[_Cell], by: list[str], groups: Sequence[Row]) -> dict[int, list[tuple]]:
-    """Bins ``(bin, n, smallest, largest)`` of each cell; at most ``BINS`` rows per cell reach the driver."""
+def _histogram(df: DataFrame, cells: Sequence[_Cell], by: list[str], groups: Sequence[Row]) -> list[Row]:
+    """For each wanted rank of each cell the bin that holds it: ``cell, rank, before, lo, hi``, ranks within the cell.
+
+    The cells are a table that is broadcast: one row per group, metric and unresolved rank at most.
+    """
     metrics = list(dict.fromkeys(cell.metric for cell in cells))
     values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), _number(c).alias("x")) for m, c in enumerate(metrics)]))
-    long = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], values.alias("_v")).select(
-        *[f"_k{i}" for i in range(len(by))], "_v.m", "_v.x"
+    keys = [f"_k{i}" for i in range(len(by))]
+    long = df.select(*[F.col(k).alias(name) for k, name in zip(by, keys, strict=True)], values.alias("_v")).select(*keys, "_v.m", "_v.x")
+    schema = StructType(
+        [
+            *[StructField(f"_c{i}", df.schema[k].dataType) for i, k in enumerate(by)],
+            *[StructField(n, t) for n, t in (("_m", IntegerType()), ("cell", IntegerType()), ("_lo", DoubleType()), ("_hi", DoubleType()))],
+        ]
     )
-    number = F.lit(None).cast("int")
-    for i, cell in enumerate(cells):
-        here = (F.col("m") == metrics.index(cell.metric)) & F.col("x").between(F.lit(cell.lo), F.lit(cell.hi))
-        for k, name in enumerate(by):
-            here = here & F.col(f"_k{k}").eqNullSafe(F.lit(groups[cell.group][name]))
-        number = F.when(here, i).otherwise(number)
+    table = [(*[groups[c.group][k] for k in by], metrics.index(c.metric), i, c.lo, c.hi) for i, c in enumerate(cells)]
+    spark = df.sparkSession
+    here = (F.col("m") == F.col("_m")) & F.col("x").between(F.col("_lo"), F.col("_hi"))
+    for i in range(len(by)):
+        here = here & F.col(f"_k{i}").eqNullSafe(F.col(f"_c{i}"))
     # Divided by a power of two first, so that the widest spans do not overflow.
-    lo = F.get(F.lit([c.lo / BINS for c in cells]), F.col("cell"))
-    step = F.get(F.lit([c.hi / BINS - c.lo / BINS for c in cells]), F.col("cell"))
+    lo, step = F.col("_lo") / BINS, F.col("_hi") / BINS - F.col("_lo") / BINS
     bin_ = F.least(F.floor((F.col("x") / BINS - lo) / step * BINS), F.lit(BINS - 1)).cast("int")
-    found = (
-        long.withColumn("cell", number)
-        .filter("cell IS NOT NULL")
+    bins = (
+        long.join(F.broadcast(spark.createDataFrame(table, schema)), here)
         .select("cell", bin_.alias("bin"), "x")
         .groupBy("cell", "bin")
         .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .toArrow()
     )
-    bins: dict[int, list[tuple]] = {}
-    for cell, *rest in zip(*[found[c].to_pylist() for c in ("cell", "bin", "n", "lo", "hi")]):
-        bins.setdefault(cell, []).append(tuple(rest))
-    return bins
+    upto = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+    ranks = [(i, r - c.before) for i, c in enumerate(cells) for r in c.ranks]
+    wanted = F.broadcast(spark.createDataFrame(ranks, "_cell int, rank long"))
+    held = (F.col("cell") == F.col("_cell")) & (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
+    return placed.join(wanted, held).select("cell", "rank", "before", "lo", "hi").collect()
 
 
 def hash_order(id_cols: Sequence[str], seed: int) -> Column:

@@ -25,6 +25,11 @@ def _matching(spark: SparkSession, root: str, patterns: Sequence[str]) -> list[s
     return sorted(found)
 
 
+def count_runs(spark: SparkSession, root: str, run_globs: Sequence[str], file: str = "summary/metrics_long.csv") -> int:
+    """Run folders with a metric table that match any of the patterns, each once."""
+    return len(_matching(spark, root, [f"{glob.rstrip('/')}/{file}" for glob in run_globs]))
+
+
 def read_runs(
     spark: SparkSession, root: str, run_globs: Sequence[str], file: str = "summary/metrics_long.csv"
 ) -> list[DataFrame]:

@@ -29,11 +29,11 @@ def read_shards(
 
 
 def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``path, length`` of every file below ``root``; contents are not read."""
+    """``path, length`` of every file below ``root``, with the paths of the scans; contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(root).select("path", "length")
+    return reader.load(root).select(F.col("_metadata.file_path").alias("path"), "length")
 
 
 def dataset_footprint(spark: SparkSession, root: str, glob: str = "*.parquet") -> DataFrame:
@@ -47,27 +47,42 @@ def dataset_footprint(spark: SparkSession, root: str, glob: str = "*.parquet") -
     return out
 
 
-MAX_LISTED_FILES = 100_000
+#: Files opened by one scan.
+_OPENED_AT_ONCE = 10_000
 
 
-def bad_shards(spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
-    """``path, length, error`` of files that cannot be read as parquet.
+def bad_shards(
+    spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.parquet", columns: Sequence[str] | None = None
+) -> DataFrame:
+    """``path, length, error, expected_rows, read_rows`` of files that cannot be read whole as parquet.
 
-    The listing is compared with the files that gave rows. Only files that gave
-    none are opened, to tell an empty table (its file ends with ``PAR1``) from a
-    broken one.
+    The rows that each file's footer promises are compared with those a tolerant scan of ``columns`` (all by
+    default) returns, so damaged pages behind a sound footer are found too. Only files without any row are
+    opened, to tell an empty table (its file ends with ``PAR1``) from a broken one.
     """
-    readable = read_shards(spark, root, schema, [], tolerant=True, glob=glob).select("source_shard").distinct()
+    names = schema.fieldNames() if columns is None else list(columns)
+    expected = read_shards(spark, root, schema, [], tolerant=True, glob=glob).groupBy("source_shard").agg(F.count("*").alias("expected_rows"))
+    # a digest of the values, so that the pages are decoded and not only counted
+    whole = F.when(F.bit_xor(F.xxhash64(*names)).isNotNull(), F.count("*"))
+    read = read_shards(spark, root, schema, names, tolerant=True, glob=glob).groupBy("source_shard").agg(whole.alias("read_rows"))
     files = list_files(spark, root, glob)
-    silent = files.join(readable, files["path"] == readable["source_shard"], "left_anti")
-    paths = [r["path"] for r in silent.select("path").limit(MAX_LISTED_FILES + 1).collect()]
-    if len(paths) > MAX_LISTED_FILES:
-        raise ValueError(f"more than {MAX_LISTED_FILES} files without rows below {root}")
-    if not paths:
-        return silent.withColumn("error", F.lit("not a parquet file")).limit(0)
-    opened = spark.read.format("binaryFile").load(paths)
+    seen = files.join(expected, files["path"] == expected["source_shard"], "left").drop("source_shard")
+    seen = seen.join(read, seen["path"] == read["source_shard"], "left").drop("source_shard")
+    lost = seen.filter(F.coalesce("read_rows", F.lit(0)) < F.coalesce("expected_rows", F.lit(0)))
+    damaged = lost.select("path", "length", F.lit("damaged pages").alias("error"), "expected_rows", F.coalesce("read_rows", F.lit(0)).alias("read_rows"))
+    silent = seen.filter(F.col("expected_rows").isNull()).select("path", "length")
+    paths, out = [], damaged
+    for row in silent.toLocalIterator():
+        paths.append(row["path"])
+        if len(paths) == _OPENED_AT_ONCE:
+            out, paths = out.union(_not_parquet(spark, paths)), []
+    return out.union(_not_parquet(spark, paths)) if paths else out
+
+
+def _not_parquet(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    opened = spark.read.format("binaryFile").load(list(paths))
     broken = opened.filter((F.col("length") < 8) | (F.substring("content", -4, 4) != F.lit(b"PAR1")))
-    return broken.select("path", "length", F.lit("not a parquet file").alias("error"))
+    return broken.select("path", "length", F.lit("not a parquet file"), F.lit(None).cast("long"), F.lit(0).cast("long"))
 
 
 def shard_row_counts(rows: DataFrame) -> DataFrame:

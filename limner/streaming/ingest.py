@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from limner.plans.staging import scratch_path
 from limner.sources.tables import path_exists
@@ -36,7 +37,7 @@ def _start(df: DataFrame, checkpoint: str | None, each: Callable[[DataFrame, int
     )
 
 
-def _batch_path(path: str, batch: int) -> str:
+def batch_path(path: str, batch: int) -> str:
     return f"{path}/batch={batch:012d}"
 
 
@@ -57,8 +58,8 @@ def stream_with_quarantine(
     Each batch overwrites its own folder, so a replayed batch is not counted twice.
     """
     def split(batch: DataFrame, batch_id: int) -> None:
-        batch.filter(F.col(error).isNull()).drop(error).write.mode("overwrite").parquet(_batch_path(good_path, batch_id))
-        batch.filter(F.col(error).isNotNull()).write.mode("overwrite").parquet(_batch_path(bad_path, batch_id))
+        batch.filter(F.col(error).isNull()).drop(error).write.mode("overwrite").parquet(batch_path(good_path, batch_id))
+        batch.filter(F.col(error).isNotNull()).write.mode("overwrite").parquet(batch_path(bad_path, batch_id))
     return _start(df, checkpoint, split)
 
 
@@ -74,18 +75,63 @@ def take_good_rows(df: DataFrame, path: str, n: int, checkpoint: str | None = No
             have = earlier.filter(number < batch_id).count()
         if have < n:
             rows = batch.orderBy("source_shard", "source_row_idx").limit(n - have)
-            rows.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+            rows.write.mode("overwrite").parquet(batch_path(path, batch_id))
     return _start(df, checkpoint, keep)
 
 
+class ProgressLog(StreamingQueryListener):
+    """Every batch that queries report while the log is open; Spark itself keeps the last 100 of a query only.
+
+    One row of four numbers per batch is held on the driver.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._batches: dict[str, list[tuple]] = {}
+        self._ended: dict[str, threading.Event] = {}
+
+    def __enter__(self) -> ProgressLog:
+        self._spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._spark.streams.removeListener(self)
+
+    def _of(self, run_id: object) -> threading.Event:
+        return self._ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._of(event.runId)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self._batches.setdefault(str(p.runId), []).append((int(p.batchId), p.timestamp, int(p.numInputRows), float(p.processedRowsPerSecond or 0.0)))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._of(event.runId).set()
+
+    def table(self, query: StreamingQuery, wait: float = 60.0) -> DataFrame:
+        """``batch_id, ts, input_rows, rows_per_second`` of all batches of a query; of one that ended, after its last report."""
+        if not query.isActive and not self._of(query.runId).wait(wait):
+            raise TimeoutError("the end of the query was not reported")
+        return _progress(self._spark, self._batches.get(str(query.runId), []))
+
+
+def _progress(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    table = spark.createDataFrame(rows, "batch_id long, ts string, input_rows long, rows_per_second double")
+    return table.withColumn("ts", F.to_timestamp("ts"))
+
+
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """``batch_id, ts, input_rows, rows_per_second`` of the batches a query has reported."""
+    """The batches a query still holds reports of, of which Spark keeps the last 100; ``ProgressLog`` has all."""
     seen = [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p) for p in query.recentProgress]
     rows = [
         (int(p["batchId"]), p["timestamp"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0)) for p in seen
     ]
-    table = spark.createDataFrame(rows, "batch_id long, ts string, input_rows long, rows_per_second double")
-    return table.withColumn("ts", F.to_timestamp("ts"))
+    return _progress(spark, rows)
 
 
 def eta(progress: DataFrame, total_rows: int) -> DataFrame:
