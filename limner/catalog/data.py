@@ -141,16 +141,16 @@ def geometry_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(having(B.GEOM, B.PNG, then="SELECT source_shard, source_row_idx, error FROM png WHERE error IS NOT NULL ORDER BY 1, 2 LIMIT 100"))
 def first_decode_errors(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = stage(B.png(spark, sf), "payloads")
-    _valid, bad = I.split_quarantine(I.image_dims(payloads, "payload", jpeg=False))
     order = ["source_shard", "source_row_idx"]
-    return I.first_errors(bad.select(*order, "error"), order)
+    measured = I.image_dims(B.png(spark, sf), "payload", jpeg=False).select(*order, "error")
+    _valid, bad = I.split_quarantine(measured)
+    return I.first_errors(bad, order)
 
 
 @query(having(B.GEOM, B.PNG, then="SELECT error IS NULL AS valid, count(*) AS n FROM png GROUP BY 1"))
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = stage(B.png(spark, sf), "payloads")
-    valid, bad = I.split_quarantine(I.image_dims(payloads, "payload", jpeg=False))
+    measured = stage(I.image_dims(B.png(spark, sf), "payload", jpeg=False).select("source_shard", "source_row_idx", "error"), "measured")
+    valid, bad = I.split_quarantine(measured)
     counted = lambda df, flag: df.agg(F.lit(flag).alias("valid"), F.count("*").alias("n"))
     return counted(valid, True).unionByName(counted(bad, False))
 

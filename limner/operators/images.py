@@ -54,6 +54,10 @@ def jpeg_dims(data: bytes) -> tuple[int | None, int | None, str | None]:
     return None, None, "truncated header"
 
 
+#: Bytes of a JPEG that are looked at first.
+JPEG_HEAD = 1 << 16
+
+
 @F.pandas_udf(fields(width=T.LongType(), height=T.LongType(), error=T.StringType()))
 def _jpeg_dims(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for payloads in batches:
@@ -110,7 +114,8 @@ def image_dims(df: DataFrame, payload: str, jpeg: bool = True) -> DataFrame:
 
     PNG, GIF and BMP are read with built-in expressions. Only JPEG payloads,
     whose size sits behind a chain of segments, go through an Arrow UDF, and
-    only when ``jpeg`` is on.
+    only when ``jpeg`` is on: their first 64 KB, and all of those whose header
+    lies further back.
     """
     b = F.col(payload)
     found = _header_dims(F.col("_head"), F.col("_n"))
@@ -118,8 +123,11 @@ def image_dims(df: DataFrame, payload: str, jpeg: bool = True) -> DataFrame:
     out = measured.withColumn("_dims", found).drop("_head", "_n")
     if jpeg:
         is_jpeg = F.substring(b, 1, 2) == F.lit(JPEG_MAGIC)
-        out = out.withColumn("_jpeg", _jpeg_dims(F.when(is_jpeg, b)))
-        out = out.withColumn("_dims", F.when(is_jpeg, F.col("_jpeg")).otherwise(F.col("_dims"))).drop("_jpeg")
+        out = out.withColumn("_jpeg", _jpeg_dims(F.when(is_jpeg, F.substring(b, 1, JPEG_HEAD))))
+        beyond = is_jpeg & (F.col("_jpeg.error") == "truncated header") & (F.octet_length(b) > JPEG_HEAD)
+        out = out.withColumn("_whole", _jpeg_dims(F.when(beyond, b)))
+        jpeg_found = F.when(beyond, F.col("_whole")).otherwise(F.col("_jpeg"))
+        out = out.withColumn("_dims", F.when(is_jpeg, jpeg_found).otherwise(F.col("_dims"))).drop("_jpeg", "_whole")
     return out.withColumns({c: F.col(f"_dims.{c}") for c in ("width", "height", "error")}).drop("_dims")
 
 

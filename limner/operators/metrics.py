@@ -112,12 +112,17 @@ def confusion_matrix(df: DataFrame, n_classes: int, truth: str = "true_label", p
 
 
 def align_truth(scores: DataFrame, truth: DataFrame, keys: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """``keys, label, score, truth`` for the labels that have a truth column; joined by key, not by position."""
+    """``keys, label, score, truth`` for the labels that have a truth column; joined by key, not by position.
+
+    The wide rows are joined, one per item, and become one row per label afterwards.
+    """
     known = [c for c in labels if c in truth.columns]
     keys = list(keys)
-    s = scores.select(*keys, *[F.col(c).cast("double").alias(c) for c in known]).unpivot(keys, known, "label", "score")
-    t = truth.select(*keys, *[F.col(c).cast("int").alias(c) for c in known]).unpivot(keys, known, "label", "truth")
-    return s.join(t, [*keys, "label"])
+    s = scores.select(*keys, F.array(*[F.col(c).cast("double") for c in known]).alias("_scores"))
+    t = truth.select(*keys, F.array(*[F.col(c).cast("int") for c in known]).alias("_truths"))
+    names = F.array(*[F.lit(c) for c in known])
+    cells = F.inline(F.arrays_zip(names.alias("label"), F.col("_scores").alias("score"), F.col("_truths").alias("truth")))
+    return s.join(t, keys).select(*keys, cells).toDF(*keys, "label", "score", "truth")
 
 
 def prf_by_label(df: DataFrame, threshold: float, by: Sequence[str] = ("label",)) -> DataFrame:

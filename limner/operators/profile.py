@@ -183,12 +183,12 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair: ``c1, c2, r``; NULL when a column is constant.
 
-    One pass over plain sums of values shifted close to zero, which keeps the
-    generated code short and the sums exact enough. Only if a column holds NULLs
-    a second pass repeats the sums per pair, over the rows that have both values.
+    One pass finds the means of all rows, a second one plain sums of values shifted by
+    them, which keeps the generated code short and the sums exact enough. Only if a column
+    holds NULLs another pass repeats the sums per pair, over the rows that have both values.
     """
     x = {c: F.col(c).cast("double") for c in cols}
-    near = df.limit(1_000).agg(*[F.coalesce(F.avg(x[c]), F.lit(0.0)).alias(c) for c in cols]).first()
+    near = df.agg(*[F.coalesce(F.avg(x[c]), F.lit(0.0)).alias(c) for c in cols]).first()
     d = {c: x[c] - F.lit(near[c]) for c in cols}
     sums = df.agg(
         F.count("*").alias("n"),

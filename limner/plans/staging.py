@@ -21,7 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="limner-")
     spark.conf.set(_SETTING, root)
