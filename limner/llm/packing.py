@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limner.llm.word_tokens import WordTokens
+from limner.llm.word_tokens import shared_words
 from limner.plans.staging import stage
 
 CAPACITY = 4096
@@ -31,7 +31,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _cut(capacity: int, end_id: int, path: str | None):
     def run(batches):
-        words = WordTokens(path)
+        words = shared_words(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]

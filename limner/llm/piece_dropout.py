@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -220,9 +221,15 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(4)
+def shared_coder(path: str | None, dropout: float, seed: int, variants: int) -> PieceCoder:
+    """The coder of this worker process, for all its tasks."""
+    return PieceCoder(path, dropout, seed, variants)
+
+
 def _encoded(path, dropout, seed, variants):
     def run(batches):
-        coder = PieceCoder(path, dropout, seed, variants)
+        coder = shared_coder(path, dropout, seed, variants)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             draws = batch.column("draw").to_numpy().view(np.uint64)
@@ -252,7 +259,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
 
 def _decoded(path):
     def run(batches):
-        coder = PieceCoder(path, 0.0)
+        coder = shared_coder(path, 0.0, SEED, 1)
         for batch in batches:
             ids = batch.column("ids")
             values, cuts = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])

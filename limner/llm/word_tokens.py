@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers at most; it then starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 # The word pattern of the vocabulary file, written out for texts of Latin-1 characters in lower case.
 _LETTER, _DIGIT, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -22,6 +23,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(2)
+def shared_words(path: str | None = None) -> WordTokens:
+    """The words of this worker process: what one task looked up, the next one finds."""
+    return WordTokens(path)
+
+
 class WordTokens(dict):
     """Ids of words as little-endian unsigned 32-bit integers, and of texts word by word.
 
