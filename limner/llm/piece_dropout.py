@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import zlib
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ SEED = 1
 #: Segmentations a word can have under one seed.
 VARIANTS = 4
 _SPACE = "▁"
-_CHUNKS = re.compile(" +[^ \n]*|\n|[^ \n]+")
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _NONE = np.iinfo(np.int64).max
 #: Chunks up to this length go through the agenda side by side, longer ones one by one.
 _SIDE_BY_SIDE = 48
@@ -82,6 +83,12 @@ class PieceCoder:
         # the space stands at the start of pieces only, so chunks never merge with what precedes them
         if any(_SPACE in pieces[i].lstrip(_SPACE) or "\n" in pieces[i] for i in normal):
             raise ValueError("the vocabulary has pieces that reach across spaces or lines")
+        # nor do signs that follow a letter in no piece merge with the word before them
+        pairs_seen = {p[k : k + 2] for p in (pieces[i] for i in normal) for k in range(len(p) - 1)}
+        letter = re.compile(f"[{_LETTERS}]")
+        apart = "".join(re.escape(c) for c in string.punctuation if not any(p[1] == c and letter.match(p[0]) for p in pairs_seen))
+        begun = f" *[^ \n{apart}]*[{_LETTERS}](?=[{apart}])|" if apart else ""
+        self.chunks = re.compile(f"{begun} +[^ \n]*|\n|[^ \n]+")
         self.whole = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
     def start(self, text: str) -> np.ndarray:
@@ -197,7 +204,7 @@ class PieceCoder:
 
     def encode(self, texts: list[str], draws: np.ndarray) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; ``draws`` is a 64-bit number for each text."""
-        chunks = [_CHUNKS.findall(" " + t) if t else [] for t in texts]
+        chunks = [self.chunks.findall(" " + t) if t else [] for t in texts]
         sizes = [len(c) for c in chunks]
         turn = np.arange(sum(sizes), dtype=np.uint64) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes).astype(np.uint64)
         variant = (mix(np.repeat(draws, sizes) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).astype(np.int64)
