@@ -15,9 +15,9 @@ from limner.operators import indexing as X
 from limner.operators import profile as P
 from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
-from limner.plans.profile_job import DIMS, profile_document
+from limner.plans.profile_job import DIMS, full_profile_document, profile_document
 from limner.plans.staging import scratch_path, stage
-from limner.sinks.documents import highlights
+from limner.sinks.documents import highlights, profile_report
 from limner.sinks.tables import config_hash, pending_work, read_manifest, write_csv, write_manifest
 from limner.sources import shards as S
 from limner.sources.tables import materialize_once, read_index, resolve_defaults_columns
@@ -684,3 +684,42 @@ counts AS (SELECT 'style' AS dim, style AS class_id, count(*) AS n FROM kept GRO
 )
 def profile_highlights(spark: SparkSession, sf: str) -> DataFrame:
     return highlights(profile_document(B.docs(spark, sf), "image_hash", ["style", "genre"]))
+
+
+# Orders as images: those of like width and height count as copies.
+FULL = """docs AS (SELECT *, md5((width % 97) || '|' || (height % 89)) AS image_hash FROM feat),
+hc AS (SELECT image_hash, count(*) AS n FROM docs GROUP BY 1),
+hs AS (SELECT sum(n)::BIGINT AS total_rows, count(*) AS unique_rows, sum(n - 1)::BIGINT AS duplicate_rows FROM hc),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_hash ORDER BY source_shard, source_row_idx) AS rn FROM docs) WHERE rn = 1),
+counts AS (SELECT 'style' AS dim, CAST(style AS VARCHAR) AS class_id, count(*) AS n FROM kept GROUP BY 1, 2
+  UNION ALL SELECT 'genre', genre, count(*) FROM kept GROUP BY 1, 2 UNION ALL SELECT 'artist', CAST(artist AS VARCHAR), count(*) FROM kept GROUP BY 1, 2),
+per AS (SELECT dim, max(n) / sum(n) AS share, count(*) FILTER (n < 20) AS lt_20, count(*) FILTER (n < 50) AS lt_50, count(*) FILTER (n < 100) AS lt_100 FROM counts GROUP BY 1),
+orient AS (SELECT string_agg(orientation || '=' || n, ', ' ORDER BY n DESC, orientation) AS mix FROM (SELECT orientation, count(*) AS n FROM kept GROUP BY 1)),
+ext AS (SELECT max(megapixels) AS mp, max(aspect_ratio) AS hi, min(aspect_ratio) AS lo FROM kept)"""
+
+
+def _of_dims(table: str, value: str, form: str, label: str) -> str:
+    parts = [f"'{label.format(d)}' || " + form.format(f"(SELECT {value} FROM {table} WHERE dim = '{d}')") for d in ("style", "genre", "artist")]
+    return " || ', ' || ".join(parts)
+
+
+@query(
+    having(
+        B.GEOM, B.FEAT, FULL, BALANCE,
+        then="SELECT CAST(unnest(range(8)) AS INTEGER) AS line_no, unnest(["
+        "'Total rows scanned: ' || format('{:,}', total_rows), "
+        "'Unique rows after exact hash dedupe: ' || format('{:,}', unique_rows), "
+        "'Exact duplicates removed: ' || format('{:,}', duplicate_rows) || ' (' || printf('%.2f', duplicate_rows / total_rows * 100) || '%)', "
+        "'Long-tail evidence (unique set): styles<50=' || (SELECT lt_50 FROM per WHERE dim = 'style') || ', styles<100=' || "
+        "(SELECT lt_100 FROM per WHERE dim = 'style') || ', artists<20=' || (SELECT lt_20 FROM per WHERE dim = 'artist'), "
+        "'Orientation mix (unique set): ' || mix, "
+        "'Concentration: ' || " + _of_dims("per", "share", "printf('%.2f', {} * 100) || '%'", "top_{}_share=") + ", "
+        "'Imbalance (Gini): ' || " + _of_dims("gin", "gini", "printf('%.3f', {})", "{}=") + ", "
+        "'Extremes: max_megapixels=' || printf('%.2f', mp) || ', max_aspect=' || printf('%.2f', hi) || ', min_aspect=' || printf('%.2f', lo)"
+        "]) AS line FROM hs, orient, ext",
+    )
+)
+def profile_report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    copies = F.md5(F.concat_ws("|", F.col("width") % 97, F.col("height") % 89))
+    rows = B.feat(spark, sf).withColumn("image_hash", copies)
+    return profile_report(full_profile_document(rows, "image_hash"))

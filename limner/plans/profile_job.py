@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limner.operators.dedupe import dedupe_summary, dup_group_sizes, hash_counts, keep_first, top_duplicate_hashes
-from limner.operators.profile import class_balance, class_counts, top_classes
+from limner.operators.profile import class_balance, class_counts, coverage, extremes, mix, normalized_entropy, numeric_profile, top_classes
 from limner.plans.staging import stage
 from limner.sinks.documents import nested_counts, nested_rows, summary_document
 
@@ -38,3 +38,42 @@ def profile_document(
         top_duplicate_hashes(hashes, hash_col), [F.desc("n"), F.col(hash_col)], [hash_col, "n"], 20
     )
     return summary_document(rows.sparkSession, parts)
+
+
+SIZES = ["width", "height", "bytes_size", "megapixels", "aspect_ratio"]
+
+
+def full_profile_document(
+    rows: DataFrame,
+    hash_col: str,
+    dims: Sequence[str] = tuple(DIMS),
+    order: Sequence[str] = ("source_shard", "source_row_idx"),
+    errors: DataFrame | None = None,
+    top_k: int = 20,
+) -> DataFrame:
+    """One row with all that a dataset profile holds, over all rows and over those kept.
+
+    ``rows`` has the hash, the ``dims`` and the columns of ``geometry_features``; ``errors`` are the rows that could not be
+    decoded. Besides the parts of ``profile_document``: coverage, entropy and orientation of all and of unique rows,
+    five size profiles, extremes and the number of decode errors.
+    """
+    narrow = rows.select(hash_col, *order, *dims, *SIZES, "orientation")
+    hashes = stage(hash_counts(narrow, hash_col), "hashes")
+    kept = stage(keep_first(narrow, hash_col, list(order)), "kept")
+    counts = {"all": stage(class_counts(narrow, dims), "classes"), "unique": stage(class_counts(kept, dims), "classes")}
+    summary, balance = dedupe_summary(hashes), class_balance(counts["unique"])
+    parts = {c: summary.select(c) for c in summary.columns}
+    parts |= {d: balance.filter(F.col("dim") == d).drop("dim") for d in dims}
+    for name, rows_of in (("all", narrow), ("unique", kept)):
+        parts[f"coverage_{name}"] = nested_counts(coverage(counts[name]), "dim", "classes")
+        parts[f"entropy_norm_{name}"] = nested_counts(normalized_entropy(counts[name]), "dim", "entropy_norm")
+        parts[f"orientation_{name}"] = nested_rows(mix(rows_of, "orientation"), [F.desc("n"), F.col("orientation")], ["orientation", "n"])
+    sizes = numeric_profile(kept, SIZES)
+    parts["size_stats"] = nested_rows(sizes, [F.col("metric")], sizes.columns)
+    parts["extremes"] = extremes(kept)
+    top = top_classes(counts["unique"], top_k)
+    parts |= {f"top_{d}_ids": nested_rows(top.filter(F.col("dim") == d), [F.col("rank")], ["class_id", "n"], top_k) for d in dims}
+    parts["duplicate_group_sizes"] = nested_counts(dup_group_sizes(hashes), "group_size", "hashes")
+    parts["top_duplicate_hashes"] = nested_rows(top_duplicate_hashes(hashes, hash_col), [F.desc("n"), F.col(hash_col)], [hash_col, "n"], 20)
+    parts["decode_errors"] = F.lit(0).cast("bigint") if errors is None else errors.agg(F.count("*"))
+    return summary_document(rows.sparkSession, parts)

@@ -78,6 +78,35 @@ def highlights(doc: DataFrame) -> DataFrame:
     )
 
 
+def profile_report(doc: DataFrame) -> DataFrame:
+    """All eight highlight lines of a full profile (``limner.plans.profile_job.full_profile_document``)."""
+    c = F.col
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    whole = lambda name: c(name).cast("string")
+    shares = [(d, percent(c(f"{d}.top_share"))) for d in ("style", "genre", "artist")]
+    ginis = [(d, fixed(c(f"{d}.gini"), 3)) for d in ("style", "genre", "artist")]
+    listed = lambda cells, form: F.concat_ws(", ", *[text(form.format(d), v) for d, v in cells])
+    mixed = F.array_join(F.transform("orientation_unique", lambda x: F.concat(x["orientation"], F.lit("="), x["n"].cast("string"))), ", ")
+    return report_lines(
+        doc,
+        [
+            text("Total rows scanned: ", thousands(c("total_rows"))),
+            text("Unique rows after exact hash dedupe: ", thousands(c("unique_rows"))),
+            text("Exact duplicates removed: ", thousands(c("duplicate_rows")), " (", percent(c("duplicate_rate")), ")"),
+            text(
+                "Long-tail evidence (unique set): styles<50=", whole("style.lt_50"), ", styles<100=", whole("style.lt_100"), ", artists<20=", whole("artist.lt_20"),
+            ),
+            text("Orientation mix (unique set): ", mixed),
+            text("Concentration: ", listed(shares, "top_{}_share=")),
+            text("Imbalance (Gini): ", listed(ginis, "{}=")),
+            text(
+                "Extremes: max_megapixels=", fixed(c("extremes.max_megapixels"), 2), ", max_aspect=", fixed(c("extremes.max_aspect_ratio"), 2),
+                ", min_aspect=", fixed(c("extremes.min_aspect_ratio"), 2),
+            ),
+        ],
+    )
+
+
 def best_model_lines(best: DataFrame) -> DataFrame:
     """Markdown table of the best row per target: ``target, line``."""
     return best.select(
