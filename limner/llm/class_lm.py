@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limner.llm.frequent import most_frequent
 from limner.llm.words import text_groups, word_endings, word_hashes
 from limner.plans.staging import stage
 
@@ -95,7 +96,7 @@ def count_words(train: DataFrame) -> tuple[Words, DataFrame]:
     counts = stage(counts, "words")
     sizes = counts.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     texts = train.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    top = sorted(most_frequent(counts, WORDS), key=lambda r: (-r.n, r.word))
     word = np.array([r.word for r in top], np.int64).view(np.uint64)
     count, ending = np.array([r.n for r in top], np.int64), np.array([r.ending for r in top], np.int64)
     rare_types, rare_tokens = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)

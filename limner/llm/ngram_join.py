@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limner.llm.components import components
+from limner.llm.frequent import most_frequent
 from limner.llm.words import mix, shingle_sets, text_groups, word_hashes
 from limner.plans.staging import stage
 
@@ -397,7 +398,8 @@ def shingle_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     seen = docs.mapInArrow(_described(width, counters), "kind byte, doc_id long, value long, n long, parity binary")
     seen = stage(seen, "sets")
     own = seen.where("kind = 0").select("doc_id", F.col("value").alias("d"), "n", "parity")
-    top = seen.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(counters).collect()
+    counted = stage(seen.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")), "frequent")
+    top = most_frequent(counted, counters)
     last = np.sort(np.array([r.value for r in top], np.int64).view(np.uint64))
 
     members = own.where("n > 0 AND doc_id IS NOT NULL")

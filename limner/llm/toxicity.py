@@ -141,6 +141,13 @@ def _sets(batches):
             )
 
 
+def _drawn(ids: DataFrame, n: int, total: int, seed: int) -> DataFrame:
+    """The ``n`` ids of the smallest hash; those beyond four times their expected range never leave their task."""
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    reach = -(1 << 63) + min(2**64 - 1, int(2**64 * 4 * n / max(1, total)))
+    return ids.where(draw <= F.lit(reach)).orderBy(draw, "doc_id").limit(n)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts: int = TOXIC_TEXTS, unlabelled_texts: int = UNLABELLED_TEXTS, prior: float | None = None) -> Classifier | None:
     """A classifier from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, both where ``learn`` holds.
 
@@ -154,8 +161,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts:
     if not counts.toxic:
         return None
     prior = prior or min(max(counts.toxic / counts.n, 1e-3), 0.5)
-    confirmed = known.where("toxic = 1").select("doc_id", F.lit(1).alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_texts)
-    others = rows.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled_texts).distinct().select("doc_id", F.lit(0).alias("kind"))
+    confirmed = _drawn(known.where("toxic = 1").select("doc_id"), toxic_texts, counts.toxic, 0).select("doc_id", F.lit(1).alias("kind"))
+    others = _drawn(rows.select("doc_id"), unlabelled_texts, rows.select("doc_id").count(), 1).distinct().select("doc_id", F.lit(0).alias("kind"))
     asked = F.broadcast(confirmed.union(others))
     found = rows.join(asked, "doc_id").mapInArrow(_sets, "doc_id long, kind int, buckets binary, counts binary, size long").dropDuplicates(["doc_id", "kind"]).orderBy("kind", "doc_id").collect()
     sets = {k: [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), r["size"]) for r in found if r.kind == k] for k in (0, 1)}
