@@ -17,10 +17,11 @@ from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
 from limner.plans.profile_job import DIMS, full_profile_document, profile_document
 from limner.plans.staging import scratch_path, stage
+from limner.schemas import require_columns
 from limner.sinks.documents import highlights, profile_report
 from limner.sinks.tables import config_hash, pending_work, read_manifest, write_csv, write_manifest
 from limner.sources import shards as S
-from limner.sources.tables import materialize_once, read_index, resolve_defaults_columns
+from limner.sources.tables import materialize_once, read_config_list, read_index, resolve_defaults_columns
 
 ROUNDED_6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
 
@@ -41,6 +42,15 @@ def shard_row_counts(spark: SparkSession, sf: str) -> DataFrame:
     return S.shard_row_counts(rows).select(F.element_at(F.split("source_shard", "/"), -1).alias("shard"), "n_rows")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS position, lang AS model FROM (SELECT DISTINCT lang FROM documents)")
+def config_list_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The languages as a list in a configuration document, read back by position."""
+    langs = require_columns(B.table(spark, sf, "documents"), ["doc_id", "lang"]).select("lang").distinct()
+    path = scratch_path(spark, "config")
+    langs.agg(F.sort_array(F.collect_list("lang")).alias("models")).write.json(path)
+    return read_config_list(spark, path, "models", "model")
+
+
 @query()
 def dataset_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return S.dataset_footprint(spark, sf)

@@ -40,6 +40,15 @@ def streamed_rows_cache(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+@query("SELECT doc_id FROM documents")
+def streamed_cache_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs over one checkpoint: the second goes on behind the first and adds no row again."""
+    path, checkpoint = scratch_path(spark, "resumed-cache"), scratch_path(spark, "resumed-state")
+    for _ in range(2):
+        I.stream_to_cache(_documents(spark, sf).select("doc_id"), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path)
+
+
 @query("SELECT DISTINCT md5(text) AS image_hash FROM documents")
 def streamed_unique_hashes(spark: SparkSession, sf: str) -> DataFrame:
     hashes = _documents(spark, sf).select(F.md5(F.encode("text", "UTF-8")).alias("image_hash"))
