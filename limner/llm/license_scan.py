@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
-Lines with a cue word, and what lies between close ones, form candidate blocks. Each block is compressed
-with every template as a raw dictionary; the templates that shrink it most are ranked. A winner counts only after
-its wording was compared word by word: the differences are part of the result.
+Lines with a cue word, and what lies between close ones, form candidate blocks. In a text with a cue, every stretch with
+enough words of a template is compressed with the template as a raw dictionary; what that saves is judged by the template's
+own compressed size, so the text around a notice does not matter. A template counts only after its wording
+was compared word by word: the differences are part of the result. All wordings that are found are told, not the best alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import re
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
+from importlib import resources
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -53,12 +56,14 @@ TEMPLATES: dict[str, list[str]] = {
 CUES = re.compile(rb"licen[cs]|copyright|spdx|permission|redistribut|warrant|public domain|rights reserved|creative commons|free software|\bcc[ -]by|\bcc0")
 #: Lines without cue between two cue lines of one block, at most.
 GAP = 6
-#: Templates that are compared by wording, from the largest reduction down, and the reduction they need.
-RANKED = 4
-MIN_REDUCTION = 0.15
+#: What a template as dictionary must save on a stretch that holds it, as a share of what it saves on itself; so many bytes are noise.
+MIN_COVERED, NOISE = 0.15, 16
 #: Different words a variant may have, as a share of the template's.
 MAX_DIFFERENT = 0.2
+#: Words that tell one license from another: a wording that differs in one of them is no variant.
+NAMES = frozenset("mit apache bsd isc gnu lesser library affero mozilla mpl cc sa nc nd attribution sharealike noncommercial noderivatives noderivs cc0 unencumbered".split())
 _WORD = re.compile(r"[^\W_]+")
+_BATCH_CHARS = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -90,33 +95,57 @@ def blocks(text: str, gap: int = GAP) -> list[tuple[int, int, str]]:
     return [(a, b, "\n".join(lines[a:b])) for a, b in found]
 
 
-def wording(block: list[str], template: list[str]) -> list[tuple[str, str]]:
-    """The words by which the part of a block that lies next to a template differs: (of the template, of the block)."""
-    match = SequenceMatcher(None, template, block, autojunk=False)
-    near = match.find_longest_match()
-    if not near.size:
-        return [(" ".join(template), "")]
-    start = max(0, near.b - near.a - 4)
-    part = block[start : near.b + len(template) - near.a + 4]
+@lru_cache(1)
+def all_templates() -> dict[str, list[str]]:
+    """The notices of ``TEMPLATES`` and the whole license texts of the folder ``licenses``."""
+    folder = resources.files(__package__) / "licenses"
+    bodies = {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    return {name: [*TEMPLATES.get(name, []), *([bodies[name]] if name in bodies else [])] for name in sorted({*TEMPLATES, *bodies})}
+
+
+def wording(part: list[str], template: list[str]) -> list[tuple[str, str]]:
+    """The words by which a stretch of a text differs from a template: (of the template, of the text)."""
     steps = SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
-    # words before the first and after the last common ones are other text
-    while steps and steps[0][0] == "insert":
-        steps = steps[1:]
-    while steps and steps[-1][0] == "insert":
-        steps = steps[:-1]
     return [(" ".join(template[a:b]), " ".join(part[c:d])) for kind, a, b, c, d in steps if kind != "equal"]
 
 
+def _distances(template: np.ndarray, words: np.ndarray, anywhere: bool) -> np.ndarray:
+    """Word edit distance of the template to the stretches that end before each place; they start anywhere or at the first word."""
+    places = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64) if anywhere else places.copy()
+    for i, word in enumerate(template.tolist(), 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[:-1] + (words != word), row[1:] + 1)
+        row = np.minimum.accumulate(new - places) + places
+    return row
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: list[str]
+    ids: np.ndarray
+    allowed: int
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]] | None = None):
-        self.templates = [(name, text, words_of(text)) for name, texts in sorted((templates or TEMPLATES).items()) for text in texts]
+        self.templates = [(name, text, words_of(text)) for name, texts in sorted((templates or all_templates()).items()) for text in texts]
         plain = {"level": 9, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.plain = zstandard.ZstdCompressor(**plain)
-        self.given = []
-        for _, text, _ in self.templates:
-            own = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given.append(zstandard.ZstdCompressor(dict_data=own, **plain))
+        self.given, self.own = [], []
+        self.number: dict[str, int] = {}
+        self.wanted = []
+        for name, text, words in self.templates:
+            raw = text.lower().encode()
+            given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
+            self.given.append(given)
+            self.own.append(len(self.plain.compress(raw)) - len(given.compress(raw)))
+            ids = np.array([self.number.setdefault(w, len(self.number)) for w in words], np.int64)
+            self.wanted.append(Template(name, words, ids, int(MAX_DIFFERENT * len(words))))
         self.judge = lru_cache(1 << 14)(self._judge)
+        self.unknown = lru_cache(1 << 14)(lambda block: Finding(None, "unknown", max(self.reductions(block)), 0, ""))
 
     def reductions(self, block: str) -> list[float]:
         """By what share each template as a dictionary shrinks the compressed block."""
@@ -124,23 +153,93 @@ class Scanner:
         alone = len(self.plain.compress(raw))
         return [1 - len(given.compress(raw)) / alone for given in self.given]
 
+    def _stretches(self, t: Template, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Where so many of a template's words stand together that a variant may lie there; no variant lies elsewhere."""
+        least, width = len(t.words) - t.allowed, len(t.words) + t.allowed
+        if len(ids) < least:
+            return []
+        has = np.concatenate(([0], np.cumsum(np.isin(ids, t.ids))))
+        starts = np.arange(max(len(ids) - width, 0) + 1)
+        hot = np.flatnonzero(has[np.minimum(starts + width, len(ids))] - has[starts] >= least)
+        if not len(hot):
+            return []
+        cuts = np.flatnonzero(np.diff(hot) > width)
+        first, last = hot[np.append(0, cuts + 1)], hot[np.append(cuts, len(hot) - 1)] + width
+        # long stretches in parts that overlap by more than a variant is long
+        return [(at, min(at + 4 * width, b, len(ids))) for a, b in zip(first.tolist(), last.tolist(), strict=True) for at in range(a, max(b - 2 * width, a) + 1, 2 * width)]
+
+    def _variants(self, k: int, words: list[str], ids: np.ndarray, text: str, bounds: list[tuple[int, int]]) -> list[tuple[int, int, Finding]]:
+        """First word, end word and finding of all stretches that are a template's wording."""
+        t, found, tried = self.wanted[k], [], set()
+        for a, b in self._stretches(t, ids):
+            raw = text[bounds[a][0] : bounds[b - 1][1]].lower().encode("utf-8", "surrogatepass")
+            saved = len(self.plain.compress(raw)) - len(self.given[k].compress(raw))
+            if saved + NOISE < MIN_COVERED * self.own[k]:
+                continue
+            ends = _distances(t.ids, ids[a:b], True)
+            taken = np.zeros(b - a, bool)
+            near = np.flatnonzero(ends <= t.allowed)
+            for end in near[np.argsort(ends[near], kind="stable")].tolist():
+                # a variant that does not overlap another one ends so many words after it at least
+                if not end or taken[max(end - len(t.words) + t.allowed, 0) : end].any():
+                    continue
+                low = max(end - len(t.words) - t.allowed, 0)
+                back = _distances(t.ids[::-1], ids[a + low : a + end][::-1], False)
+                start = end - int(np.flatnonzero(back == back.min())[0])
+                if start >= end or taken[start:end].any():
+                    continue
+                taken[start:end] = True
+                if (a + start, a + end) in tried:
+                    continue
+                tried.add((a + start, a + end))
+                part = words[a + start : a + end]
+                steps = wording(part, t.words)
+                n = sum(max(len(x.split()), len(y.split())) for x, y in steps)
+                # another number is another version, another name another license
+                other = any(re.search(r"\d", x + y) or not NAMES.isdisjoint(f"{x} {y}".split()) for x, y in steps)
+                if n <= t.allowed and not other:
+                    own = text[bounds[a + start][0] : bounds[a + end - 1][1]].lower().encode("utf-8", "surrogatepass")
+                    gain = 1 - len(self.given[k].compress(own)) / len(self.plain.compress(own))
+                    told = "; ".join(f"{x or '-'} > {y or '-'}" for x, y in steps)
+                    found.append((a + start, a + end, Finding(t.name, "variant" if n else "exact", gain, n, told)))
+        return found
+
+    def findings(self, text: str) -> list[tuple[int, int, Finding]]:
+        """First and end character and finding of every license wording of a text, in order; none overlap, the wording with most words in common counts."""
+        places = [m.span() for m in _WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in places]
+        ids = np.array([self.number.get(w, -1) for w in words], np.int64)
+        have = set(words)
+        every = []
+        for k, t in enumerate(self.wanted):
+            if len(words) >= len(t.words) - t.allowed and sum(w not in have for w in t.words) <= t.allowed:
+                every += [(2 * f.n_different - len(t.words), f.n_different, a, k, b, f) for a, b, f in self._variants(k, words, ids, text, places)]
+        taken, found = np.zeros(len(words), bool), []
+        for _, _, a, _, b, f in sorted(every, key=lambda x: x[:5]):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                found.append((places[a][0], places[b - 1][1], f))
+        return sorted(found, key=lambda x: x[:2])
+
     def _judge(self, block: str) -> Finding:
-        gains = self.reductions(block)
-        ranked = sorted(range(len(gains)), key=lambda i: (-gains[i], i))[:RANKED]
-        own = words_of(block)
-        best = None
-        for i in ranked:
-            if gains[i] < MIN_REDUCTION:
-                break
-            name, _, template = self.templates[i]
-            steps = wording(own, template)
-            n = sum(max(len(a.split()), len(b.split())) for a, b in steps)
-            # another number is another version, and so another license
-            numbers = any(re.search(r"\d", a + b) for a, b in steps)
-            if n <= MAX_DIFFERENT * len(template) and not numbers and (best is None or n < best.n_different):
-                told = "; ".join(f"{a or '-'} > {b or '-'}" for a, b in steps)
-                best = Finding(name, "variant" if n else "exact", gains[i], n, told)
-        return best or Finding(None, "unknown", max(gains), 0, "")
+        """The finding of a block that is told of it first: the one with the fewest different words."""
+        return min((f for _, _, f in self.findings(block)), key=lambda f: f.n_different, default=None) or self.unknown(block)
+
+    def scan(self, text: str) -> list[tuple[int, int, Finding, str]]:
+        """First line, end line, finding and block of each wording, and of each block that has none."""
+        cued = blocks(text)
+        if not cued:
+            return []
+        lines, rows, used = text.split("\n"), [], set()
+        breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+        for a, b, f in self.findings(text):
+            first, end = int(np.searchsorted(breaks, a)), int(np.searchsorted(breaks, b - 1)) + 1
+            touched = [i for i, (x, y, _) in enumerate(cued) if x < end and first < y]
+            used.update(touched)
+            low, high = min([first, *(cued[i][0] for i in touched)]), max([end, *(cued[i][1] for i in touched)])
+            rows.append((first, end, f, "\n".join(lines[low:high])))
+        rows += [(x, y, self.unknown(block), block) for i, (x, y, block) in enumerate(cued) if i not in used]
+        return sorted(rows, key=lambda r: r[:2])
 
 
 _FINDINGS = pa.schema([
@@ -149,29 +248,39 @@ _FINDINGS = pa.schema([
 ])
 
 
+def _rows_of(rows: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _FINDINGS, strict=True)], schema=_FINDINGS)
+
+
 def _scanned(templates):
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
             rows: list[list] = [[] for _ in _FINDINGS]
+            held = 0
             ids = batch.column("doc_id")
             for i, text in enumerate(batch.column("text")):
-                for first, end, block in blocks(text.as_py() or ""):
-                    found = scanner.judge(block)
+                for first, end, found, block in scanner.scan(text.as_py() or ""):
                     values = (ids[i].as_py(), first, end, found.license, found.verdict, found.reduction, found.n_different, found.differences, block)
                     for column, value in zip(rows, values, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _FINDINGS, strict=True)], schema=_FINDINGS)
+                    held += len(block)
+                    if held > _BATCH_CHARS:  # all wordings of a long line have it as their block
+                        yield _rows_of(rows)
+                        rows, held = [[] for _ in _FINDINGS], 0
+            yield _rows_of(rows)
 
     return run
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """One row per candidate block of every row and whole text of ``docs(doc_id, text)``.
+    """One row per license wording and per candidate block without one, of every row and whole text of ``docs(doc_id, text)``.
 
     ``doc_id, first_line, end_line, license, verdict, reduction, n_different, differences, block``. The verdict is ``exact``,
-    ``variant`` (few words differ, none of them a number) or ``unknown`` (a cue, but no known wording; ``license`` is
-    null). Null and empty texts have no block; rows that repeat a ``doc_id`` or have none are scanned like others.
+    ``variant`` (few words differ, none of them a number or a license's name) or ``unknown`` (a cue, but no known wording; ``license``
+    is null). A block with several licenses, or with one license twice, gives a row for each; the lines are those of the wording,
+    ``block`` is the text of the candidate blocks it lies in. A wording may reach over several blocks, like a whole license text,
+    or be part of a line. Null and empty texts have no block; rows that repeat a ``doc_id`` or have none are scanned like others.
     """
     schema = "doc_id long, first_line long, end_line long, license string, verdict string, reduction double, n_different long, differences string, block string"
-    return docs.select("doc_id", "text").mapInArrow(_scanned(templates), schema)
+    return docs.select("doc_id", "text").mapInArrow(_scanned(templates or all_templates()), schema)

@@ -48,6 +48,36 @@ def test_wording_confirms_or_refuses():
     assert max(gains) == gains[[i for i, t in enumerate(S.Scanner().templates) if t[1] == long][0]] > 0.8
 
 
+def test_notices_within_other_text_are_found(spark):
+    other = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore. "
+    texts = {i: other * n + x + " " + other * n for i, (x, n) in enumerate((x, n) for x in NOTICES for n in (1, 8, 3000))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.verdict, r.first_line, r.end_line) for r in S.license_blocks(docs).collect())
+    assert got == [(i, list(NOTICES.values())[i // 3], "exact", 0, 1) for i in texts]
+
+
+def test_whole_license_texts_are_found(spark):
+    bodies = {n: t[-1] for n, t in S.all_templates().items() if len(t) > len(S.TEMPLATES[n])}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MIT", "MPL-2.0"} <= set(bodies)
+    rows = [(n, f"Copyright 2020 Somebody\n\n{t}\nand more") for n, t in bodies.items()] + [(n, " ".join(t.split())) for n, t in bodies.items()]
+    docs = spark.createDataFrame(list(enumerate(r[1] for r in rows)), "doc_id long, text string")
+    got = S.license_blocks(docs).where("license IS NOT NULL").collect()
+    assert sorted((r.doc_id, r.license, r.verdict) for r in got) == [(i, n, "exact") for i, (n, _) in enumerate(rows)]
+
+
+def test_changed_words_within_other_text():
+    scan = S.Scanner()
+    rng = random.Random(4)
+    for template in scan.wanted:
+        plain = [i for i, w in enumerate(template.words) if w not in S.NAMES and not any(c.isdigit() for c in w)]
+        changed = list(template.words)
+        for i in rng.sample(plain, min(template.allowed // 2, len(plain))):
+            changed[i] = "".join(rng.choice("bcdfghjk") for _ in range(8))
+        found = [f for _, _, f in scan.findings("lorem ipsum dolor " * 40 + " ".join(changed) + " sit amet elit" * 40)]
+        assert template.name in {f.license for f in found}
+    assert scan.findings("Released under the new license. Licensed under the Apache License, Version 1.1.") == []
+
+
 def test_license_scan_of_awkward_rows(awkward, nothing):
     assert S.license_blocks(awkward).count() == 0 and S.license_blocks(nothing).count() == 0
 
