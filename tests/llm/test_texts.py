@@ -65,6 +65,15 @@ def test_whole_license_texts_are_found(spark):
     assert sorted((r.doc_id, r.license, r.verdict) for r in got) == [(i, n, "exact") for i, (n, _) in enumerate(rows)]
 
 
+def test_every_license_of_a_block_is_told(spark):
+    notices = [t[0] for t in S.TEMPLATES.values()]
+    texts = ["Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "\n".join(notices), " / ".join(notices), "\n".join([notices[1]] * 3)]
+    got = S.license_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    names = list(S.TEMPLATES)
+    want = [(0, 0, "Apache-2.0"), (0, 1, "MIT"), *((1, i, n) for i, n in enumerate(names)), *((2, 0, n) for n in names), *((3, i, names[1]) for i in range(3))]
+    assert sorted((r.doc_id, r.first_line, r.license) for r in got) == sorted(want) and {r.verdict for r in got} == {"exact"}
+
+
 def test_changed_words_within_other_text():
     scan = S.Scanner()
     rng = random.Random(4)
