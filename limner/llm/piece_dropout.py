@@ -1,9 +1,9 @@
 """Encoding and decoding with a merge-type piece vocabulary, with seeded merge dropout.
 
 Adjacent symbols merge by an agenda: the best-scored piece first, the leftmost of equal ones. A candidate
-merge is skipped if a keyed hash of the word, its place and the piece falls below the dropout rate.
-So a word has several segmentations, the same seed always gives the same one, and all of them decode to the
-text. Without dropout the ids are those of the vocabulary's own encoder (but a literal U+2581 becomes bytes).
+merge is skipped if a hash keyed by the seed, the document, the word's turn in it, the place and the piece falls below the
+dropout rate. So each occurrence of a word has its own draws, the same seed always gives the same ones, and all
+segmentations decode to the text. Only the segmentation in which nothing is skipped is shared by occurrences. Without dropout the ids are those of the vocabulary's own encoder (but a literal U+2581 becomes bytes).
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +25,17 @@ from limner.llm.words import mix
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 1
-#: Segmentations a word can have under one seed.
-VARIANTS = 4
 _SPACE = "▁"
 _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _NONE = np.iinfo(np.int64).max
 #: Chunks up to this length go through the agenda side by side, longer ones one by one.
 _SIDE_BY_SIDE = 48
 _GROUP = 3 << 20
+#: Chunks that go through the agenda at once, and whose draws are made at once.
+_AT_ONCE = 1 << 15
+#: Chunks whose undisturbed segmentation a worker remembers at most; it then starts anew.
+REMEMBERED = 400_000
+_TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,10 +44,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _mixed(place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    return mix(place.astype(np.uint64) * _TURN + piece.astype(np.uint64))
+
+
 class PieceCoder:
-    def __init__(self, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED):
         model = sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path())
-        self.dropout, self.seed, self.variants = dropout, seed, variants
+        self.dropout, self.seed = dropout, seed
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         normal = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
@@ -90,19 +96,25 @@ class PieceCoder:
         begun = f" *[^ \n{apart}]*[{_LETTERS}](?=[{apart}])|" if apart else ""
         self.chunks = re.compile(f"{begun} +[^ \n]*|\n|[^ \n]+")
         self.whole = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
+        #: of chunks: the ids without dropout, and the mixed place and piece of each candidate merge on the way there
+        self.undisturbed: dict[str, tuple[bytes, bytes]] = {}
 
     def start(self, text: str) -> np.ndarray:
         """Symbols of the characters of a text; those unknown get negative code points."""
         return self.of_char[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def _merged(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Piece of each pair that may merge, -1 for none: none in the vocabulary, or skipped by its hash."""
+    def _pieces(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Piece of each pair in the vocabulary, -1 for none."""
         want = left * self.base + right
         at = np.minimum(np.searchsorted(self.pair_keys, want), len(self.pair_keys) - 1)
-        found = np.where((self.pair_keys[at] == want) & (left >= 0) & (right >= 0), self.pair_ids[at], -1)
+        return np.where((self.pair_keys[at] == want) & (left >= 0) & (right >= 0), self.pair_ids[at], -1)
+
+    def _merged(self, left: np.ndarray, right: np.ndarray, key: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Piece of each pair that may merge, -1 for none: none in the vocabulary, or skipped by its hash."""
+        found = self._pieces(left, right)
         if self.dropout:
-            draw = mix(key ^ mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + found.astype(np.uint64)))
-            found[(draw < self.whole) & (found >= 0)] = -1
+            has = np.flatnonzero(found >= 0)
+            found[has[mix(key[has] ^ _mixed(place[has], found[has])) < self.whole]] = -1
         return found
 
     def segment(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
@@ -111,8 +123,9 @@ class PieceCoder:
         sizes = np.array([len(c) for c in chunks])
         for i in np.flatnonzero(sizes > _SIDE_BY_SIDE):
             out[i] = self._ids(self._alone(chunks[i], keys[i : i + 1]))
-        short = np.flatnonzero(sizes <= _SIDE_BY_SIDE)
-        if len(short):
+        every = np.flatnonzero(sizes <= _SIDE_BY_SIDE)
+        for at in range(0, len(every), _AT_ONCE):
+            short = every[at : at + _AT_ONCE]
             symbols, cuts = self._side_by_side([chunks[i] for i in short], keys[short])
             raw = symbols.astype("<i4").tobytes()
             odd = np.flatnonzero((symbols < 0) | (symbols >= self.size))
@@ -159,8 +172,11 @@ class PieceCoder:
                 offer(np.array(near))
         return np.array([s for s in symbols if s is not None], np.int64)
 
-    def _side_by_side(self, chunks: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda of many chunks at once: every round takes the top of each chunk's agenda. All symbols, and the bounds of each chunk."""
+    def _side_by_side(self, chunks: list[str], keys: np.ndarray | None, seen: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda of many chunks at once: every round takes the top of each chunk's agenda. All symbols, and the bounds of each chunk.
+
+        Without ``keys`` nothing is skipped. The chunk and the mixed place and piece of all candidates are added to ``seen``.
+        """
         sizes = np.array([len(c) for c in chunks])
         symbols = self.start("".join(chunks))
         word = np.repeat(np.arange(len(chunks)), sizes)
@@ -172,7 +188,13 @@ class PieceCoder:
             found = np.full(len(at), -1, np.int64)
             has = np.flatnonzero((at + 1 < len(word)) & (word[np.minimum(at + 1, len(word) - 1)] == word[at]))
             i = at[has]
-            found[has] = self._merged(symbols[i], symbols[i + 1], keys[word[i]], place[i])
+            if keys is None:
+                found[has] = self._pieces(symbols[i], symbols[i + 1])
+            else:
+                found[has] = self._merged(symbols[i], symbols[i + 1], keys[word[i]], place[i])
+            if seen is not None:
+                i = at[found >= 0]
+                seen.append((word[i], _mixed(place[i], found[found >= 0])))
             return found, np.where(found >= 0, self.rank[found] << 8 | place[at], _NONE)
 
         piece, order = offers(np.arange(len(symbols)))
@@ -202,24 +224,62 @@ class PieceCoder:
         order = np.argsort(word << 8 | place)
         return symbols[order], np.searchsorted(word[order], np.arange(len(chunks) + 1))
 
+    def _remember(self, chunks: list[str]) -> None:
+        """Segment chunks without dropout; long ones are left out."""
+        chunks = [c for c in chunks if len(c) <= _SIDE_BY_SIDE and c not in self.undisturbed]
+        for at in range(0, len(chunks), _AT_ONCE):
+            part = chunks[at : at + _AT_ONCE]
+            seen: list[tuple[np.ndarray, np.ndarray]] = []
+            symbols, cuts = self._side_by_side(part, None, seen)
+            word, candidate = (np.concatenate(x) for x in zip(*seen, strict=True))
+            order = np.lexsort((candidate, word))
+            word, candidate = word[order], candidate[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (candidate[1:] != candidate[:-1])
+            word, candidate = word[new], candidate[new].tobytes()
+            bounds = 8 * np.searchsorted(word, np.arange(len(part) + 1))
+            for i, c in enumerate(part):
+                self.undisturbed[c] = self._ids(symbols[cuts[i] : cuts[i + 1]]), candidate[bounds[i] : bounds[i + 1]]
+
+    def _dropped(self, every: list[str], distinct: list[str], number: np.ndarray, keys: np.ndarray) -> list[bytes]:
+        """Ids of every chunk: shared if none of the undisturbed candidates is skipped, else by an agenda of its own."""
+        if len(self.undisturbed) > REMEMBERED:
+            self.undisturbed.clear()
+        self._remember(distinct)
+        own = [self.undisturbed.get(c, (b"", b"")) for c in distinct]
+        candidates = np.frombuffer(b"".join(x[1] for x in own), np.uint64)
+        counts = np.array([len(x[1]) // 8 for x in own], np.int64)
+        first = np.cumsum(counts) - counts
+        differs = np.array([len(c) > _SIDE_BY_SIDE for c in distinct], bool)[number]
+        for at in range(0, len(number), _AT_ONCE):
+            part = number[at : at + _AT_ONCE]
+            n = counts[part]
+            owner = np.repeat(np.arange(len(part)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[part], n)
+            skipped = mix(keys[at : at + _AT_ONCE][owner] ^ candidates[place]) < self.whole
+            differs[at + owner[skipped]] = True
+        ids = [own[i][0] for i in number.tolist()]
+        again = np.flatnonzero(differs)
+        for i, x in zip(again.tolist(), self.segment([every[i] for i in again.tolist()], keys[again]), strict=True):
+            ids[i] = x
+        return ids
+
     def encode(self, texts: list[str], draws: np.ndarray) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; ``draws`` is a 64-bit number for each text."""
         chunks = [self.chunks.findall(" " + t) if t else [] for t in texts]
         sizes = [len(c) for c in chunks]
         turn = np.arange(sum(sizes), dtype=np.uint64) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes).astype(np.uint64)
-        variant = (mix(np.repeat(draws, sizes) + turn * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).astype(np.int64)
         every = [c for own in chunks for c in own]
         known = {c: i for i, c in enumerate(dict.fromkeys(every))}
-        distinct = list(known)
-        number = np.fromiter(map(known.__getitem__, every), np.int64, len(every)) * self.variants + variant
-        wanted, number = np.unique(number, return_inverse=True)
-        hashes = np.array([xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass"), seed=self.seed) for c in distinct], np.uint64)
-        keys = mix(hashes[wanted // self.variants] + (wanted % self.variants).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        ids = self.segment([distinct[i] for i in (wanted // self.variants).tolist()], keys)
-        number = number.tolist()
+        number = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+        keys = mix((np.repeat(draws, sizes) ^ mix(np.array([self.seed + 1], np.uint64))) + turn * _TURN)
+        if self.dropout:
+            ids = self._dropped(every, list(known), number, keys)
+        else:
+            ids = list(map(self.segment(list(known), keys[: len(known)]).__getitem__, number.tolist()))
         out, at = [], 0
         for n in sizes:
-            out.append(b"".join(map(ids.__getitem__, number[at : at + n])))
+            out.append(b"".join(ids[at : at + n]))
             at += n
         return out
 
@@ -229,14 +289,14 @@ class PieceCoder:
 
 
 @lru_cache(4)
-def shared_coder(path: str | None, dropout: float, seed: int, variants: int) -> PieceCoder:
+def shared_coder(path: str | None, dropout: float, seed: int) -> PieceCoder:
     """The coder of this worker process, for all its tasks."""
-    return PieceCoder(path, dropout, seed, variants)
+    return PieceCoder(path, dropout, seed)
 
 
-def _encoded(path, dropout, seed, variants):
+def _encoded(path, dropout, seed):
     def run(batches):
-        coder = shared_coder(path, dropout, seed, variants)
+        coder = shared_coder(path, dropout, seed)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             draws = batch.column("draw").to_numpy().view(np.uint64)
@@ -255,18 +315,18 @@ def _encoded(path, dropout, seed, variants):
     return run
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """``doc_id, text, ids`` for every row and whole text of ``docs``; null and empty texts have no ids.
 
     The segmentation depends on ``seed``, the ``doc_id`` and the word's turn in the text, not on the layout of the table.
     """
     draw = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)).alias("draw")
-    return docs.select("doc_id", "text", draw).mapInArrow(_encoded(path, dropout, seed, variants), "doc_id long, text string, ids array<int>")
+    return docs.select("doc_id", "text", draw).mapInArrow(_encoded(path, dropout, seed), "doc_id long, text string, ids array<int>")
 
 
 def _decoded(path):
     def run(batches):
-        coder = shared_coder(path, 0.0, SEED, 1)
+        coder = shared_coder(path, 0.0, SEED)
         for batch in batches:
             ids = batch.column("ids")
             values, cuts = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), np.cumsum([0, *(n or 0 for n in ids.value_lengths().to_pylist())])
