@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from limner.llm.byte_cnn import fit_language_model, with_language
 from limner.llm.catalog import remainder
@@ -40,10 +41,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest ``doc_id`` of each group of near duplicates, and all rows without an id."""
+    """Keep the smallest ``doc_id`` of each group of near duplicates, and all rows without an id.
+
+    Of rows that repeat a kept ``doc_id`` with the same text one is kept, the first by the other columns.
+    """
     groups = shingle_groups(docs)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    # ids are counted first, so that only the texts of repeated ones are shuffled
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy(*[c for c, name in zip(columns, docs.columns, strict=True) if name not in ("doc_id", "text")], F.length("text"))
+    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(same)).where("_turn = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once.select(*columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -302,3 +302,13 @@ def test_pipeline(spark, docs, awkward, nothing, tmp_path):
         for _, step in Q.STAGES:
             out = step(spark, out, sf)
         assert out.count() <= df.count() + 200
+
+
+def test_rows_that_repeat_a_kept_id_are_kept_once(spark, nothing):
+    import corpus_pipeline as Q
+
+    same = "the same words stand in this line here and in no other line of them all"
+    rows = [(4, same, "en", "b", 1), (4, same, "en", "a", 1), (4, same, "en", "a", 1), (5, same, "en", "a", 1), (4, "other words under the id", "en", "a", 1), (6, None, "en", "a", 1), (6, None, "en", "a", 1), (None, same, "en", "a", 1), (None, same, "en", "a", 1)]
+    out = Q.dedup_near(spark, spark.createDataFrame(rows, nothing.schema).repartition(3), "").collect()
+    want = [(4, same, "en", "a", 1), (4, "other words under the id", "en", "a", 1), (6, None, "en", "a", 1), (None, same, "en", "a", 1), (None, same, "en", "a", 1)]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
