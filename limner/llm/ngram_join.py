@@ -253,16 +253,18 @@ def _segments(width: int, fragments: int, wanted: np.ndarray):
             for start, stop, values, bounds in _sets(batch, width):
                 place = (values >> np.uint64(64 - fragments.bit_length() + 1)).astype(np.int64)
                 digests = _digests(values, bounds)
-                rows: dict[str, list] = {"d": [], "fragment": [], "part": []}
+                own = batch.column("row_no").slice(start, stop - start).to_pylist()
+                rows: dict[str, list] = {"row_no": [], "d": [], "fragment": [], "part": []}
                 for i in range(stop - start):
                     a, b = bounds[i], bounds[i + 1]
                     cuts = a + np.searchsorted(place[a:b], np.arange(fragments + 1))
                     for f in range(fragments):
                         if cuts[f] < cuts[f + 1]:
+                            rows["row_no"].append(own[i])
                             rows["d"].append(digests[i])
                             rows["fragment"].append(f)
                             rows["part"].append(values[cuts[f] : cuts[f + 1]].tobytes())
-                yield _batch(d=pa.array(rows["d"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
+                yield _batch(row_no=pa.array(rows["row_no"], pa.int64()), d=pa.array(rows["d"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
 
     return run
 
@@ -365,17 +367,22 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _met(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Fragments of both sides of each pair, from one row of each digest, however many rows with its set passed the bitmap."""
+    rows = parts.groupBy("d").agg(F.min("row_no").alias("row_no"))
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("d").alias(side), F.col("row_no").alias(f"row_{side}")), side)
+    left, right = (parts.select(F.col("d").alias(x), F.col("row_no").alias(f"row_{x}"), "fragment", F.col("part").alias(f"part_{x}")) for x in ("a", "b"))
+    return pairs.join(right, ["b", "row_b"]).join(left, ["a", "row_a", "fragment"]).select("a", "b", "fragment", "part_a", "part_b")
+
+
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
     """``(a, b, common)`` for pairs of digests: the partial overlaps of all fragments, summed per pair."""
     asked = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(nodes.select("d", "doc_id"), "d")
-    source = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bucket")).where("doc_id IS NOT NULL")
-    parts = stage(source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "d long, fragment int, part binary"), "segments")
-    left = parts.select(F.col("d").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = parts.select(F.col("d").alias("b"), "fragment", F.col("part").alias("part_b"))
-    met = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "fragment", "part_a", "part_b")
-    counted = met.mapInArrow(_partial_overlaps, "a long, b long, fragment int, common long")
-    # a set may come from several rows that repeat a doc_id: each fragment counts once
-    return counted.groupBy("a", "b", "fragment").agg(F.max("common").alias("common")).groupBy("a", "b").agg(F.sum("common").alias("common"))
+    source = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bucket"), F.monotonically_increasing_id().alias("row_no")).where("doc_id IS NOT NULL")
+    parts = stage(source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "row_no long, d long, fragment int, part binary"), "segments")
+    counted = _met(parts, pairs.select("a", "b")).mapInArrow(_partial_overlaps, "a long, b long, fragment int, common long")
+    return counted.groupBy("a", "b").agg(F.sum("common").alias("common"))
 
 
 def _links(docs, nodes, pairs, width, percent) -> DataFrame:

@@ -161,3 +161,9 @@ def test_text_without_repeated_lines_keeps_columns(awkward):
     assert rows[5, "s"].text == "" and rows[5, "s"].n_chars == 0 and rows[5, "s"].keep == "mine"
     assert rows[6, None].text.startswith("AND ANOTHER") is False and rows[6, None].n_lines == 7
     assert line_bitmaps(awkward).where("doc_id IS NULL").count() == 0
+
+
+def test_copies_of_a_set_do_not_multiply_its_fragments(spark):
+    parts = spark.createDataFrame([(100 * d + i, d, f, bytes(8)) for d in (1, 2) for i in range(30) for f in (0, 3)], "row_no long, d long, fragment int, part binary")
+    met = N._met(parts, spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert sorted((r.a, r.b, r.fragment) for r in met.collect()) == [(1, 2, 0), (1, 2, 3)]
