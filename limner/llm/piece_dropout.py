@@ -126,13 +126,17 @@ class PieceCoder:
         every = np.flatnonzero(sizes <= _SIDE_BY_SIDE)
         for at in range(0, len(every), _AT_ONCE):
             short = every[at : at + _AT_ONCE]
-            symbols, cuts = self._side_by_side([chunks[i] for i in short], keys[short])
-            raw = symbols.astype("<i4").tobytes()
-            odd = np.flatnonzero((symbols < 0) | (symbols >= self.size))
-            for i, a, b in zip(short.tolist(), (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True):
-                out[i] = raw[a:b]
-            for k in np.unique(np.searchsorted(cuts, odd, "right") - 1):
-                out[short[k]] = self._ids(symbols[cuts[k] : cuts[k + 1]])
+            for i, ids in zip(short.tolist(), self._parts(*self._side_by_side([chunks[i] for i in short], keys[short])), strict=True):
+                out[i] = ids
+        return out
+
+    def _parts(self, symbols: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """Ids of each chunk between the cuts."""
+        raw = symbols.astype("<i4").tobytes()
+        out = [raw[a:b] for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True)]
+        odd = np.flatnonzero((symbols < 0) | (symbols >= self.size))
+        for k in np.unique(np.searchsorted(cuts, odd, "right") - 1).tolist():
+            out[k] = self._ids(symbols[cuts[k] : cuts[k + 1]])
         return out
 
     def _ids(self, symbols: np.ndarray) -> bytes:
@@ -232,14 +236,11 @@ class PieceCoder:
             seen: list[tuple[np.ndarray, np.ndarray]] = []
             symbols, cuts = self._side_by_side(part, None, seen)
             word, candidate = (np.concatenate(x) for x in zip(*seen, strict=True))
-            order = np.lexsort((candidate, word))
-            word, candidate = word[order], candidate[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (candidate[1:] != candidate[:-1])
-            word, candidate = word[new], candidate[new].tobytes()
-            bounds = 8 * np.searchsorted(word, np.arange(len(part) + 1))
-            for i, c in enumerate(part):
-                self.undisturbed[c] = self._ids(symbols[cuts[i] : cuts[i + 1]]), candidate[bounds[i] : bounds[i + 1]]
+            order = np.argsort(word, kind="stable")
+            bounds = (8 * np.searchsorted(word[order], np.arange(len(part) + 1))).tolist()
+            raw = candidate[order].tobytes()
+            for c, ids, a, b in zip(part, self._parts(symbols, cuts), bounds, bounds[1:], strict=False):
+                self.undisturbed[c] = ids, raw[a:b]
 
     def _dropped(self, every: list[str], distinct: list[str], number: np.ndarray, keys: np.ndarray) -> list[bytes]:
         """Ids of every chunk: shared if none of the undisturbed candidates is skipped, else by an agenda of its own."""
