@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limner.llm.byte_cnn import fit_language_model, predict_languages
+from limner.llm.chat_format import format_conversations, read_back
 from limner.llm.chunk_prints import compared_with_next
 from limner.llm.class_lm import class_model_scores
 from limner.llm.exact_dedup import exact_duplicates
@@ -17,6 +18,8 @@ from limner.llm.ngram_join import shingle_groups
 from limner.llm.packing import packed_documents
 from limner.llm.piece_dropout import decode_documents, encode_documents
 from limner.llm.toxicity import fit_toxicity, toxicity_scores
+from limner.llm.turn_repair import damaged, repair_conversations, repair_report
+from limner.llm.vector_codes import vector_code_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,9 +80,137 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_chat_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    chats = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(chats.unionByName(planted)))
+
+
+def op12_turn_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_report(repair_conversations(damaged(_table(spark, sf, "conversations")), "present"))
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_code_report(_table(spark, sf, "embeddings"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: In each of four states of a conversation: the state after the role that may be inserted or given, and that role's initial.
+_SQL_NEXT = {0: (2, "u"), 1: (2, "u"), 2: (3, "a"), 3: (2, "u")}
+_SQL_KEPT = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+_SQL_ROLE = {"u": "user", "a": "assistant"}
+
+
+def _best_edits(state: int) -> str:
+    """The least (cost, audit, repaired lines) of row ``r`` and all later ones (``d.s0`` to ``d.s3``) from a state."""
+    ways, at, lines = [], state, ""
+    for inserted in range(3):
+        to, initial = _SQL_NEXT[at]
+
+        def way(cost: str, letter: str, line: str, goal: int, when: str, lines: str = lines, inserted: int = inserted) -> str:
+            edits = "I" * inserted + letter
+            return f"CASE WHEN {when} THEN {{'c': {2 * inserted} + {cost} + d.s{goal}.c, 'a': '{edits}' || d.s{goal}.a, 'r': {lines or repr('')} || {line} || d.s{goal}.r}} END"
+
+        stays = "NOT (r.blank OR r.seen)"
+        ways.append(way("3", "D", "''", at, "TRUE"))
+        ways.append(way("2 + r.cut", "R", f"'{_SQL_ROLE[initial]}:' || r.text || chr(10)", to, stays))
+        ways += [way("r.cut", "K", "r.role || ':' || r.text || chr(10)", goal, f"{stays} AND r.role[1] = '{x}'") for x, goal in _SQL_KEPT[at].items()]
+        lines += f"{' || ' if lines else ''}'{_SQL_ROLE[initial]}:' || chr(10)"
+        at = to
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _closed(state: int) -> str:
+    edits = {0: [], 1: ["user", "assistant"], 2: ["assistant"], 3: []}[state]
+    return f"{{'c': CAST({2 * len(edits)} AS BIGINT), 'a': '{'I' * len(edits)}', 'r': {' || '.join(f"'{x}:' || chr(10)" for x in edits) or repr('')}}}"
+
+
+_TURN_REPAIR = rf"""
+    WITH RECURSIVE t AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+    ), keyed AS (
+        SELECT *, xor(4294967295, list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(key, ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 20 AS kind FROM t
+    ), broken AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM keyed
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+            trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM broken
+    ), r AS (
+        SELECT conv_id, turn, role, text, i, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+            CAST(body <> '' AND right(body, 1) NOT IN ('.', '!', '?') AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) = 1 AS BIGINT) AS cut,
+            lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM placed
+    ), d AS (
+        SELECT conv_id, max(i) + 1 AS i, {", ".join(f"{_closed(q)} AS s{q}" for q in range(4))} FROM r GROUP BY conv_id
+        UNION ALL
+        SELECT d.conv_id, d.i - 1, {", ".join(f"{_best_edits(q)}" for q in range(4))} FROM d JOIN r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.i = d.i - 1
+    ), counts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+            count(*) FILTER (seen AND NOT blank) AS duplicate, CAST(sum(cut) AS BIGINT) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM r GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+        coalesce(illegal, 0) AS illegal, coalesce(d.s0.c, 0) AS cost, coalesce(d.s0.a, '') AS audit, sha256(coalesce(left(d.s0.r, length(d.s0.r) - 1), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM o.conv_id AND d.i = 1
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+def _vector_code_sql() -> str:
+    # books: part, entry, c (components); x2 falls out of the comparison of entries and comes back for the error
+    nearest = """
+        SELECT k.vec_id, k.label, k.part, k.x, arg_min(b.entry, {{'d': list_inner_product(b.c, b.c) - 2 * list_inner_product(k.x, b.c), 'e': b.entry}}) AS entry,
+            min(list_inner_product(b.c, b.c) - 2 * list_inner_product(k.x, b.c)) + any_value(list_inner_product(k.x, k.x)) AS error
+        FROM parts k JOIN books{n} b USING (part) GROUP BY ALL"""
+    rounds = "".join(
+        f""", near{n} AS ({nearest.format(n=n)}), books{n + 1} AS (
+            SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM books{n} b LEFT JOIN (
+                SELECT part, entry, list(mean ORDER BY place) AS c FROM (
+                    SELECT part, entry, place, CAST(floor(sum(v) / count(*)) AS DOUBLE) AS mean
+                    FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM near{n}) GROUP BY ALL)
+                GROUP BY ALL) m USING (part, entry))"""
+        for n in range(4)
+    )
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(1024 * v) AS DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, label, part, x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS x FROM kept, (SELECT unnest(range(4)) AS part)
+        ), books0 AS (
+            SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c
+            FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+        ){rounds}, final AS ({nearest.format(n=4)}), codes AS (
+            SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(error) AS BIGINT) AS error FROM final GROUP BY vec_id, label
+        ), digest AS (
+            SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256
+            FROM (SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS place FROM books4)
+        )
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest"""
+
+
 SQL: dict[str, str] = {
+    "op11_chat_round_trip": r"""
+        WITH chats AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, length(regexp_replace(text, '(<|\[)(\\*(?:<SYS>>|</SYS>>|s>|/s>|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\]))', '\1\\\2', 'g'))
+                + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + length(role) END AS n FROM chats
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, sha256(text))) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, sha256(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM sized GROUP BY conv_id""",
+    "op12_turn_repair": _TURN_REPAIR,
+    "op13_vector_codes": _vector_code_sql(),
     "op2_line_dedup": """
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (
@@ -129,5 +260,8 @@ QUERIES: dict[str, Query] = {
         op8_chunk_fingerprints,
         op9_best_fit_packing,
         op10_toxicity,
+        op11_chat_round_trip,
+        op12_turn_repair,
+        op13_vector_codes,
     )
 }
