@@ -39,4 +39,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a table that ``stage`` returned, once nothing reads them any more."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
