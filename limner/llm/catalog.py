@@ -16,7 +16,7 @@ from limner.llm.license_scan import license_blocks
 from limner.llm.line_dedup import line_report
 from limner.llm.ngram_join import shingle_groups
 from limner.llm.packing import packed_documents
-from limner.llm.piece_dropout import decode_documents, encode_documents
+from limner.llm.piece_dropout import round_trips
 from limner.llm.toxicity import fit_toxicity, toxicity_scores
 from limner.llm.turn_repair import damaged, repair_conversations, repair_report
 from limner.llm.vector_codes import vector_code_report
@@ -54,9 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_piece_dropout(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = decode_documents(encode_documents(_table(spark, sf, "documents")))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), same.alias("lossless"))
+    return round_trips(_table(spark, sf, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:

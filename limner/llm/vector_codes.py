@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limner.plans.joins import lookup_join
-from limner.plans.staging import stage
+from limner.plans.staging import discard, stage
 
 PARTS = 4
 ENTRIES = 256
@@ -144,6 +144,8 @@ class Bounds:
             best[rows] = np.where(wins, distance, now)
             self.kept[rows, j] = np.where(wins, own, other)
             self.lower[rows, j] = np.sqrt(np.where(wins, now, distance).astype(np.float64)) * (1 - _SLACK)
+        order = self.lower.argsort(1)
+        self.kept, self.lower = np.take_along_axis(self.kept, order, 1), np.take_along_axis(self.lower, order, 1)
         self.resized(min(closest, len(entries) - 1))
         far = np.flatnonzero(self.outer <= reach)
         looked[far] = self.kept.shape[1] + 1
@@ -268,12 +270,14 @@ def vector_codes(vectors: DataFrame, entries: int = ENTRIES, rounds: int = ROUND
     table = kept.select("vec_id", F.col("label").cast("long").alias("label"), "x", F.lit(None).cast("binary").alias("state"))
     if not first:
         return table.select("vec_id", "label", F.lit(None).cast("binary").alias("code"), F.lit(0).cast("long").alias("error")), books
+    last = kept
     for turn in range(rounds + 1):
-        table = stage(table.select(*columns).mapInArrow(_assigned(books), _COLUMNS), f"vector-codes-{turn}")
+        now = stage(table.select(*columns).mapInArrow(_assigned(books), _COLUMNS), f"vector-codes-{turn}")
+        discard(last)  # each round reads the table of the one before and no other
+        last, table = now, now.where("part IS NULL AND looked IS NULL")
         if turn < rounds:
-            books = books.moved(*_refined(table, books))
-            table = table.where("part IS NULL AND looked IS NULL")
-    return table.where("part IS NULL AND looked IS NULL").select("vec_id", "label", "code", "error"), books
+            books = books.moved(*_refined(now, books))
+    return table.select("vec_id", "label", "code", "error"), books
 
 
 def vector_code_report(vectors: DataFrame) -> DataFrame:

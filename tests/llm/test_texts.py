@@ -118,28 +118,78 @@ def test_dropout_is_lossless_seeded_and_varied(texts):
     assert one.encode(texts[:50], draws[:50]) == a[:50]  # not a matter of the batch
 
 
-def test_every_occurrence_has_its_own_draws(texts):
-    """The agenda of each chunk alone, under the key of its text and turn, gives what whole texts give."""
+def plain_pieces(text, draw, dropout, seed, model):
+    """Pieces of a text by the definition: the best pair anywhere in a chunk merges, unless its hash has it skipped, until none is left."""
+    names = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    mix = lambda x: int(D.mix(np.array([x & D._WORD], np.uint64))[0])
+    out = []
+    for turn, chunk in enumerate(D.PieceCoder(dropout=0.0).chunks.findall(" " + text) if text else []):
+        key = mix((draw ^ mix(seed + 1)) + turn * int(D._TURN))
+        parts = [(i, c.replace(" ", "▁")) if c != "▁" else (i, None) for i, c in enumerate(chunk)]
+        while True:
+            offers = []
+            for (i, a), (_, b) in zip(parts, parts[1:], strict=False):
+                m = names.get(a + b) if a and b else None
+                if m is not None and mix(key ^ mix(i * int(D._TURN) + m)) >= dropout * 2**64:
+                    offers.append((-model.get_score(m), i, a + b))
+            if not offers:
+                break
+            _, i, new = min(offers)
+            at = [p for p, _ in parts].index(i)
+            parts[at : at + 2] = [(i, new)]
+        for _, x in parts:
+            if x in names:
+                out.append(names[x])
+            else:
+                out += [model.piece_to_id(f"<0x{v:02X}>") for v in (x or "▁").encode()]
+    return out
+
+
+def test_dropout_follows_the_definition(texts):
+    model = sentencepiece.SentencePieceProcessor(model_file=D.vocabulary_path())
+    for dropout, some in ((0.1, texts[:60]), (0.5, texts[60:90]), (0.1, ["x" * 300, "unbelievable-international" * 9, "漢字" * 40 + "ab" * 60, "a" + "." * 70])):
+        coder = D.PieceCoder(dropout=dropout, seed=5)
+        draws = D.mix(np.arange(len(some), dtype=np.uint64))
+        for text, draw, ids in zip(some, draws.tolist(), coder.encode(some, draws), strict=True):
+            assert np.frombuffer(ids, "<i4").tolist() == plain_pieces(text, draw, dropout, 5, model)
+
+
+def test_every_occurrence_has_its_own_draws():
     coder = D.PieceCoder()
     word, n = " unbelievable", 4000
-    ids = coder.encode([(word * n)[1:]], np.array([7], np.uint64))[0]
-    plain = D.PieceCoder(dropout=0.0).encode([word[1:]], np.array([7], np.uint64))[0]
-    keys = D.mix((np.array([7], np.uint64) ^ D.mix(np.array([coder.seed + 1], np.uint64))) + np.arange(n, dtype=np.uint64) * D._TURN)
-    own = [coder._ids(coder._alone(word, keys[i : i + 1])) for i in range(n)]
-    assert b"".join(own) == ids and len(set(own)) > 20 and plain in own
+    ids = np.frombuffer(coder.encode([(word * n)[1:]], np.array([7], np.uint64))[0], "<i4")
+    starts = np.flatnonzero([coder.raw[i].startswith(b" ") for i in ids.tolist()])
+    forms = {tuple(x.tolist()) for x in np.split(ids, starts[1:])}
+    assert len(starts) == n and len(forms) > 20
     # one candidate merge: skipped in a tenth of all places, not in 0, 25, 50, 75 or 100 of a hundred
-    pair = next(c for c in (f" {x}" for x in "abcdefghij") if len(coder._pieces(coder.start(c)[:1], coder.start(c)[1:])) and coder._pieces(coder.start(c)[:1], coder.start(c)[1:])[0] >= 0)
+    pair = next(c for c in (f" {x}" for x in "abcdefghij") if coder._pieces(coder.start(c)[:1], coder.start(c)[1:])[0] >= 0)
     many = np.frombuffer(coder.encode([(pair * 20_000)[1:]], np.array([9], np.uint64))[0], "<i4")
     assert 0.09 < len(many) / 20_000 - 1 < 0.11
 
 
-def test_both_agendas_agree(texts):
-    coder = D.PieceCoder(dropout=0.3)
-    words = [w for t in texts for w in t.split(" ") if 1 < len(w) < 40]
-    keys = D.mix(np.arange(len(words), dtype=np.uint64))
-    symbols, cuts = coder._side_by_side(words, keys)
-    for i, w in enumerate(words):
-        assert symbols[cuts[i] : cuts[i + 1]].tolist() == coder._alone(w, keys[i : i + 1]).tolist()
+def test_a_long_text_without_spaces():
+    text = "".join(random.Random(1).choice("漢字かな交じり文 abc".replace(" ", "")) for _ in range(300_000))
+    coder = D.PieceCoder()
+    assert coder.decode(coder.encode([text], np.array([1], np.uint64))[0]) == text
+
+
+def test_pairs_are_found_in_the_table_of_slots():
+    coder = D.PieceCoder()
+    keys = np.fromiter(coder.pairs, np.int64)
+    left, right = (keys // coder.base).astype(np.int32), (keys % coder.base).astype(np.int32)
+    assert coder._pieces(left, right).tolist() == list(coder.pairs.values())
+    rng = np.random.default_rng(1)
+    left, right = rng.integers(-5, coder.base, 50_000, np.int32), rng.integers(-5, coder.base, 50_000, np.int32)
+    want = [coder.pairs.get(a * coder.base + b, -1) if a >= 0 and b >= 0 else -1 for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+    assert coder._pieces(left, right).tolist() == want
+
+
+def test_round_trips_in_one_step(docs, awkward, nothing):
+    for df in (docs, awkward):
+        decoded = D.decode_documents(D.encode_documents(df)).collect()
+        want = [(r.doc_id, r.n_ids, r.ids_crc32, hashlib.sha256((r.text or "").encode()).hexdigest(), True) for r in decoded]
+        assert sorted(map(tuple, D.round_trips(df).collect()), key=repr) == sorted(want, key=repr)
+    assert D.round_trips(nothing).count() == 0
 
 
 def test_pieces_of_tables(docs, awkward, nothing):
