@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from limner.llm.words import tidy
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -139,6 +141,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _sampled_windows(per_text: int):
+    @tidy
     def run(batches):
         for batch in batches:
             langs, parts = [], []
@@ -179,6 +182,7 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = TEXTS
 
 
 def _predicted(model: ByteCNN | None):
+    @tidy
     def run(batches):
         tables = model.tables() if model else {}
         for batch in batches:
@@ -225,6 +229,7 @@ def with_language(docs: DataFrame, model: ByteCNN | None, min_score: float) -> D
     """The rows whose text has a language, recognised with at least ``min_score``; all their columns as they are."""
     own = docs.withColumnsRenamed({c: f"own {c}" for c in docs.columns if c in ("lang_pred", "score")})
 
+    @tidy
     def run(batches):
         for batch in batches:
             found = next(iter(_predicted(model)([batch.select(["text"])])))

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from limner.llm.words import tidy
 from limner.plans.staging import stage
 
 MIN_CHARS = 10
@@ -45,6 +46,7 @@ _BITMAPS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_line
 def _lines(min_chars: int):
     """A row per line that can be dropped; and one without key per text, whose position is its number of lines."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             ids, marks, texts = (batch.column(k) for k in ("doc_id", "text_key", "text"))
@@ -73,6 +75,7 @@ def _lines(min_chars: int):
     return run
 
 
+@tidy
 def _first_documents(batches):
     """Of sorted lines, those outside the first document of their hash.
 
@@ -110,6 +113,7 @@ def _first_documents(batches):
         yield _batch(_FOUND, [[_EDGE] * len(edges), list(edges), list(edges.values()), [None] * len(edges), [None] * len(edges)])
 
 
+@tidy
 def _bitmaps(batches):
     for batch in batches:
         keep = []
@@ -158,6 +162,7 @@ def kept_text(text: str, n_lines: int, keep: bytes) -> str:
 
 
 def _apply(digest_only: bool, text_at: int):
+    @tidy
     def run(batches):
         for batch in batches:
             names = batch.schema.names

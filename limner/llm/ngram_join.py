@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from limner.llm.components import components
 from limner.llm.frequent import most_frequent
-from limner.llm.words import mix, shingle_sets, text_groups, word_hashes
+from limner.llm.words import mix, shingle_sets, text_groups, tidy, word_hashes
 from limner.plans.staging import stage
 
 WIDTH = 5
@@ -103,6 +103,7 @@ class _Frequent:
 def _described(width: int, counters: int):
     """Rows of kind 0: digest, size and bitmap of each set; of kind 1: frequent shingles of the task."""
 
+    @tidy
     def run(batches):
         frequent, waiting, held = _Frequent(counters), [], 0
         for batch in batches:
@@ -132,6 +133,7 @@ def _described(width: int, counters: int):
 def _prefixes(width: int, percent: int, last: np.ndarray):
     """The shingles of each set by which it can meet a similar one."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             for _, _, values, bounds in _sets(batch, width):
@@ -161,6 +163,7 @@ def _prefixes(width: int, percent: int, last: np.ndarray):
     return run
 
 
+@tidy
 def _shared_lists(batches):
     """Postings in the order of list, part, size and set: those of lists with several sets, with the list's first set."""
     h0 = share0 = a0 = n0 = d0 = None
@@ -196,6 +199,7 @@ def _shared_lists(batches):
 
 
 def _may_reach(percent: int):
+    @tidy
     def run(batches):
         for batch in batches:
             n = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
@@ -243,6 +247,7 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, joined: DataFrame, percent:
 def _segments(width: int, fragments: int, wanted: np.ndarray):
     """The part of each wanted set that lies in each fragment of the order."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
@@ -269,6 +274,7 @@ def _segments(width: int, fragments: int, wanted: np.ndarray):
     return run
 
 
+@tidy
 def _partial_overlaps(batches):
     for batch in batches:
         left, right = batch.column("part_a"), batch.column("part_b")
@@ -330,6 +336,7 @@ def _crossing(percent: int, every: bool):
                 yield start, stop, end, words[start - first : end - first]
                 start = stop
 
+    @tidy
     def run(batches):
         key, rest, seen = None, [], set()
         for batch in batches:

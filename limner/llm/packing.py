@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limner.llm.word_tokens import shared_words
+from limner.llm.words import tidy
 from limner.plans.staging import stage
 
 CAPACITY = 4096
@@ -30,6 +31,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 
 def _cut(capacity: int, end_id: int, path: str | None):
+    @tidy
     def run(batches):
         words = shared_words(path)
         end = np.array([end_id], "<u4").tobytes()
@@ -42,6 +44,7 @@ def _cut(capacity: int, end_id: int, path: str | None):
                     for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
+        words.rare.clear()
 
     return run
 

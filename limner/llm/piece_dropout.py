@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limner.llm.words import mix
+from limner.llm.words import mix, tidy
 
 VOCABULARY = "piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -291,6 +291,7 @@ def _segmented(batches, coder: PieceCoder):
 
 
 def _encoded(path, dropout, seed):
+    @tidy
     def run(batches):
         for rows, _, ids in _segmented(batches, shared_coder(path, dropout, seed)):
             cuts = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
@@ -313,6 +314,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, dropout: float =
 
 
 def _decoded(path):
+    @tidy
     def run(batches):
         coder = shared_coder(path, 0.0, SEED)
         for batch in batches:
@@ -333,6 +335,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _round_trip(path, dropout, seed):
+    @tidy
     def run(batches):
         coder = shared_coder(path, dropout, seed)
         for rows, texts, ids in _segmented(batches, coder):

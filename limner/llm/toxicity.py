@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limner.llm.words import text_bytes, text_groups
+from limner.llm.words import text_bytes, text_groups, tidy
+from limner.plans.staging import discard, stage
 
 GRAM = 5
 BUCKETS = 1 << 18
@@ -76,35 +77,25 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(total + self.shift, -40, 40)))
 
 
-Counted = tuple[np.ndarray, np.ndarray, int]
+def chosen_buckets(toxic: np.ndarray, unlabelled: np.ndarray, n_toxic: int, n_unlabelled: int, features: int = FEATURES) -> np.ndarray:
+    """The buckets that tell toxic texts best, ascending, from how many texts of each kind have each bucket."""
+    share = [c / max(1, n) for c, n in ((toxic, n_toxic), (unlabelled, n_unlabelled))]
+    floor = 1 / (n_unlabelled + 1)
+    gain = share[0] * np.log((share[0] + floor) / (share[1] + floor))
+    by_chance = n_toxic * share[1]
+    gain[toxic - by_chance < SURPRISE * np.sqrt(by_chance + 1)] = 0
+    chosen = np.argsort(-gain, kind="stable")[:features]
+    return np.sort(chosen[gain[chosen] > 0])
 
 
-def fit(toxic: list[Counted], unlabelled: list[Counted], prior: float, features: int = FEATURES, epochs: int = EPOCHS) -> Classifier:
-    """A classifier from the buckets, their counts and the size of toxic and of unlabelled texts, by the non-negative risk
+def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and shift from the densities of toxic texts and of unlabelled ones, by the non-negative risk
 
     ``prior * R(toxic, 1) + max(0, R(unlabelled, 0) - prior * R(toxic, 0))`` with the sigmoid loss.
     """
-    counts = [np.bincount(np.concatenate([own for own, _, _ in sets]), minlength=BUCKETS) if sets else np.zeros(BUCKETS) for sets in (toxic, unlabelled)]
-    share = [c / max(1, len(sets)) for c, sets in zip(counts, (toxic, unlabelled), strict=True)]
-    floor = 1 / (len(unlabelled) + 1)
-    gain = share[0] * np.log((share[0] + floor) / (share[1] + floor))
-    by_chance = len(toxic) * share[1]
-    gain[counts[0] - by_chance < SURPRISE * np.sqrt(by_chance + 1)] = 0
-    chosen = np.argsort(-gain, kind="stable")[:features]
-    chosen = np.sort(chosen[gain[chosen] > 0])
-    column = np.full(BUCKETS, -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-
-    def matrix(sets):
-        x = np.zeros((len(sets), len(chosen)), np.float32)
-        for i, (own, count, size) in enumerate(sets):
-            at = column[own]
-            x[i, at[at >= 0]] = density(count[at >= 0], size)
-        return x
-
-    p, u = matrix(toxic), matrix(unlabelled)
-    w, b = np.zeros(len(chosen), np.float32), np.float32(np.log(prior / (1 - prior)))
-    m, s = np.zeros(len(chosen) + 1, np.float32), np.zeros(len(chosen) + 1, np.float32)
+    width = p.shape[1]
+    w, b = np.zeros(width, np.float32), np.float32(np.log(prior / (1 - prior)))
+    m, s = np.zeros(width + 1, np.float32), np.zeros(width + 1, np.float32)
     for step in range(1, epochs + 1):
         to_p, to_u = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
         slope_p, slope_u = to_p * (1 - to_p) / max(1, len(p)), to_u * (1 - to_u) / max(1, len(u))
@@ -119,13 +110,14 @@ def fit(toxic: list[Counted], unlabelled: list[Counted], prior: float, features:
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1]
-    return Classifier(column, w.astype(np.float64), float(b))
+    return w.astype(np.float64), float(b)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+@tidy
 def _sets(batches):
     for batch in batches:
         for start, stop in text_groups(batch):
@@ -141,6 +133,34 @@ def _sets(batches):
             )
 
 
+def _bucket_counts(batches):
+    """How many texts of each kind have each bucket, for a part of the texts."""
+    counts = {}
+    for batch in batches:
+        for kind, own in zip(batch.column("kind").to_pylist(), batch.column("buckets"), strict=True):
+            counts.setdefault(kind, np.zeros(BUCKETS, np.int64))[np.frombuffer(own.as_py(), "<i4")] += 1
+    for kind, count in counts.items():
+        met = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), kind), pa.int32()), pa.array(met, pa.int32()), pa.array(count[met])], names=["kind", "bucket", "n"])
+
+
+def _densities(column: np.ndarray, width: int):
+    """The features of each text, as bytes of 32-bit numbers."""
+
+    @tidy
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for own, count, size in zip(batch.column("buckets"), batch.column("counts"), batch.column("size").to_pylist(), strict=True):
+                at, n = column[np.frombuffer(own.as_py(), "<i4")], np.frombuffer(count.as_py(), "<i4")
+                x = np.zeros(width, "<f4")
+                x[at[at >= 0]] = density(n[at >= 0], size)
+                rows.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["kind", "doc_id", "x"])
+
+    return run
+
+
 def _drawn(ids: DataFrame, n: int, total: int, seed: int) -> DataFrame:
     """The ``n`` ids of the smallest hash; those beyond four times their expected range never leave their task."""
     draw = F.xxhash64("doc_id", F.lit(seed))
@@ -153,7 +173,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts:
 
     A text is confirmed toxic if any of its labels is 1; the unlabelled texts are any texts. Of both, those of the
     smallest hash of the id are taken, up to the given numbers. ``prior`` is the share of toxic texts, by default
-    that among the labels. None without any toxic text.
+    that among the labels. None without any toxic text. The driver sees a count for each bucket and, of each text taken,
+    the chosen features: at most ``2 * BUCKETS`` counts and ``FEATURES`` numbers a text, however long the texts are.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(learn).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & learn)
@@ -164,9 +185,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts:
     confirmed = _drawn(known.where("toxic = 1").select("doc_id"), toxic_texts, counts.toxic, 0).select("doc_id", F.lit(1).alias("kind"))
     others = _drawn(rows.select("doc_id"), unlabelled_texts, rows.select("doc_id").count(), 1).distinct().select("doc_id", F.lit(0).alias("kind"))
     asked = F.broadcast(confirmed.union(others))
-    found = rows.join(asked, "doc_id").mapInArrow(_sets, "doc_id long, kind int, buckets binary, counts binary, size long").dropDuplicates(["doc_id", "kind"]).orderBy("kind", "doc_id").collect()
-    sets = {k: [(np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.counts, "<i4"), r["size"]) for r in found if r.kind == k] for k in (0, 1)}
-    return fit(sets[1], sets[0], prior) if sets[1] else None
+    sets = rows.join(asked, "doc_id").mapInArrow(_sets, "doc_id long, kind int, buckets binary, counts binary, size long")
+    one = F.min(F.struct("size", "buckets", "counts")).alias("one")  # of different texts under one id, the shorter
+    sets = stage(sets.groupBy("kind", "doc_id").agg(one).select("kind", "doc_id", "one.*"), "toxic-sets")
+    sizes = {r.kind: r.n for r in sets.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    if not sizes.get(1):
+        return None
+    counts = np.zeros((2, BUCKETS))
+    met = sets.select("kind", "buckets").mapInArrow(_bucket_counts, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[met["kind"].to_numpy(), met["bucket"].to_numpy()] = met["n"].to_numpy()
+    chosen = chosen_buckets(counts[1], counts[0], sizes[1], sizes.get(0, 0))
+    column = np.full(BUCKETS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    table = sets.mapInArrow(_densities(column, len(chosen)), "kind int, doc_id long, x binary").orderBy("kind", "doc_id").toArrow()
+    discard(sets)
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, len(chosen)) if len(chosen) else np.zeros((table.num_rows, 0), np.float32)
+    kind = table["kind"].to_numpy()
+    weights, shift = fit(x[kind == 1], x[kind == 0], prior)
+    return Classifier(column, weights, shift)
 
 
 def _scores_of(model: Classifier | None, batch: pa.RecordBatch) -> np.ndarray:
@@ -181,6 +217,7 @@ def toxicity_scores(docs: DataFrame, model: Classifier | None) -> DataFrame:
     The score is that of a text without any known 5-gram for empty texts, and 0 without a model.
     """
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores_of(model, batch))], names=["doc_id", "score"])
@@ -191,6 +228,7 @@ def toxicity_scores(docs: DataFrame, model: Classifier | None) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Classifier | None, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is below ``threshold``; all their columns as they are."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(_scores_of(model, batch) < threshold))

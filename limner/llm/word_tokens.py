@@ -9,8 +9,8 @@ import numpy as np
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words a worker remembers at most; it then starts anew.
-REMEMBERED = 800_000
+#: Words a worker keeps for all its tasks, those it meets first, and further words it keeps until there are so many.
+KEPT, REMEMBERED = 120_000, 120_000
 
 # The word pattern of the vocabulary file, written out for texts of Latin-1 characters in lower case.
 _LETTER, _DIGIT, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -25,7 +25,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(2)
 def shared_words(path: str | None = None) -> WordTokens:
-    """The words of this worker process: what one task looked up, the next one finds."""
+    """The words of this worker process."""
     return WordTokens(path)
 
 
@@ -33,18 +33,26 @@ class WordTokens(dict):
     """Ids of words as little-endian unsigned 32-bit integers, and of texts word by word.
 
     Latin-1 texts are cut into words here and each word is looked up; the tokenizer sees a
-    word only once. All other texts go through the tokenizer whole. Strings of special
-    tokens in a text are ordinary text.
+    word only once. All other texts go through the tokenizer whole, and so do those with the
+    string of a special token, which it gives an id of its own.
     """
 
     def __init__(self, path: str | None = None):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.rare: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self._whole(word)
-        self[word] = ids
+        ids = self.rare.get(word)
+        if ids is None:
+            ids = self._whole(word)
+            if len(self) < KEPT:
+                self[word] = ids
+            else:
+                if len(self.rare) >= REMEMBERED:
+                    self.rare.clear()
+                self.rare[word] = ids
         return ids
 
     def _whole(self, text: str) -> bytes:
@@ -55,6 +63,7 @@ class WordTokens(dict):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return self._whole(text)
-        if len(self) > REMEMBERED:
-            self.clear()
-        return b"".join(map(self.__getitem__, _WORDS.findall(text.lower())))
+        text_lower = text.lower()
+        if any(x in text_lower for x in self.special):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, _WORDS.findall(text_lower)))

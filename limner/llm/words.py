@@ -7,7 +7,9 @@ of texts takes a fixed number of passes over one byte array and no loop over wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,23 @@ _MULTIPLIERS = _odd(_SPAN, 1)
 _FAR = np.uint64(0xD6E8FEB86659FD93)
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker process back to the system: idle workers are kept for other stages and would hold it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over record batches that gives its memory back at the end of each task."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def text_groups(batch: pa.RecordBatch, column: str = "text", size: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts hold about ``size`` bytes: at least one row each, and 2048 at most."""
     offsets = text_bytes(batch.column(column))[1]

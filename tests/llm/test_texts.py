@@ -255,12 +255,33 @@ def test_prints_beside_the_next_document(spark, docs, awkward, nothing):
 def test_word_tokens_are_the_tokenizer_s():
     rng = random.Random(1)
     words, own = WordTokens(), Tokenizer.from_file(vocabulary_path())
-    own.encode_special_tokens = True
     texts = ["".join(chr(rng.choice([rng.randrange(256), rng.randrange(32, 127), 39, 115, 32, 10])) for _ in range(rng.randrange(80))) for _ in range(500)]
-    for text in [*texts, "żółw 漢字 ΑΣ", "<|endoftext|> x", "\x1c a\x85b\xa0c", ""]:
+    for text in [*texts, "żółw 漢字 ΑΣ", "<|endoftext|> x", "a<|STARTOFTEXT|>b <|startoftext|>c", "\x1c a\x85b\xa0c", ""]:
         assert np.frombuffer(words.ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_kept_up_to_a_bound(monkeypatch):
+    from limner.llm import word_tokens as W
+
+    monkeypatch.setattr(W, "KEPT", 3)
+    monkeypatch.setattr(W, "REMEMBERED", 4)
+    words, own = WordTokens(), Tokenizer.from_file(vocabulary_path())
+    for i in range(40):
+        text = f"word{chr(97 + i % 26)} of a{chr(97 + i % 13)}b"
+        assert np.frombuffer(words.ids(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids
+        assert len(words) <= 3 and len(words.rare) <= 4
+
+
+def test_runs_of_a_plan_do_not_grow_with_the_pieces():
+    rng = np.random.default_rng(4)
+    shape = np.minimum(rng.lognormal(6, 1.2, 200_000).astype(int) + 2, 4096)
+    sizes = []
+    for times in (1, 30, 600):
+        counts = {int(k): int(n) * times for k, n in zip(*np.unique(shape, return_counts=True), strict=True)}
+        sizes.append(len(P.Plan(counts, 4096).places))
+    assert max(sizes) < 4 * 4096 and max(sizes) < 1.5 * min(sizes)
+
+
 def check_plan(counts, capacity):
     plan = P.Plan(counts, capacity)
     filled, seen = defaultdict(list), defaultdict(int)
@@ -313,9 +334,10 @@ def test_plans_are_sound_and_the_reduction_loses_nothing():
     assert P.Plan({}, 10).bins == 0
 
 
-def test_packed_tables(docs, awkward, nothing):
+def test_packed_tables(spark, docs, awkward, nothing):
+    special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|startoftext|>" * 40), (3, "plain < | endoftext | >"), (4, None)], "doc_id long, text string")
     own = Tokenizer.from_file(vocabulary_path())
-    for df, capacity in ((docs, 4096), (docs, 64), (awkward, 4096)):
+    for df, capacity in ((docs, 4096), (docs, 64), (awkward, 4096), (special, 16)):
         rows = P.packed_documents(df, capacity).collect()
         want = []
         for r in df.collect():
