@@ -236,7 +236,7 @@ def prompt_owner_lookup(spark: SparkSession, sf: str) -> DataFrame:
     each = S.load_bank(prompts.select("prompt_id", "template_id", "vector"), class_col="prompt_id")
     long = S.scores_to_rows(S.score_classes(items, each, "embedding"), ["vec_id"], each.class_ids)
     owners = prompts.select(F.col("prompt_id").alias("class_id"), F.col("class_id").alias("owner_id"), "template_id")
-    joined = lookup_join(long, owners, ["class_id"], F.col("vec_id"))
+    joined = lookup_join(long, owners, ["class_id"])
     owner = F.concat(F.lit("class_"), "owner_id")
     return B.rounded(
         joined.select("vec_id", F.col("owner_id").alias("class_id"), F.col("template_id").cast("bigint"), owner.alias("owner"), "score")
@@ -572,6 +572,27 @@ def ridge_alpha_search(spark: SparkSession, sf: str) -> DataFrame:
     return L.fit_linear_map(B.pairs(spark, sf), "x", "y", ["vec_id"]).search(spark)
 
 
+@query(
+    having(
+        B.PAIRS,
+        "folds AS (SELECT *, ntile(5) OVER (ORDER BY vec_id) - 1 AS fold FROM pairs)",
+        then="SELECT CAST(fold AS INTEGER) AS fold, count(*) AS n, (SELECT count(*) FROM pairs) AS n_pairs, TRUE AS solved, TRUE AS error_agrees, TRUE AS solvers_agree FROM folds GROUP BY 1",
+    )
+)
+def ridge_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = B.pairs(spark, sf)
+    fitted, other = (L.fit_linear_map(pairs, "x", "y", ["vec_id"], solver=s) for s in ("normal", "qr"))
+    told = {f: e for a, f, e in fitted.scores if a == fitted.best_alpha}
+    same = other.best_alpha == fitted.best_alpha and abs(fitted.weights - other.weights).max() < 1e-8
+    solved = max(L.normal_residual(pairs, "x", "y", m) for m in (fitted, other)) < 1e-9
+    keyed = X.kfold_id(pairs, ["vec_id"])
+    expected = F.element_at(F.create_map(*[F.lit(v) for pair in told.items() for v in pair]), F.col("fold"))
+    return L.heldout_errors(keyed, "x", "y", "fold", fitted.fold_weights).select(
+        "fold", "n", F.lit(fitted.n_pairs).cast("bigint").alias("n_pairs"), F.lit(solved).alias("solved"),
+        (F.abs(F.col("mse") - expected) <= 1e-9 * expected).alias("error_agrees"), F.lit(bool(same)).alias("solvers_agree"),
+    )
+
+
 @query(
     having(
         B.PAIRS,

@@ -224,7 +224,7 @@ def predictions_of_selected_runs(spark: SparkSession, sf: str) -> DataFrame:
         B.model_of(F.col("user_id")).alias("model_id"),
     )
     selected = L.best_per_family(B.runs(spark, sf))
-    return L.predictions_for(predictions, selected, F.col("event_id")).select("event_id", "run_id", "target", "model_id")
+    return L.predictions_for(predictions, selected).select("event_id", "run_id", "target", "model_id")
 
 
 @query(

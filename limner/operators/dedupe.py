@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limner.plans.joins import HEAVY_KEYS, ROWS_PER_SALT, salted_join
+from limner.plans.joins import join_unique
 from limner.plans.ordering import dense_index
 
 
@@ -37,22 +37,20 @@ def dedupe_exact(df: DataFrame, hash_col: str, order: Sequence[str]) -> tuple[Da
 def link_duplicates(df: DataFrame, unique: DataFrame, hash_col: str, order: Sequence[str]) -> DataFrame:
     """Rows that are not the kept one of their hash, with its ``primary_unique_idx``.
 
-    Hashes without a copy are left out of the join; hot hashes are salted.
+    Hashes without a copy are left out of the join. Those with more copies than a shuffle partition's even share, fewer than
+    there are partitions, meet their rows by a broadcast; see ``join_unique``.
     """
     order = list(order)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = unique.filter("copies > 1")
-    heavy = (
-        repeated.filter(F.col("copies") > ROWS_PER_SALT)
-        .orderBy(F.desc("copies"))
-        .limit(HEAVY_KEYS)
-        .select(hash_col, F.ceil(F.col("copies") / ROWS_PER_SALT).cast("int").alias("_salts"))
-    )
+    rows = unique.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = repeated.filter(F.col("copies") * ranges > F.lit(rows)).select(hash_col)
     primary = repeated.select(
         hash_col,
         F.col("unique_idx").alias("primary_unique_idx"),
         F.struct(*order).alias("_kept"),
     )
-    linked = salted_join(df, primary, [hash_col], F.struct(*order), heavy=heavy)
+    linked = join_unique(df, primary, [hash_col], hot=hot)
     return linked.filter(F.struct(*order) != F.col("_kept")).drop("_kept")
 
 

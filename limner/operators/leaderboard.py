@@ -152,10 +152,10 @@ def figure_source_table(df: DataFrame) -> DataFrame:
     return df.select(*FIGURE_COLUMNS).orderBy("target", F.desc_nulls_last("top1_accuracy"), "run_id", "model_id")
 
 
-def predictions_for(predictions: DataFrame, selected: DataFrame, spread: Column) -> DataFrame:
+def predictions_for(predictions: DataFrame, selected: DataFrame) -> DataFrame:
     """Predictions of the selected runs; runs without predictions drop out."""
     keys = ["run_id", "target", "model_id"]
-    return lookup_join(predictions, selected.select(*keys).distinct(), keys, spread, "left_semi")
+    return lookup_join(predictions, selected.select(*keys).distinct(), keys, "left_semi")
 
 
 def confusion_index(selected: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -297,7 +297,7 @@ def box_stats(df: DataFrame, group: str, value: str, whisker: float = 1.5) -> Da
     )
     reach = (F.col("q75") - F.col("q25")) * whisker
     inside = F.col("_v").between(F.col("q25") - reach, F.col("q75") + reach)
-    joined = lookup_join(df.select(group, F.col(value).cast("double").alias("_v")), quart, [group], F.col("_v"))
+    joined = lookup_join(df.select(group, F.col(value).cast("double").alias("_v")), quart, [group])
     return joined.groupBy(group, "q25", "q50", "q75").agg(
         F.count("_v").alias("n"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),

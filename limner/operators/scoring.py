@@ -7,23 +7,24 @@ ranks and top-k are expressions on that array.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from limner.functions import vectors as V
 from limner.functions.numbers import round_exact
 from limner.functions.text import fill_template
+from limner.plans.staging import stage
 
 MAX_BANK_BYTES = 256 << 20
+#: Size of either side of a tile.
 BLOCK_BYTES = 16 << 20
-BLOCK_ITEMS = 50_000
 
 
 def build_prompts(classes: DataFrame, templates: Sequence[str], n_templates: int = 1, slot: str = "style") -> DataFrame:
@@ -145,48 +146,154 @@ def score_classes(
     return items.withColumn("_v", v).withColumn(out, best).drop("_v")
 
 
+@dataclass(frozen=True)
+class Tiles:
+    """Items and prompts cut so that a task multiplies one chunk of items with one block of prompts.
+
+    A block holds whole classes, but for those that have more prompts than a block: they are ``split`` over all blocks.
+    There are fewer of them than blocks.
+    """
+
+    blocks: int
+    chunks: int
+    split: list
+
+    @classmethod
+    def plan(cls, items: DataFrame, bank: DataFrame, vector: str, bank_vector: str, class_col: str, block_bytes: int) -> Tiles:
+        """Both sides of a tile have about ``block_bytes``; whichever is the larger table is then read by fewer tiles of the other."""
+        size = bank.agg(F.count("*").alias("n"), F.max(F.size(bank_vector)).alias("d")).first()
+        width = 8 * (size["d"] or 1)
+        blocks = max(1, -(-size["n"] * width // block_bytes))
+        chunks = max(1, -(-items.count() * width // block_bytes))
+        most = max(1, block_bytes // width)
+        split = bank.groupBy(class_col).agg(F.count("*").alias("n")).where(F.col("n") > most).select(class_col).collect() if blocks > 1 else []
+        return cls(int(blocks), int(chunks), [r[0] for r in split])
+
+    def items(self, items: DataFrame, keys: Sequence[str], vector: str, *more: str) -> DataFrame:
+        """Every item once for each block."""
+        chunk = F.pmod(F.xxhash64(*keys), F.lit(self.chunks)).cast("int").alias("_chunk")
+        rows = items.where(F.col(vector).isNotNull()).select(*keys, *more, V.as_double(F.col(vector)).alias("_x"), chunk)
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))).alias("_block"))
+
+    def prompts(self, bank: DataFrame, bank_vector: str, class_col: str) -> DataFrame:
+        """Every prompt once for each chunk."""
+        block = F.xxhash64(class_col)
+        if self.split:
+            block = F.when(F.col(class_col).isin(self.split), F.xxhash64(class_col, bank_vector)).otherwise(block)
+        rows = bank.select(F.col(class_col).alias("class_id"), V.as_double(F.col(bank_vector)).alias("_w"), F.pmod(block, F.lit(self.blocks)).cast("int").alias("_block"))
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(self.chunks - 1))).alias("_chunk"))
+
+
+#: Scores of a tile that are in memory at once.
+TILE_SCORES = 1 << 22
+
+
+def _tile_scores(a: pa.Table, b: pa.Table, keys: Sequence[str], cosine: bool) -> Iterator[tuple[pa.Table, list, np.ndarray]]:
+    """Some items of a tile with their best score for each class of it. Rows and classes come in the same order every time."""
+    if not a.num_rows or not b.num_rows:
+        return
+    a = a.sort_by([(k, "ascending") for k in keys])
+    dim = b["_w"].combine_chunks().value_lengths()[0].as_py()
+    w = _dense(b["_w"].combine_chunks(), dim)
+    ids = b["class_id"].combine_chunks()
+    order = np.lexsort((*w.T[::-1], np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]))
+    ids = ids.take(pa.array(order)).to_pylist()
+    w = _unit(w[order]) if cosine else w[order]
+    starts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]]
+    classes = [ids[i] for i in starts]
+    step = max(1, TILE_SCORES // len(w))
+    for at in range(0, a.num_rows, step):
+        part = a.slice(at, step)
+        x = _dense(part["_x"].combine_chunks(), dim)
+        yield part, classes, np.maximum.reduceat((_unit(x) if cosine else x) @ w.T, starts, axis=1)
+
+
+def _by_tile(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], Iterator[pa.Table]], schema: T.StructType) -> DataFrame:
+    arrow = to_arrow_schema(schema)
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts = list(run(a, b))
+        return pa.concat_tables(parts).cast(arrow) if parts else arrow.empty_table()
+
+    return left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInArrow(tile, schema)
+
+
+def _key_fields(items: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+    return [items.schema[n] for n in names]
+
+
 def score_long(
     items: DataFrame, bank: DataFrame, keys: Sequence[str], vector: str, bank_vector: str = "vector", cosine: bool = True,
     class_col: str = "class_id", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """``keys, class_id, score`` for a bank too large for one process.
+    """``keys, class_id, score`` for a bank too large for one process: a row for each item and class.
+
+    The best score per class of each tile (see ``Tiles``) is followed by a plain aggregate, combined on the map
+    side. ``block_predictions`` finds the best class and the rank of the true one without these rows.
+    """
+    keys = list(keys)
+    tiles = Tiles.plan(items, bank, vector, bank_vector, class_col, block_bytes)
+    schema = T.StructType([*_key_fields(items, keys), T.StructField("class_id", bank.schema[class_col].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
+        for part, classes, best in _tile_scores(a, b, keys, cosine):
+            owner = pa.array(np.repeat(np.arange(part.num_rows), len(classes)))
+            yield part.select(keys).take(owner).append_column("class_id", pa.array(classes * part.num_rows)).append_column("score", pa.array(best.ravel()))
+
+    return max_pool(_by_tile(tiles.items(items, keys, vector), tiles.prompts(bank, bank_vector, class_col), run, schema), keys)
+
+
+def block_predictions(
+    items: DataFrame, bank: DataFrame, keys: Sequence[str], vector: str, truth: str, bank_vector: str = "vector", cosine: bool = True,
+    class_col: str = "class_id", block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``keys, truth, pred_label, true_rank`` for a bank of any size, by two passes over the tiles.
 
-    The bank is cut into blocks of a bounded size and the items into chunks of a
-    bounded number of rows; each task multiplies one chunk with one block. The
-    best score per class is then a plain aggregate, combined on the map side.
+    The first pass leaves one row for each item and block: the best class, its score and the score of the true class. With the
+    best of these known, the second one counts in each block the classes that beat the true score; their sum is the rank. Of classes
+    split over blocks the names are kept, so that each counts once. The lowest class wins ties; without prompts of the true
+    class the rank is NULL, and both are for items without a vector. Nothing has a row for each item and class.
     """
     keys = list(keys)
-    size = bank.agg(F.count("*").alias("n"), F.max(F.size(bank_vector)).alias("d")).first()
-    blocks = max(1, -(-size["n"] * (size["d"] or 1) * 8 // block_bytes))
-    chunks = max(1, -(-items.count() // BLOCK_ITEMS))
-    chunk = F.pmod(F.xxhash64(*keys), F.lit(chunks)).cast("int").alias("_chunk")
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1)))).alias("_block")
-    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(int(chunks - 1)))).alias("_chunk")
-    left = items.select(*keys, V.as_double(F.col(vector)).alias("_x"), chunk).select("*", every_block)
-    right = bank.select(
-        F.col(class_col).alias("class_id"),
-        V.as_double(F.col(bank_vector)).alias("_w"),
-        F.pmod(F.xxhash64(class_col, bank_vector), F.lit(blocks)).cast("int").alias("_block"),
-    ).select("*", every_chunk)
-    schema = T.StructType([*[items.schema[k] for k in keys], T.StructField("class_id", bank.schema[class_col].dataType),
-                           T.StructField("score", T.DoubleType())])
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        b = b.sort_values("class_id", kind="stable")
-        ids = b["class_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        x, w = np.stack(a["_x"].to_numpy()), np.stack(b["_w"].to_numpy())
-        scores = (_unit(x) @ _unit(w).T) if cosine else x @ w.T
-        best = np.maximum.reduceat(scores, starts, axis=1)
-        out = a[keys].loc[a.index.repeat(len(starts))].reset_index(drop=True)
-        out["class_id"] = np.tile(ids[starts], len(a))
-        out["score"] = best.ravel()
-        return out
-
-    partial = left.groupBy("_block", "_chunk").cogroup(right.groupBy("_block", "_chunk")).applyInPandas(multiply, schema)
-    return max_pool(partial, keys)
+    tiles = Tiles.plan(items, bank, vector, bank_vector, class_col, block_bytes)
+    kind = bank.schema[class_col].dataType
+    prompts = tiles.prompts(bank, bank_vector, class_col)
+    split = set(tiles.split)
+    found = T.StructType([*_key_fields(items, [*keys, truth]), T.StructField("score", T.DoubleType()), T.StructField("class_id", kind), T.StructField("own", T.DoubleType())])
+
+    def best_of(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
+        for part, classes, best in _tile_scores(a, b, keys, cosine):
+            place = {c: i for i, c in enumerate(classes)}
+            own = np.array([place.get(t, -1) for t in part[truth].to_pylist()])
+            top = best.argmax(axis=1)  # classes ascend, so the lowest of equals
+            rows = np.arange(part.num_rows)
+            out = part.select([*keys, truth]).append_column("score", pa.array(best[rows, top])).append_column("class_id", pa.array([classes[i] for i in top]))
+            yield out.append_column("own", pa.array(best[rows, own], mask=own < 0))
+
+    firsts = _by_tile(tiles.items(items, keys, vector, truth), prompts, best_of, found)
+    chosen = firsts.groupBy(*keys, truth).agg(F.min(F.struct((-F.col("score")).alias("score"), "class_id")).alias("_best"), F.max("own").alias("_own"))
+    chosen = stage(chosen.select(*keys, truth, F.col("_best.class_id").alias("pred_label"), "_own"), "best-classes")
+
+    counts = T.StructType([*_key_fields(items, [*keys, truth]), T.StructField("n", T.LongType()), T.StructField("wide", T.ArrayType(kind))])
+
+    def beaten_by(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
+        for part, classes, best in _tile_scores(a, b, keys, cosine):
+            own = part["_own"].to_numpy()[:, None]
+            rank = {t: i for i, t in enumerate(sorted({*classes, *part[truth].to_pylist()}))}
+            ids, true = np.array([rank[c] for c in classes]), np.array([rank[t] for t in part[truth].to_pylist()])[:, None]
+            beats = ((best > own) | ((best == own) & (ids < true))) & (ids != true)
+            wide = np.array([c in split for c in classes])
+            names = [[classes[i] for i in np.flatnonzero(row)] for row in beats & wide] if wide.any() else [[]] * part.num_rows
+            out = part.select([*keys, truth]).append_column("n", pa.array((beats & ~wide).sum(axis=1)))
+            yield out.append_column("wide", pa.array(names, pa.list_(to_arrow_type(kind))))
+
+    known = items.join(chosen.where("_own IS NOT NULL").select(*keys, truth, "_own"), [*keys, truth])
+    beaten = _by_tile(tiles.items(known, keys, vector, truth, "_own"), prompts, beaten_by, counts)
+    wide = F.size(F.array_distinct(F.flatten(F.collect_list("wide"))))  # one list a block, of fewer names than blocks
+    ranks = beaten.groupBy(*keys, truth).agg((F.sum("n") + wide + 1).cast("int").alias("true_rank"))
+    done = chosen.drop("_own").join(ranks, [*keys, truth], "left").select(*keys, truth, "pred_label", "true_rank")
+    blank = items.where(F.col(vector).isNull()).select(*keys, truth, F.lit(None).cast(kind).alias("pred_label"), F.lit(None).cast("int").alias("true_rank"))
+    return done.unionByName(blank)
 
 
 def max_pool(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -234,17 +341,17 @@ def argmax_class(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def true_rank(scores: DataFrame, truth: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
-    """Rank of the true class from score rows: 1 + number of classes that beat it.
+    """Rank of the true class from score rows: 1 + number of classes that beat it; NULL if it has no score.
 
-    Each item holds one row per class, so its group is bounded by the vocabulary.
+    The score of the true class is found first; the classes that beat it are then counted, so that
+    no item's scores are ever brought together.
     """
-    own = F.max(F.when(F.col("class_id") == F.col(label), F.col("score")))
-    pairs = F.collect_list(F.struct(F.col("score").alias("s"), F.col("class_id").alias("c")))
-    grouped = scores.join(truth, list(keys)).groupBy(*keys, label).agg(own.alias("_s"), pairs.alias("_all"))
-    beats = F.filter(
-        "_all", lambda p: (p["s"] > F.col("_s")) | ((p["s"] == F.col("_s")) & (p["c"] < F.col(label)))
-    )
-    return grouped.select(*keys, label, F.when(F.col("_s").isNotNull(), F.size(beats) + 1).alias("true_rank"))
+    keys = list(keys)
+    rows = scores.join(truth, keys)
+    own = rows.where(F.col("class_id") == F.col(label)).groupBy(*keys, label).agg(F.max("score").alias("_s"))
+    beats = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col("class_id") < F.col(label)))
+    counted = rows.join(own, [*keys, label], "left").groupBy(*keys, label).agg(F.max("_s").alias("_s"), F.count_if(beats).alias("_n"))
+    return counted.select(*keys, label, F.when(F.col("_s").isNotNull(), F.col("_n") + 1).cast("int").alias("true_rank"))
 
 
 def topk_classes(df: DataFrame, class_ids: Sequence, k: int, scores: str = "class_scores") -> DataFrame:

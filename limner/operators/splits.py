@@ -89,7 +89,7 @@ def _split_both(
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), e.alias("rank")) for c, e in ends.items()]))
     cuts = quotas.select(class_col, each.alias("_cut")).select(class_col, "_cut.cut", "_cut.rank").filter("rank > 0")
     bounds = _bounds(keyed, id_col, cuts, list(ends), [class_col], hist)
-    joined = lookup_join(keyed, bounds, [class_col], F.col(id_col), "left")
+    joined = lookup_join(keyed, bounds, [class_col], "left")
     key = _key(id_col)
     split = F.when(key <= F.col("_test"), "test").when(key <= F.col("_val"), "val").otherwise("train")
     return joined.withColumn("split", split).drop("_hash", "_test", "_val")
@@ -121,7 +121,7 @@ def _draw(df: DataFrame, id_col: str, class_col: str, fraction: float, flag: str
         hist = hist.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
     bounds = _bounds(df, id_col, cuts, [flag], by, hist)
     if by:
-        joined = lookup_join(df, bounds, by, F.col(id_col), "left")
+        joined = lookup_join(df, bounds, by, "left")
     else:
         joined = df.withColumn(f"_{flag}", bounds.scalar())
     return joined.withColumn(flag, F.coalesce(_key(id_col) <= F.col(f"_{flag}"), F.lit(False))).drop(f"_{flag}")

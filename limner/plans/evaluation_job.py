@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from limner.operators.linear_map import project
 from limner.operators.metrics import drop_unlabelled
-from limner.operators.scoring import MAX_BANK_BYTES, argmax_class, load_bank, predict, score_classes, score_long, true_rank
-from limner.plans.staging import stage
+from limner.operators.scoring import BLOCK_BYTES, MAX_BANK_BYTES, block_predictions, load_bank, predict, score_classes
 
 
 def evaluate_prompts(
@@ -24,17 +23,15 @@ def evaluate_prompts(
     """``keys, true_label, pred_label, true_rank`` of all labelled items.
 
     A bank that fits ``max_bank_bytes`` is sent to the executors and the scores
-    stay in the row; a larger one is joined to the items block by block.
+    stay in the row; a larger one meets the items block by block (``block_predictions``).
     """
     keys = list(keys)
     labelled = drop_unlabelled(items, truth).select(*keys, F.col(truth).alias("true_label"), vector)
     small = load_bank(bank, max_bytes=max_bank_bytes)
-    if small is not None:
-        scored = predict(score_classes(labelled, small, vector), small.class_ids, "true_label")
-        return scored.select(*keys, "true_label", "pred_label", "true_rank")
-    long = stage(score_long(labelled, bank, keys, vector), "scores")
-    ranked = true_rank(long, labelled.select(*keys, "true_label"), keys, "true_label")
-    return argmax_class(long, keys).drop("score").join(ranked, keys).select(*keys, "true_label", "pred_label", "true_rank")
+    if small is None:
+        return block_predictions(labelled, bank, keys, vector, "true_label", block_bytes=min(BLOCK_BYTES, max(max_bank_bytes, 4096)))
+    scored = predict(score_classes(labelled, small, vector), small.class_ids, "true_label")
+    return scored.select(*keys, "true_label", "pred_label", "true_rank")
 
 
 def evaluate_linear_map(

@@ -1,80 +1,67 @@
-"""Joins that check the size of what they broadcast and salt what they shuffle."""
+"""Joins that check the size of what they broadcast and do not gather a hot key in one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
-HEAVY_KEYS = 1_024
-ROWS_PER_SALT = 1_000_000
 
 
 def if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame | None:
     """``df`` as a local table when it is proven small, else ``None``.
 
-    At most ``max_rows + 1`` rows reach the driver.
+    Rows of variable width are counted and measured on the executors first; at most ``max_rows + 1`` rows of at most
+    ``MAX_BROADCAST_BYTES`` reach the driver.
     """
-    table = df.limit(max_rows + 1).toArrow()
+    rows = df.limit(max_rows + 1)
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType | T.ArrayType | T.MapType | T.StructType)]
+    if wide:
+        size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))
+        found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        if found.n > max_rows or found.bytes > MAX_BROADCAST_BYTES:
+            return None
+    table = rows.toArrow()
     if table.num_rows > max_rows or table.nbytes > MAX_BROADCAST_BYTES:
         return None
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
-def heavy_keys(facts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The most frequent keys with the number of salts each needs; at most ``HEAVY_KEYS`` rows."""
-    return (
-        facts.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > rows_per_salt)
-        .orderBy(F.desc("_n"))
-        .limit(HEAVY_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
-    )
+def hot_keys(facts: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:
+    """Keys with more than one in ``ranges`` of all rows; so there are fewer than ``ranges`` of them."""
+    counts = facts.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.where(F.col("_n") * F.lit(ranges) > F.lit(facts.count())).select(*keys)
 
 
-def salted_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    spread: Column,
-    how: str = "inner",
-    heavy: DataFrame | None = None,
-) -> DataFrame:
-    """Shuffle join of ``facts`` with ``dim`` that splits the hot keys of ``facts``.
+def join_unique(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """Join of ``facts`` with a table that has one row per key, of any size. ``how`` is inner, left, left_semi or left_anti.
 
-    ``spread`` is a column of ``facts`` that varies inside one key (a locator); it
-    picks the salt, so a retried task picks the same one. Only rows of ``dim``
-    under a heavy key are repeated. ``how`` is inner, left, left_semi or left_anti.
+    Keys with more rows than an even share of the shuffle partitions are fewer than the partitions: their rows of ``dim`` are
+    broadcast to the rows of ``facts`` where they lie. No other key has more rows than a partition takes, and those are shuffled.
+    Rows with a missing key, which match nothing, are not shuffled either. ``hot`` names the keys, if they are known.
     """
     keys = list(keys)
-    if heavy is None:
-        heavy = heavy_keys(facts, keys)
-    small = if_small(heavy, HEAVY_KEYS)
-    if small is None:
-        raise ValueError(f"the list of heavy keys is limited to {HEAVY_KEYS} rows")
-    if small.isEmpty():
-        return facts.join(dim, keys, how)
-    small = F.broadcast(small)
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = facts.join(small, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
-    right = dim.join(small, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
+    ranges = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = if_small(hot_keys(facts, keys, ranges) if hot is None else hot, ranges)
+    if found is None:
+        raise ValueError(f"more than {ranges} keys are called hot")
+    lacking = reduce(or_, [F.col(k).isNull() for k in keys])
+    found = F.broadcast(found)
+    few = F.broadcast(dim.join(found, keys, "left_semi"))
+    here = facts.where(~lacking).join(found, keys, "left_semi").unionByName(facts.where(lacking))
+    rest = facts.where(~lacking).join(found, keys, "left_anti")
+    return here.join(few, keys, how).unionByName(rest.join(dim, keys, how))
 
 
-def lookup_join(
-    facts: DataFrame,
-    dim: DataFrame,
-    keys: Sequence[str],
-    spread: Column,
-    how: str = "inner",
-    max_rows: int = MAX_BROADCAST_ROWS,
-) -> DataFrame:
-    """Join to a table unique on ``keys``: broadcast when proven small, else salted shuffle."""
+def lookup_join(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Join to a table unique on ``keys``: broadcast when proven small, else ``join_unique``."""
     small = if_small(dim, max_rows)
     if small is not None:
         return facts.join(F.broadcast(small), list(keys), how)
-    return salted_join(facts, dim, keys, spread, how)
+    return join_unique(facts, dim, keys, how)

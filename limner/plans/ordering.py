@@ -7,13 +7,10 @@ than one range, whatever the size of the table or of its largest group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from limner.plans.joins import if_small
 from limner.plans.staging import stage
@@ -104,13 +101,9 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx")
     )
 
 
-def _melt(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols]
-    long = df.select(*by, F.explode(F.array(*cells)).alias("_cell")).select(*by, "_cell.metric", "_cell.value")
-    return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-
-
-MAX_GROUPS = 1_000
+#: Size of a sketch: its ranks are within about ``SKETCH_ERROR`` of the true ones, nearly always.
+SKETCH_K = 2_048
+SKETCH_ERROR = 0.002
 
 
 def exact_quantiles(
@@ -119,21 +112,25 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles: ``by, metric, q, value``.
+    """Exact linearly interpolated quantiles: ``by, metric, q, value``; NULL and NaN count for nothing.
 
-    For few groups the wanted ranks are narrowed down by histograms, so no value
-    is ever shuffled or sorted. For many groups the distinct values are counted
-    and ranked by range. Neither one metric nor one hot group has to fit into a
-    task. Stage an input that is costly to compute: it is read several times.
+    One scan builds a mergeable sketch for each group and metric, which brackets every wanted rank by two values.
+    A second scan counts the values between the brackets in bulk and those inside one by one, so that the
+    ranks come out exactly. A rank that its bracket does not hold is looked for among all values of its group. The same
+    two scans serve any number of groups. Stage an input that is costly to compute.
     """
     by, cols = list(by), list(cols)
-    spans = df.groupBy(*by).agg(
-        *[f(_number(c)).alias(f"{f.__name__}|{c}") for c in cols for f in (F.count, F.min, F.max)]
-    )
-    groups = spans.limit(MAX_GROUPS + 1).collect()
-    if len(groups) > MAX_GROUPS:
-        return _quantiles_by_range(df, cols, qs, by)
-    return _quantiles_by_histogram(df, cols, qs, by, groups)
+    keys = [*by, "metric"]
+    sketched = stage(_sketches(df, cols, qs, by), "sketches")
+    ends = _ranked_ends(_counted(df, cols, by, sketched), sketched, keys)
+    lost = ends.where("a IS NULL OR b IS NULL").select(*keys).distinct()
+    if not lost.isEmpty():
+        whole = F.array(F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
+        again = sketched.alias("s").join(lost.alias("l"), _same(keys, "s", "l"), "left_semi").withColumn("brackets", whole)
+        again = stage(again, "brackets")
+        found = _ranked_ends(_counted(df, cols, by, again), again, keys)
+        ends = ends.alias("s").join(lost.alias("l"), _same(keys, "s", "l"), "left_anti").unionByName(found)
+    return ends.select(*keys, "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"))
 
 
 def _number(c: str) -> Column:
@@ -141,134 +138,75 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _quantiles_by_range(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: list[str]) -> DataFrame:
-    counted = _melt(df, cols, by).groupBy(*by, "metric", "value").agg(F.count("*").alias("n"))
-    keys = [*by, "metric"]
-    ranked = running_totals(counted, ["value"], {"upto": "n"}, by=keys)
-    probes = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
-    at = ranked.select(*keys, "value", "n", "upto", "upto_all", probes.alias("q"))
-    pos = F.col("q") * (F.col("upto_all") - 1)
-    first = F.col("upto") - F.col("n")
-    low, high = F.floor(pos), F.ceil(pos)
-    hit_low = (first <= low) & (low < F.col("upto"))
-    hit_high = (first <= high) & (high < F.col("upto"))
-    ends = at.filter(hit_low | hit_high).groupBy(*keys, "q").agg(
-        F.max(F.when(hit_low, F.col("value"))).alias("a"),
-        F.max(F.when(hit_high, F.col("value"))).alias("b"),
-        F.max(pos - low).alias("t"),
-    )
-    return ends.select(*keys, "q", (F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"))
-
-
-BINS = 2_048
-MAX_PASSES = 12
-
-
-@dataclass(frozen=True)
-class _Cell:
-    """Values of one metric and group within [lo, hi], of which ``before`` lie below, and the ranks to find among them."""
-
-    group: int
-    metric: str
-    lo: float
-    hi: float
-    before: int
-    ranks: tuple[int, ...]
-
-
-def _quantiles_by_histogram(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: list[str], groups: Sequence[Row]
-) -> DataFrame:
-    """Find the values at the wanted ranks by repeated histograms of ever smaller cells.
-
-    Every pass counts the values per bin and keeps the smallest and largest value
-    of each bin; a bin of a single value is done, any other bin that holds a
-    wanted rank becomes a cell of the next pass. Bins are monotone in the value,
-    so rounding in their arithmetic cannot change a rank.
-    """
-    cells: list[_Cell] = []
-    for g, row in enumerate(groups):
-        for c in cols:
-            n = row[f"count|{c}"]
-            if n:
-                ranks = {math.floor(q * (n - 1)) for q in qs} | {math.ceil(q * (n - 1)) for q in qs}
-                cells.append(_Cell(g, c, row[f"min|{c}"], row[f"max|{c}"], 0, tuple(sorted(ranks))))
-    at_rank: dict[tuple[int, str, int], float] = {}
-    passes = 0
-    while cells:
-        pending = []
-        for cell in cells:
-            if cell.lo == cell.hi:
-                at_rank.update({(cell.group, cell.metric, r): cell.lo for r in cell.ranks})
-            else:
-                pending.append(cell)
-        if not pending:
-            break
-        passes += 1
-        steps = [cell.hi / BINS - cell.lo / BINS for cell in pending]
-        if passes > MAX_PASSES or not all(0 < s < math.inf for s in steps):
-            return _quantiles_by_range(df, cols, qs, by)  # infinite or extremely spread values
-        narrower: dict[tuple[int, int], list] = {}
-        for r in _histogram(df, pending, by, groups):
-            cell = pending[r["cell"]]
-            rank = cell.before + r["rank"]
-            if r["lo"] == r["hi"]:
-                at_rank[cell.group, cell.metric, rank] = r["lo"]
-            else:
-                narrower.setdefault((r["cell"], r["before"]), [r["lo"], r["hi"], []])[2].append(rank)
-        cells = [
-            _Cell(pending[i].group, pending[i].metric, lo, hi, pending[i].before + before, tuple(sorted(ranks)))
-            for (i, before), (lo, hi, ranks) in narrower.items()
-        ]
-    out = []
-    for g, row in enumerate(groups):
-        for c in cols:
-            n = row[f"count|{c}"]
-            for q in qs if n else ():
-                pos = q * (n - 1)
-                a, b = at_rank[g, c, math.floor(pos)], at_rank[g, c, math.ceil(pos)]
-                out.append((*[row[k] for k in by], c, float(q), a + (b - a) * (pos - math.floor(pos))))
-    schema = StructType(
-        [*[df.schema[k] for k in by], StructField("metric", StringType()), StructField("q", DoubleType()), StructField("value", DoubleType())]
-    )
-    return df.sparkSession.createDataFrame(out, schema)
-
-
-def _histogram(df: DataFrame, cells: Sequence[_Cell], by: list[str], groups: Sequence[Row]) -> list[Row]:
-    """For each wanted rank of each cell the bin that holds it: ``cell, rank, before, lo, hi``, ranks within the cell.
-
-    The cells are a table that is broadcast: one row per group, metric and unresolved rank at most.
-    """
-    metrics = list(dict.fromkeys(cell.metric for cell in cells))
-    values = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), _number(c).alias("x")) for m, c in enumerate(metrics)]))
-    keys = [f"_k{i}" for i in range(len(by))]
-    long = df.select(*[F.col(k).alias(name) for k, name in zip(by, keys, strict=True)], values.alias("_v")).select(*keys, "_v.m", "_v.x")
-    schema = StructType(
-        [
-            *[StructField(f"_c{i}", df.schema[k].dataType) for i, k in enumerate(by)],
-            *[StructField(n, t) for n, t in (("_m", IntegerType()), ("cell", IntegerType()), ("_lo", DoubleType()), ("_hi", DoubleType()))],
-        ]
-    )
-    table = [(*[groups[c.group][k] for k in by], metrics.index(c.metric), i, c.lo, c.hi) for i, c in enumerate(cells)]
-    spark = df.sparkSession
-    here = (F.col("m") == F.col("_m")) & F.col("x").between(F.col("_lo"), F.col("_hi"))
-    for i in range(len(by)):
-        here = here & F.col(f"_k{i}").eqNullSafe(F.col(f"_c{i}"))
-    # Divided by a power of two first, so that the widest spans do not overflow.
-    lo, step = F.col("_lo") / BINS, F.col("_hi") / BINS - F.col("_lo") / BINS
-    bin_ = F.least(F.floor((F.col("x") / BINS - lo) / step * BINS), F.lit(BINS - 1)).cast("int")
-    bins = (
-        long.join(F.broadcast(spark.createDataFrame(table, schema)), here)
-        .select("cell", bin_.alias("bin"), "x")
-        .groupBy("cell", "bin")
-        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    )
-    upto = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
-    ranks = [(i, r - c.before) for i, c in enumerate(cells) for r in c.ranks]
-    wanted = F.broadcast(spark.createDataFrame(ranks, "_cell int, rank long"))
-    held = (F.col("cell") == F.col("_cell")) & (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
-    return placed.join(wanted, held).select("cell", "rank", "before", "lo", "hi").collect()
+def _same(keys: Sequence[str], left: str, right: str) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return on
+
+
+def _sketches(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: list[str]) -> DataFrame:
+    """``by, metric, n, wanted, brackets``: the wanted ranks with their weights, and disjoint ascending intervals that should hold them."""
+    parts = [f(_number(c)).alias(f"{name}|{i}") for i, c in enumerate(cols) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max), ("kll", _sketch))]
+    wide = df.groupBy(*by).agg(*parts)
+    cells = [F.struct(F.lit(c).alias("metric"), *[F.col(f"{x}|{i}").alias(x) for x in ("n", "lo", "hi", "kll")]) for i, c in enumerate(cols)]
+    long = wide.select(*by, F.inline(F.array(*cells))).where("n > 0")
+    last = (F.col("n") - 1).cast("double")
+    wanted = [F.struct(F.lit(float(q)).alias("q"), F.floor(F.lit(float(q)) * last).alias("low"), F.ceil(F.lit(float(q)) * last).alias("high"), (F.lit(float(q)) * last - F.floor(F.lit(float(q)) * last)).alias("t")) for q in qs]
+    # a bracket reaches from somewhat below the lower rank to somewhat above the upper one, beyond an end of the sketch to the end
+    # of the values; so few values that the slack is no whole rank are all in one
+    ends = [(max(0.0, float(q) - SKETCH_ERROR), min(1.0, float(q) + SKETCH_ERROR)) for q in qs]
+    read = long.withColumns({f"_{i}": F.kll_sketch_get_quantile_double("kll", F.lit([e[i] for e in ends])) for i in (0, 1)})
+    pairs = [
+        F.struct((F.col("lo") if low <= 0 else F.get("_0", F.lit(k))).alias("lo"), (F.col("hi") if high >= 1 else F.get("_1", F.lit(k))).alias("hi"))
+        for k, (low, high) in enumerate(ends)
+    ]
+    few = F.col("n") <= 2 / max(SKETCH_ERROR, 1e-6)
+    brackets = F.when(few, F.array(F.struct("lo", "hi"))).otherwise(_merged(F.array(*pairs)))
+    return read.select(*by, "metric", "n", F.array(*wanted).alias("wanted"), brackets.alias("brackets"))
+
+
+def _sketch(x: Column) -> Column:
+    return F.kll_sketch_agg_double(x, SKETCH_K)
+
+
+def _merged(pairs: Column) -> Column:
+    """Intervals in ascending order, those that touch made one."""
+
+    def add(done: Column, new: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], new["hi"]).alias("hi"))))
+        return F.when(F.size(done) == 0, F.array(new)).when(new["lo"] <= last["hi"], joined).otherwise(F.concat(done, F.array(new)))
+
+    return F.aggregate(F.array_sort(pairs), F.lit([]).cast("array<struct<lo:double,hi:double>>"), add)
+
+
+def _counted(df: DataFrame, cols: Sequence[str], by: list[str], brackets: DataFrame) -> DataFrame:
+    """``by, metric, slot, value, n``: rows with each value inside a bracket, and, without a value, those in front of bracket number ``slot``."""
+    metrics = F.map_from_entries(F.collect_list(F.struct("metric", "brackets"))).alias("_brackets")
+    groups = _hinted(brackets.groupBy(*by).agg(metrics)).alias("b")  # a list has one entry for each of ``cols``
+    rows = df.select(*by, *[_number(c).alias(f"_x{i}") for i, c in enumerate(cols)]).alias("s")
+    joined = rows.join(groups, _same(by, "s", "b"), "inner").select(*[F.col(f"s.{k}").alias(k) for k in by], *[f"_x{i}" for i in range(len(cols))], "_brackets")
+
+    def cell(i: int, c: str) -> Column:
+        x, own = F.col(f"_x{i}"), F.try_element_at("_brackets", F.lit(c))
+        slot = F.size(F.filter(own, lambda p: p["hi"] < x)).alias("slot")
+        inside = F.exists(own, lambda p: (p["lo"] <= x) & (x <= p["hi"]))
+        return F.struct(F.lit(c).alias("metric"), slot, F.when(inside, x).alias("value"), (x.isNotNull() & own.isNotNull()).alias("is"))
+
+    cells = joined.select(*by, F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).where(F.col("is"))
+    return cells.groupBy(*by, "metric", "slot", "value").agg(F.count("*").alias("n"))
+
+
+def _ranked_ends(counted: DataFrame, sketched: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, q, a, b, t``: the values at the two ranks that each quantile lies between; NULL where a bracket does not hold the rank."""
+    ranked = running_totals(counted, ["slot", F.asc_nulls_first("value")], {"upto": F.col("n")}, by=keys)
+    spots = sketched.select(*keys, F.inline("wanted"))
+    first = F.col("upto") - F.col("r.n")
+    met = ranked.alias("r").join(_hinted(spots).alias("w"), _same(keys, "r", "w"))
+    at_low, at_high = ((first <= F.col(x)) & (F.col(x) < F.col("upto")) for x in ("low", "high"))
+    hits = met.where(at_low | at_high).groupBy(*[F.col(f"w.{k}").alias(k) for k in keys], "q")
+    return hits.agg(F.max(F.when(at_low, F.col("value"))).alias("a"), F.max(F.when(at_high, F.col("value"))).alias("b"), F.max("t").alias("t"))
 
 
 def hash_order(id_cols: Sequence[str], seed: int) -> Column:

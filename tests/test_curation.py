@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from limner.operators import dedupe as D
 from limner.operators import profile as P
-from limner.plans import joins
 from tests.conftest import rows
 
 
@@ -36,9 +35,7 @@ def _reference(data):
 
 
 @pytest.mark.parametrize("parts", [1, 9])
-@pytest.mark.parametrize("rows_per_salt", [joins.ROWS_PER_SALT, 10])
-def test_dedupe_keeps_the_first(monkeypatch, payloads, parts, rows_per_salt):
-    monkeypatch.setattr(D, "ROWS_PER_SALT", rows_per_salt)
+def test_dedupe_keeps_the_first(payloads, parts):
     data, df = payloads
     unique, dup = D.dedupe_exact(df.repartition(parts), "h", ["shard", "row"])
     want_unique, want_dup = _reference(data)
@@ -46,6 +43,21 @@ def test_dedupe_keeps_the_first(monkeypatch, payloads, parts, rows_per_salt):
     assert rows(dup.select("h", "shard", "row", "primary_unique_idx", "style")) == sorted(want_dup, key=repr)
 
 
+def test_hot_duplicates_reach_all_tasks(spark):
+    """One hash with half of all rows and 5,000 that repeat: no task links more than its share."""
+    n = 40_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") % 5000).cast("string"))).alias("h"),
+        F.lit("s").alias("shard"), F.col("id").alias("row"),
+    ).repartition(8)
+    unique, dup = D.dedupe_exact(df, "h", ["shard", "row"])
+    shares = [r.n for r in dup.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    hashes = 1 + len({i % 5000 for i in range(1, n, 2)})
+    assert sum(shares) == n - hashes and unique.count() == hashes
+    assert max(shares) < n / 4
+    assert dup.where("h = 'hot'").select(F.min("primary_unique_idx"), F.max("primary_unique_idx"), F.count("*")).first() == (0, 0, n // 2 - 1)
+
+
 def test_dedupe_of_nothing(payloads):
     unique, dup = D.dedupe_exact(payloads[1].limit(0), "h", ["shard", "row"])
     assert unique.count() == dup.count() == 0

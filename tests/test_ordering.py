@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from limner.operators.indexing import adaptive_split, budgeted_prefix, cap_rows, fold_starts, kfold_id, split_sizes
 from limner.operators.profile import hash_sample
 from limner.plans import joins
-from limner.plans.joins import if_small, lookup_join, salted_join
+from limner.plans.joins import if_small, lookup_join
 from limner.plans.ordering import dense_index, exact_quantiles, hash_cuts, hash_order, running_totals
 from tests.conftest import rows
 
@@ -92,6 +92,27 @@ def test_quantiles_of_many_groups(spark):
         assert got[g] == pytest.approx(np.quantile([v for k, v in data if k == g], 0.3))
 
 
+def test_quantiles_whose_brackets_fail_are_found_all_the_same(spark, monkeypatch):
+    """With tiny sketches and no slack the brackets miss; those ranks are looked for among all values."""
+    monkeypatch.setattr("limner.plans.ordering.SKETCH_K", 8)
+    monkeypatch.setattr("limner.plans.ordering.SKETCH_ERROR", 0.003)
+    rng = np.random.default_rng(9)
+    data = [(g, float(v)) for g, n in (("a", 40_000), ("b", 7000), (None, 90)) for v in rng.integers(0, 30_000, n)]
+    qs = (0.05, 0.5, 0.77)
+    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(spark.createDataFrame(data, "g string, v double").repartition(5), ["v"], qs, by=["g"]).collect()}
+    assert len(got) == 9
+    for (g, q), value in got.items():
+        assert value == pytest.approx(np.quantile([v for k, v in data if k == g], q))
+
+
+def test_quantiles_of_five_thousand_groups_and_two_metrics(spark):
+    df = spark.range(40_000).select((F.col("id") % 5000).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("a"), F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("b"))
+    found = exact_quantiles(df, ["a", "b"], (0.25, 0.5), by=["g"])
+    want = df.groupBy("g").agg(*[F.percentile(c, q).alias(f"{c}{q}") for c in ("a", "b") for q in (0.25, 0.5)])
+    wide = found.groupBy("g").agg(*[F.max(F.when((F.col("metric") == c) & (F.col("q") == q), F.col("value"))).alias(f"{c}{q}") for c in ("a", "b") for q in (0.25, 0.5)])
+    assert wide.count() == 5000 and wide.exceptAll(want).count() == 0
+
+
 def test_long_row_caps_use_the_key_of_the_last_row(spark, monkeypatch):
     monkeypatch.setattr("limner.operators.indexing.TOP_ROWS", 3)
     df = spark.range(20).select((F.col("id") * 7 % 20).alias("id"))
@@ -170,16 +191,25 @@ def test_if_small(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_a_plain_join(spark, how):
-    facts = spark.range(500).select("id", F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 11).alias("k"))
+def test_join_of_hot_keys_equals_a_plain_join(spark, how):
+    hot = F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 11)
+    facts = spark.range(500).select("id", hot.cast("long").alias("k"))
     dim = spark.createDataFrame([(k, f"n{k}") for k in (0, 2, 4, 7)], "k long, name string")
-    heavy = joins.heavy_keys(facts, ["k"], rows_per_salt=50)
-    assert [tuple(r) for r in heavy.collect()] == [(7, 7)]
-    salted = salted_join(facts, dim, ["k"], F.col("id"), how, heavy)
-    assert rows(salted) == rows(facts.join(dim, "k", how))
+    assert [tuple(r) for r in joins.hot_keys(facts.where("k IS NOT NULL"), ["k"], 4).collect()] == [(7,)]
+    joined = joins.join_unique(facts, dim, ["k"], how)
+    assert rows(joined) == rows(facts.join(dim, "k", how))
+    assert rows(joins.join_unique(facts.limit(0), dim, ["k"], how)) == []
+
+
+def test_wide_rows_are_measured_before_they_are_fetched(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 10_000)
+    wide = spark.range(30).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    assert if_small(wide) is None and if_small(wide.limit(5)).count() == 5
+    arrays = spark.range(30).select(F.array_repeat(F.lit(1.5), 500).alias("v"))
+    assert if_small(arrays) is None
 
 
 def test_lookup_join_beyond_the_broadcast_limit(spark):
     facts = spark.range(100).select("id", (F.col("id") % 5).alias("k"))
     dim = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("x"))
-    assert rows(lookup_join(facts, dim, ["k"], F.col("id"), max_rows=2)) == rows(facts.join(dim, "k"))
+    assert rows(lookup_join(facts, dim, ["k"], max_rows=2)) == rows(facts.join(dim, "k"))

@@ -12,6 +12,7 @@ from limner.operators import encoding as E
 from limner.operators import linear_map as L
 from limner.operators import metrics as M
 from limner.operators import scoring as S
+from limner.operators.indexing import kfold_id
 from tests.conftest import rows
 
 RNG = np.random.default_rng(11)
@@ -51,7 +52,7 @@ def test_engines_agree_with_numpy(items, bank_rows, engine, cosine):
 
 
 def test_blocked_scores_equal_the_broadcast_ones(monkeypatch, items, bank_rows):
-    monkeypatch.setattr(S, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(S, "TILE_SCORES", 11)
     assert S.load_bank(bank_rows, max_bytes=10) is None
     long = S.score_long(items, bank_rows, ["id"], "v", block_bytes=100)
     got = {(r["id"], r["class_id"]): r["score"] for r in long.collect()}
@@ -180,12 +181,17 @@ def test_throughput_of_one_instant_has_a_floor(spark):
     assert row["elapsed"] == 0.0 and row["rate"] == pytest.approx(3e6)
 
 
+@pytest.mark.parametrize("solver", ["normal", "qr"])
 @pytest.mark.parametrize("parts", [1, 6])
-def test_ridge_map_matches_a_direct_search(spark, parts):
+def test_ridge_map_matches_a_direct_search(spark, parts, solver):
     x, noise = RNG.normal(size=(53, 4)), RNG.normal(size=(53, 3))
     y = x @ RNG.normal(size=(4, 3)) + 0.5 * noise
     df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(53)], "id long, x array<double>, y array<double>")
-    got = L.fit_linear_map(df.repartition(parts), "x", "y", ["id"])
+    got = L.fit_linear_map(df.repartition(parts), "x", "y", ["id"], solver=solver)
+    assert L.normal_residual(df, "x", "y", got) < 1e-12
+    keyed = kfold_id(df, ["id"])
+    for r in L.heldout_errors(keyed.repartition(3), "x", "y", "fold", got.fold_weights).collect():
+        assert r.mse == pytest.approx(next(e for a, f, e in got.scores if (a, f) == (got.best_alpha, r.fold)), rel=1e-9)
     solve = lambda a, b, alpha: np.linalg.solve(a.T @ a + alpha * np.eye(4), a.T @ b)
     folds = np.array_split(np.arange(53), 5)
     errors = {}
@@ -206,6 +212,25 @@ def test_ridge_map_matches_a_direct_search(spark, parts):
     assert np.allclose([r["projected"] for r in out], x @ got.weights.T)
 
 
+def test_factors_keep_the_digits_that_squares_lose(spark):
+    """Two columns that differ by 1e-9: the squares no longer tell them apart, the factors do."""
+    base = RNG.normal(size=(80, 1))
+    x = np.hstack([base, base + 1e-9 * RNG.normal(size=(80, 1)), RNG.normal(size=(80, 1))])
+    y = x @ np.array([[1e9], [-1e9], [2.0]])
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(80)], "id long, x array<double>, y array<double>").repartition(7)
+    tiny = [1e-30]
+    got = L.fit_linear_map(df, "x", "y", ["id"], alphas=tiny, solver="qr")
+    plain = L.fit_linear_map(df, "x", "y", ["id"], alphas=tiny)
+    off = [np.abs(x @ m.weights.T - y).max() / np.abs(y).max() for m in (got, plain)]
+    assert off[0] < 1e-6 and off[1] > 10 * off[0]
+
+
+def test_sums_of_many_partitions_meet_in_levels(spark):
+    df = spark.range(900).select("id", F.array((F.col("id") % 7).cast("double"), F.lit(1.0)).alias("x"), F.array((F.col("id") % 5).cast("double")).alias("y"), (F.col("id") % 3).cast("int").alias("f"))
+    few, many = (sorted(map(tuple, L.fold_sums(df.repartition(n), "x", "y", "f").collect()), key=lambda r: r[:2]) for n in (2, 150))
+    assert few == many and len(few) == 9
+
+
 def test_linear_map_needs_pairs_and_equal_lengths(spark):
     with pytest.raises(ValueError):
         L.fit_linear_map(spark.createDataFrame([], "id long, x array<double>, y array<double>"), "x", "y", ["id"])
@@ -229,3 +254,32 @@ def test_head_separates_separable_classes(spark):
     model = E.fit_head(df, "v", "y", max_iter=50)
     out = M.cross_entropy(E.apply_head(df, "v", model), "logits", "y").agg(F.avg("correct")).first()[0]
     assert out == 1.0
+
+
+@pytest.mark.parametrize("block_bytes", [64, 200, 1 << 20])
+def test_block_predictions_are_those_of_whole_rows(spark, block_bytes):
+    rng = np.random.default_rng(8)
+    vectors = np.round(rng.normal(size=(60, 4)), 1)
+    # class 3 has more prompts than a block holds; classes 5 and 6 are equal; class 9 has no prompts
+    sizes = {0: 1, 1: 2, 2: 1, 3: 14, 5: 1, 6: 1, 7: 3}
+    bank = [(c, i, np.round(rng.normal(size=4), 1).tolist()) for c, n in sizes.items() for i in range(n)]
+    bank = [(c, i, v if c != 6 else next(x for k, _, x in bank if k == 5)) for c, i, v in bank]
+    truth = [[0, 1, 2, 3, 5, 6, 7, 9][i % 8] for i in range(len(vectors))]
+    items = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(vectors, truth, strict=True))] + [(99, None, 3)], "id long, v array<double>, label int")
+    rows = spark.createDataFrame(bank, "class_id int, template_id int, vector array<double>")
+    got = S.block_predictions(items.repartition(3), rows.repartition(2), ["id"], "v", "label", block_bytes=block_bytes)
+    unit = lambda x: x / np.linalg.norm(x)
+    want = [(99, 3, None, None)]
+    for i, (v, t) in enumerate(zip(vectors, truth, strict=True)):
+        best = {c: max(float(unit(v) @ unit(np.array(w))) for k, _, w in bank if k == c) for c in sizes}
+        order = sorted(best, key=lambda c: (-round(best[c], 12), c))
+        want.append((i, t, order[0], order.index(t) + 1 if t in order else None))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_ranks_from_score_rows_need_no_list_of_scores(spark):
+    rows = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.9), (1, 2, 0.5), (2, 0, 0.1), (2, 2, 0.2), (3, 1, 0.3)], "id long, class_id int, score double")
+    truth = spark.createDataFrame([(1, 2), (2, 0), (3, 0)], "id long, label int")
+    ranked = S.true_rank(rows, truth, ["id"], "label")
+    assert sorted((r.id, r.true_rank) for r in ranked.collect()) == [(1, 3), (2, 2), (3, None)]
+    assert "collect_list" not in ranked._jdf.queryExecution().executedPlan().toString()
