@@ -34,8 +34,8 @@ def ordered_conversations(rows: DataFrame, long_rows: int = LONG_ROWS, long_char
     long = sizes.where((F.col("n") > long_rows) | (F.col("chars") > long_chars)).select("conv")
     if long.isEmpty():
         return _whole(rows), None
-    short = lookup_join(rows, long, ["conv"], F.col("digest"), "left_anti")
-    salted = lookup_join(rows, long, ["conv"], F.col("digest"), "left_semi").withColumn("salt", F.monotonically_increasing_id())
+    short = lookup_join(rows, long, ["conv"], "left_anti")
+    salted = lookup_join(rows, long, ["conv"], "left_semi").withColumn("salt", F.monotonically_increasing_id())
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = salted.repartitionByRange(parts, "conv_id", *_ORDER, "salt").sortWithinPartitions("conv_id", *_ORDER, "salt")
     return _whole(short), ranges.drop("conv", "salt")

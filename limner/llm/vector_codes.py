@@ -285,5 +285,5 @@ def vector_code_report(vectors: DataFrame) -> DataFrame:
     codes, books = vector_codes(vectors)
     keyed = codes.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", F.coalesce(F.col("label").cast("string"), F.lit("")).alias("key"))
     sums = keyed.groupBy("key").agg(F.sum("error").alias("label_error"))
-    out = lookup_join(keyed, sums, ["key"], F.col("vec_id"))
+    out = lookup_join(keyed, sums, ["key"])
     return out.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
