@@ -13,6 +13,7 @@ from limner.operators import dedupe as D
 from limner.operators import images as I
 from limner.operators import indexing as X
 from limner.operators import profile as P
+from limner.operators import sketches as K
 from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
 from limner.plans.profile_job import DIMS, full_profile_document, profile_document
@@ -20,7 +21,9 @@ from limner.plans.staging import scratch_path, stage
 from limner.schemas import require_columns
 from limner.sinks.documents import highlights, profile_report
 from limner.sinks.tables import config_hash, pending_work, read_manifest, write_csv, write_manifest
+from limner.sources import shard_audit as A
 from limner.sources import shards as S
+from limner.sources.shard_audit import break_a_page, cut_the_footer, local_shards
 from limner.sources.tables import materialize_once, read_config_list, read_index, resolve_defaults_columns
 
 ROUNDED_6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
@@ -61,6 +64,25 @@ def unreadable_shards(spark: SparkSession, sf: str) -> DataFrame:
     return S.bad_shards(spark, sf, B.DOCUMENT_SHARD)
 
 
+@query(
+    """SELECT CAST(doc_id % 4 AS INTEGER) AS part, CASE doc_id % 4 WHEN 1 THEN 'damaged pages' WHEN 2 THEN 'no parquet footer' END AS error,
+         CASE WHEN doc_id % 4 <> 2 THEN count(*) END AS expected_rows, CASE WHEN doc_id % 4 IN (1, 2) THEN 0 ELSE count(*) END AS read_rows
+       FROM documents GROUP BY doc_id % 4"""
+)
+def damaged_shards(spark: SparkSession, sf: str) -> DataFrame:
+    """A copy of the documents in four shards, one with a broken page and one without its footer, audited in one pass."""
+    path = scratch_path(spark, "damaged")
+    copy = B.table(spark, sf, "documents").withColumn("part", (F.col("doc_id") % 4).cast("int"))
+    copy.repartition(4, "part").write.option("parquet.block.size", 1 << 40).option("parquet.page.write-checksum.enabled", True).partitionBy("part").parquet(path)
+    local = path.removeprefix("file://")
+    for part, harm in ((1, break_a_page), (2, cut_the_footer)):
+        harm(local_shards(local, f"part={part}")[0])
+    audit = A.audit_shards(spark, local, ["doc_id", "text"])
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part")
+    whole = F.sum(F.when(F.col("error").isNull(), F.col("n_rows")))
+    return audit.groupBy(part).agg(F.max("error").alias("error"), F.sum("n_rows").alias("expected_rows"), F.coalesce(whole, F.lit(0)).alias("read_rows"))
+
+
 @query(having(B.GEOM, then="SELECT source_shard, source_row_idx, style, genre, artist, width, height, bytes_size FROM geom"))
 def index_csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     index = B.geom(spark, sf).select("source_shard", "source_row_idx", "style", "genre", "artist", "width", "height", "bytes_size")
@@ -357,6 +379,23 @@ def approximate_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return P.approx_coverage(B.geom(spark, sf), DIMS)
 
 
+def _stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of the shards, added one set of shards after the other."""
+    geom = B.feat(spark, sf)
+    rows = geom.withColumn("shard", F.concat_ws("-", "source_shard", F.pmod("artist", F.lit(4)).cast("string")))
+    some = K.shard_sketches(rows.where("source_shard <> 'F'"), DIMS, METRICS, "shard")
+    return stage(K.add_new_shards(stage(some, "sketches"), rows, DIMS, METRICS, "shard"), "sketches")
+
+
+@query(having(B.GEOM, COUNTS, then="SELECT dim, count(*) AS classes, TRUE AS close FROM counts GROUP BY 1"))
+def coverage_from_stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact numbers of classes, and whether the estimate of the merged sketches is within three standard errors."""
+    found = K.merged_coverage(_stored_sketches(spark, sf)).withColumnRenamed("classes", "guess")
+    exact = P.coverage(_counts(spark, sf))
+    near = F.abs(F.col("guess") - F.col("classes")) <= F.ceil(F.col("classes") * 3 * K.HLL_ERROR)
+    return exact.join(found, "dim").select("dim", "classes", near.alias("close"))
+
+
 BALANCE = """t AS (SELECT dim, sum(n) AS total, count(*) AS k FROM counts GROUP BY 1),
 ent AS (SELECT c.dim, CASE WHEN any_value(t.k) <= 1 THEN 0 ELSE sum(-(c.n / t.total) * ln(c.n / t.total + 1e-12)) / ln(any_value(t.k)) END AS entropy_norm
   FROM counts c JOIN t ON c.dim = t.dim GROUP BY 1),
@@ -462,6 +501,27 @@ def approximate_profile(spark: SparkSession, sf: str) -> DataFrame:
     return P.numeric_profile(B.feat(spark, sf), METRICS, exact=False)
 
 
+@query(
+    having(
+        B.GEOM, B.FEAT,
+        then=" UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, TRUE AS close FROM feat" for c in METRICS),
+    )
+)
+def profile_from_stored_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and ends of each metric, and whether every quantile of the merged sketches has about its rank among all rows."""
+    qs = (0.25, 0.5, 0.75, 0.95)
+    merged = K.merged_profile(_stored_sketches(spark, sf), qs)
+    names = [f"q{round(q * 100):02d}" for q in qs]
+    # below and up to each quantile: its true rank lies between the two shares
+    cells = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in METRICS]
+    rows = B.feat(spark, sf).select(F.inline(F.array(*cells))).join(F.broadcast(merged), "metric")
+    shares = rows.groupBy("metric", "n", "min", "max").agg(*[f for k in names for f in (F.avg((F.col("x") < F.col(k)).cast("int")).alias(f"{k}_lo"), F.avg((F.col("x") <= F.col(k)).cast("int")).alias(f"{k}_hi"))])
+    close = F.lit(True)
+    for q, k in zip(qs, names, strict=True):
+        close = close & (F.col(f"{k}_lo") <= q + K.KLL_ERROR) & (F.col(f"{k}_hi") >= q - K.KLL_ERROR)
+    return shares.select("metric", "n", "min", "max", close.alias("close"))
+
+
 @query(
     having(
         B.GEOM,

@@ -243,6 +243,22 @@ def prompt_owner_lookup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    having(
+        B.VEC,
+        then="SELECT i.vec_id, b.class_id, CAST(arg_max(b.template_id, {'s': list_cosine_similarity(i.v, b.w), 't': -b.template_id}) AS INTEGER) AS place, "
+        "'class_' || b.class_id AS owner, round(max(list_cosine_similarity(i.v, b.w)), 9) AS score FROM items i, bank b GROUP BY i.vec_id, b.class_id",
+    )
+)
+def best_prompt_of_class(spark: SparkSession, sf: str) -> DataFrame:
+    items, rows = B.items_and_bank(spark, sf)
+    bank = S.load_bank(rows)
+    ids = F.lit(list(bank.class_ids))
+    best = S.best_prompts(items, bank, "embedding").select("vec_id", F.posexplode("best_prompts").alias("_at", "_b"))
+    owner = F.get(ids, F.col("_at"))
+    return B.rounded(best.select("vec_id", owner.alias("class_id"), F.col("_b.place").alias("place"), F.concat(F.lit("class_"), owner).alias("owner"), F.col("_b.score").alias("score")))
+
+
 @query(
     having(
         B.VEC, B.SCORES,
@@ -559,6 +575,21 @@ def contrastive_loss(spark: SparkSession, sf: str) -> DataFrame:
     return B.rounded(M.contrastive_loss(B.pairs(spark, sf), "vec_id", "x", "y"), 6)
 
 
+@query(
+    having(
+        B.PAIRS,
+        "z AS (SELECT p.vec_id AS i, q.vec_id AS j, 100 * list_cosine_similarity(p.x, q.y) AS z FROM pairs p, pairs q)",
+        "by_row AS (SELECT i, max(m) + ln(sum(exp(z - m))) AS lse FROM (SELECT *, max(z) OVER (PARTITION BY i) AS m FROM z) GROUP BY 1)",
+        "by_col AS (SELECT j, max(m) + ln(sum(exp(z - m))) AS lse FROM (SELECT *, max(z) OVER (PARTITION BY j) AS m FROM z) GROUP BY 1)",
+        then="SELECT CAST(0 AS BIGINT) AS batch_id, CAST(count(*) AS INTEGER) AS n, round(avg(r.lse + c.lse - 2 * o.z) / 2, 6) AS loss "
+        "FROM z o JOIN by_row r ON r.i = o.i JOIN by_col c ON c.j = o.i WHERE o.i = o.j HAVING count(*) > 0",
+    )
+)
+def contrastive_loss_of_one_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table as one batch, by tiles."""
+    return B.rounded(M.contrastive_loss(B.pairs(spark, sf), "vec_id", "x", "y", batch_size=1 << 40), 6)
+
+
 # Linear map, encoders, heads
 
 

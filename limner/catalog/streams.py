@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,29 @@ def _scored_stream(spark: SparkSession, sf: str, then, mode: str) -> DataFrame:
     return S.drain(then(S.stream_score(items, bank, "embedding", "label")), "scores", mode)
 
 
+@query("SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(*) AS reported, CAST(4 AS BIGINT) AS batches FROM documents")
+def streamed_progress_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream over four shards that fails in its third batch and is started again: rows and reports of both runs, each once."""
+    shards, path, log, checkpoint = (scratch_path(spark, f"resumed-{x}") for x in ("shards", "rows", "log", "state"))
+    docs = B.table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 4).alias("part"))
+    for part in range(4):
+        docs.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(shards)
+    schema = fields(doc_id=T.LongType(), part=T.LongType())
+
+    def run(rows: DataFrame) -> None:
+        I.stream_with_progress(rows, path, log, checkpoint).awaitTermination()
+
+    rows = I.stream_shards(spark, shards, schema, files_per_trigger=1)
+    third = F.when(F.col("part") == 2, F.raise_error(F.lit("this shard is not there yet")).cast("bigint")).otherwise(F.col("part"))
+    try:
+        run(rows.withColumn("part", third))
+    except StreamingQueryException:  # as asked for; the second run goes on with the batch that failed
+        run(rows)
+    kept = spark.read.schema(rows.schema).parquet(f"{path}/batch=*")
+    told = I.read_progress(spark, log).agg(F.sum("input_rows").alias("reported"), F.count("*").alias("batches"))
+    return kept.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_ids")).join(F.broadcast(told))
+
+
 @query("SELECT count(*) AS done FROM documents")
 def streamed_progress(spark: SparkSession, sf: str) -> DataFrame:
     with I.ProgressLog(spark) as log:

@@ -202,20 +202,25 @@ def cross_entropy(df: DataFrame, logits: str, label: str) -> DataFrame:
     )
 
 
-MAX_BATCH = 4_096
+#: Rows of a batch that are multiplied at once; larger batches are cut into tiles of so many rows and columns.
+TILE = 1_024
 
 
 def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: int = 8, scale: float = 100.0) -> DataFrame:
     """Symmetric contrastive loss per batch of consecutive pairs: ``batch_id, n, loss``.
 
-    Batches are cut from the row order, so no group exceeds ``batch_size``. Only
-    the key is numbered; the vectors move once, to their batch.
+    Batches are cut from the row order. Only the key is numbered; the vectors move to their batch. A batch
+    of more than ``TILE`` pairs is cut into tiles, and its logarithms of sums are merged from the largest value and the sum of each
+    tile, so that no task holds a batch.
     """
-    if not 0 < batch_size <= MAX_BATCH:
-        raise ValueError(f"batch_size must be within 1 and {MAX_BATCH}")
+    if batch_size < 1:
+        raise ValueError("batch_size must be 1 or more")
     ids = dense_index(pairs.select(order), [order], "_at")
     batches = ids.select(order, F.expr(f"_at div {batch_size}").alias("batch_id"))
     unit = lambda c: V.l2_normalize(V.as_double(F.col(c)))
+    if batch_size > TILE:
+        place = ids.select(order, F.expr(f"_at div {batch_size}").alias("batch_id"), F.expr(f"_at % {batch_size}").alias("_at"))
+        return _tiled_loss(pairs.select(order, unit(a).alias("_a"), unit(b).alias("_b")).join(place, order), batch_size, scale)
     rows = pairs.select(order, unit(a).alias("_a"), unit(b).alias("_b")).join(batches, order)
     # Never more than batch_size rows per batch.
     packed = rows.groupBy("batch_id").agg(
@@ -225,6 +230,49 @@ def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: i
     return packed.select("batch_id", F.size("_p").alias("n"), _batch_loss(scale)(F.size("_p"), side("a"), side("b")).alias("loss"))
 
 
+def _tiled_loss(rows: DataFrame, batch_size: int, scale: float) -> DataFrame:
+    """``batch_id, n, loss`` of ``batch_id, _at, _a, _b`` by tiles of ``TILE`` rows and columns of each batch."""
+    longest = rows.agg(F.max("_at")).first()[0]
+    tiles = 1 if longest is None else longest // TILE + 1
+    own = F.expr(f"_at div {TILE}").cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = rows.select("batch_id", "_at", F.col("_a").alias("v"), own.alias("_i"), each.alias("_j"))
+    # columns of its own, so that the two sides of one table can be told apart
+    right = rows.select((F.col("batch_id") + 0).alias("_batch"), (F.col("_at") + 0).alias("_at"), F.col("_b").alias("v"), own.alias("_j"), each.alias("_i"))
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"batch_id": [], "_at": [], "side": [], "top": [], "total": [], "own": []}
+        if a.num_rows and b.num_rows:
+            at, x = _sides(a)
+            to, y = _sides(b)
+            z = scale * x @ y.T
+            diagonal = np.full(len(at), np.nan)
+            meet = np.intersect1d(at, to, return_indices=True)
+            diagonal[meet[1]] = z[meet[1], meet[2]]
+            for side, place, values, mine in ((0, at, z, diagonal), (1, to, z.T, np.full(len(to), np.nan))):
+                top = values.max(axis=1)
+                for name, column in zip(out, (np.full(len(place), a["batch_id"][0].as_py()), place, np.full(len(place), side), top, np.exp(values - top[:, None]).sum(axis=1), mine), strict=True):
+                    out[name].append(column)
+        columns = [np.concatenate(x) if x else np.zeros(0) for x in out.values()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array(c, k, from_pandas=True) if k == pa.float64() else pa.array(c.astype(np.int64)).cast(k) for c, k in zip(columns, kinds, strict=True)], names=list(out))
+
+    schema = "batch_id long, _at long, side int, top double, total double, own double"
+    parts = left.groupBy("batch_id", "_i", "_j").cogroup(right.groupBy("_batch", "_i", "_j")).applyInArrow(tile, schema)
+    # one entry for each tile of a row or column
+    merged = parts.groupBy("batch_id", "_at", "side").agg(F.max("top").alias("m"), F.collect_list(F.struct("top", "total")).alias("l"), F.max("own").alias("own"))
+    total = F.aggregate("l", F.lit(0.0), lambda s, p: s + p["total"] * F.exp(p["top"] - F.col("m")))
+    each_row = merged.select("batch_id", "side", (F.col("m") + F.ln(total)).alias("lse"), "own")
+    n = F.count_if(F.col("side") == 0)
+    return each_row.groupBy("batch_id").agg(n.cast("int").alias("n"), ((F.sum("lse") - 2 * F.sum("own")) / (2 * n)).alias("loss"))
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    at = rows["_at"].to_numpy()
+    order = np.argsort(at)
+    return at[order], rows["v"].combine_chunks().flatten().to_numpy().reshape(len(at), -1)[order]
+
+
 def _batch_loss(scale: float):
     """Arrow UDF ``n, flat unit vectors a, b -> loss``: batches of one size are multiplied together."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import product
 
@@ -181,42 +180,18 @@ def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair: ``c1, c2, r``; NULL when a column is constant.
+    """Pearson correlation of every pair: ``c1, c2, r``; NULL when a column is constant or a pair has less than two rows.
 
-    One pass finds the means of all rows, a second one plain sums of values shifted by
-    them, which keeps the generated code short and the sums exact enough. Only if a column
-    holds NULLs another pass repeats the sums per pair, over the rows that have both values.
+    One pass keeps a mergeable state for each pair: its rows, both means, both spreads and the co-moment. Rows that miss either
+    value of a pair are in no state of it, so tables with and without NULLs go through the same arithmetic.
     """
     x = {c: F.col(c).cast("double") for c in cols}
-    near = df.agg(*[F.coalesce(F.avg(x[c]), F.lit(0.0)).alias(c) for c in cols]).first()
-    d = {c: x[c] - F.lit(near[c]) for c in cols}
-    sums = df.agg(
-        F.count("*").alias("n"),
-        *[F.count(x[c]).alias(f"n|{c}") for c in cols],
-        *[F.sum(d[c]).alias(f"s|{c}") for c in cols],
-        *[F.sum(d[a] * d[b]).alias(f"p|{a}|{b}") for a, b in _pairs(cols)],
-    ).first()
-    n = sums["n"]
-    found: dict[tuple[str, str], float | None] = {}
-    if all(sums[f"n|{c}"] == n for c in cols):
-        cov = {(a, b): sums[f"p|{a}|{b}"] - sums[f"s|{a}"] * sums[f"s|{b}"] / n for a, b in _pairs(cols)} if n else {}
-        for a, b in cov:
-            spread = math.sqrt(max(cov[a, a], 0.0)) * math.sqrt(max(cov[b, b], 0.0))
-            found[a, b] = cov[a, b] / spread if spread else None
-    else:
-        both = {(a, b): x[a].isNotNull() & x[b].isNotNull() for a, b in _pairs(cols)}
-        parts = df.agg(
-            *[
-                F.try_divide(
-                    F.covar_pop(x[a], x[b]),
-                    F.stddev_pop(F.when(both[a, b], x[a])) * F.stddev_pop(F.when(both[a, b], x[b])),
-                ).alias(f"r|{a}|{b}")
-                for a, b in _pairs(cols)
-            ]
-        ).first()
-        found = {(a, b): parts[f"r|{a}|{b}"] for a, b in _pairs(cols)}
-    cells = [(a, b, found.get((a, b), found.get((b, a)))) for a, b in product(cols, cols)]
-    return df.sparkSession.createDataFrame(cells, "c1 string, c2 string, r double")
+    states = [
+        F.try_divide(F.regr_sxy(x[a], x[b]), F.sqrt(F.regr_syy(x[a], x[b])) * F.sqrt(F.regr_sxx(x[a], x[b]))).alias(f"r|{a}|{b}") for a, b in _pairs(cols)
+    ]
+    known = set(_pairs(cols))
+    cells = [F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), _finite(f"r|{a}|{b}" if (a, b) in known else f"r|{b}|{a}").alias("r")) for a, b in product(cols, cols)]
+    return df.agg(*states).select(F.inline(F.array(*cells)))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence, top_k: int | None = None) -> DataFrame:

@@ -360,6 +360,30 @@ def topk_classes(df: DataFrame, class_ids: Sequence, k: int, scores: str = "clas
     return df.withColumn("top_classes", F.transform(V.best_positions(F.col(scores), k), lambda i: F.get(ids, i)))
 
 
+def best_prompts(items: DataFrame, bank: Bank, vector: str, cosine: bool = True, out: str = "best_prompts") -> DataFrame:
+    """Add ``out``: for each class, in ``bank.class_ids`` order, the score and the place of its best prompt among its own.
+
+    The place is carried through the maximum over the prompts of a class (the first of equals), so that no row for an item and a prompt is made.
+    """
+    weights = _unit(bank.vectors) if cosine else bank.vectors
+    starts = np.asarray(bank.starts)
+    kind = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("place", T.IntegerType())]))
+
+    @F.arrow_udf(kind)
+    def best(vectors: pa.Array) -> pa.Array:
+        present = ~vectors.is_null().to_numpy(zero_copy_only=False)
+        x = _dense(vectors.drop_null(), weights.shape[1])
+        scores = (_unit(x) if cosine else x) @ weights.T
+        ends = [*starts[1:], len(weights)]
+        place = np.stack([scores[:, a:b].argmax(axis=1) for a, b in zip(starts, ends)], axis=1)
+        top = np.take_along_axis(scores, place + starts, axis=1)
+        cells = pa.StructArray.from_arrays([pa.array(top.ravel()), pa.array(place.ravel().astype(np.int32))], names=["score", "place"])
+        offsets = np.concatenate([[0], np.cumsum(np.where(present, len(starts), 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), cells, mask=pa.array(~present))
+
+    return items.withColumn(out, best(F.col(vector)))
+
+
 def check_dims(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, DataFrame]:
     """``(fitting, misfits)`` by vector length; a NULL vector is a misfit."""
     fits = F.coalesce(F.size(vector) == dim, F.lit(False)) & F.col(vector).isNotNull()

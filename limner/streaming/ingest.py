@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import json
 import threading
+import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from limner.operators.indexing import cap_rows
 from limner.plans.staging import scratch_path
 from limner.sources.tables import path_exists
 
 
+_PROGRESS = "batch_id long, ts string, input_rows long, rows_per_second double"
+
+
 def stream_shards(
     spark: SparkSession, root: str, schema: T.StructType, glob: str = "*.parquet", files_per_trigger: int = 1_000
 ) -> DataFrame:
@@ -64,7 +69,10 @@ def stream_with_quarantine(
 
 
 def take_good_rows(df: DataFrame, path: str, n: int, checkpoint: str | None = None) -> StreamingQuery:
-    """Keep the first ``n`` rows of a stream in locator order within each batch, then only skip."""
+    """Keep the first ``n`` rows of a stream in locator order within each batch, then only skip.
+
+    What is missing is taken by ``cap_rows``, which looks up the key of the last row instead of bringing many rows to one task.
+    """
     spark = df.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -74,15 +82,41 @@ def take_good_rows(df: DataFrame, path: str, n: int, checkpoint: str | None = No
             number = F.regexp_extract("_metadata.file_path", r"batch=(\d+)", 1).cast("long")
             have = earlier.filter(number < batch_id).count()
         if have < n:
-            rows = batch.orderBy("source_shard", "source_row_idx").limit(n - have)
+            rows = cap_rows(batch, ["source_shard", "source_row_idx"], n - have)
             rows.write.mode("overwrite").parquet(batch_path(path, batch_id))
     return _start(df, checkpoint, keep)
 
 
+def stream_with_progress(df: DataFrame, path: str, log_path: str, checkpoint: str | None = None) -> StreamingQuery:
+    """Write-through cache whose progress is a table itself: one row for each batch, which outlives the driver.
+
+    Rows are counted while they are written. A batch overwrites its own rows and its own report, so one that is run again
+    after a failure counts once. ``read_progress`` reads the reports of all runs over one ``checkpoint``.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        begun = time.time()
+        seen = Observation(f"batch-{batch_id}")
+        batch.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(batch_path(path, batch_id))
+        n = int(seen.get["n"])
+        report = (batch_id, datetime.fromtimestamp(begun, UTC).isoformat(), n, n / max(time.time() - begun, 1e-6))
+        spark.createDataFrame([report], _PROGRESS).coalesce(1).write.mode("overwrite").parquet(batch_path(log_path, batch_id))
+
+    return _start(df, checkpoint, write)
+
+
+def read_progress(spark: SparkSession, log_path: str) -> DataFrame:
+    """``batch_id, ts, input_rows, rows_per_second`` of all batches ever written by ``stream_with_progress``."""
+    if not path_exists(spark, log_path):
+        return _progress(spark, [])
+    return spark.read.schema(_PROGRESS).parquet(f"{log_path}/batch=*").withColumn("ts", F.to_timestamp("ts"))
+
+
 class ProgressLog(StreamingQueryListener):
     """Every batch that queries report while the log is open; Spark itself keeps the last 100 of a query only.
 
-    One row of four numbers per batch is held on the driver.
+    One row of four numbers per batch is held on the driver and lost with it; ``stream_with_progress`` keeps a table.
     """
 
     def __init__(self, spark: SparkSession):
@@ -121,19 +155,10 @@ class ProgressLog(StreamingQueryListener):
 
 
 def _progress(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    table = spark.createDataFrame(rows, "batch_id long, ts string, input_rows long, rows_per_second double")
+    table = spark.createDataFrame(rows, _PROGRESS)
     return table.withColumn("ts", F.to_timestamp("ts"))
 
 
-def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """The batches a query still holds reports of, of which Spark keeps the last 100; ``ProgressLog`` has all."""
-    seen = [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p) for p in query.recentProgress]
-    rows = [
-        (int(p["batchId"]), p["timestamp"], int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0)) for p in seen
-    ]
-    return _progress(spark, rows)
-
-
 def eta(progress: DataFrame, total_rows: int) -> DataFrame:
     """Rows done, mean rate and seconds left."""
     done = progress.agg(

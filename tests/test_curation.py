@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from limner.operators import dedupe as D
 from limner.operators import profile as P
+from limner.operators import sketches as K
 from tests.conftest import rows
 
 
@@ -179,3 +180,34 @@ def test_profiles_of_nothing(spark):
     assert P.density_2d(df, "width", "height").count() == 0
     assert P.numeric_profile(df, ["width"]).first()["q50"] is None
     assert P.hash_sample(df.withColumn("id", F.lit(1)), "id", 5, 1).count() == 0
+
+
+def test_correlation_has_one_arithmetic_with_and_without_nulls(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(1e6, 1, 500), rng.normal(size=500)
+    c = a + b
+    data = [(float(a[i]), None if i % 7 == 0 else float(b[i]), float(c[i]), 5.0) for i in range(500)]
+    got = {(r.c1, r.c2): r.r for r in P.correlation_matrix(spark.createDataFrame(data, "a double, b double, c double, k double").repartition(6), ["a", "b", "c", "k"]).collect()}
+    there = np.arange(500) % 7 > 0
+    assert got["a", "c"] == pytest.approx(np.corrcoef(a, c)[0, 1], abs=1e-9) == got["c", "a"]
+    assert got["a", "b"] == pytest.approx(np.corrcoef(a[there], b[there])[0, 1], abs=1e-9)
+    assert got["a", "a"] == pytest.approx(1) and got["k", "k"] is None and got["a", "k"] is None and len(got) == 16
+    empty = P.correlation_matrix(spark.createDataFrame([], "a double, b double"), ["a", "b"])
+    assert [r.r for r in empty.collect()] == [None] * 4
+
+
+def test_stored_sketches_add_up(spark):
+    df = spark.range(30_000).select(
+        (F.col("id") % 6).cast("string").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(900)).alias("d"), F.when(F.col("id") % 6 < 5, F.col("id").cast("double")).alias("x")
+    )
+    stored = K.shard_sketches(df.where("shard < '4'"), ["d"], ["x"], "shard")
+    more = K.add_new_shards(stored, df, ["d"], ["x"], "shard")
+    assert more.count() == 12 and more.where("shard = '5' AND column = 'x'").first().ranks is None
+    whole = K.shard_sketches(df, ["d"], ["x"], "shard")
+    assert rows(K.merged_coverage(more)) == rows(K.merged_coverage(whole))
+    assert abs(K.merged_coverage(more).first().classes - 900) <= 900 * 3 * K.HLL_ERROR
+    found = K.merged_profile(more).first()
+    assert (found.n, found.min, found.max) == (25_000, 0.0, 29_998.0)
+    for q, name in ((0.25, "q25"), (0.95, "q95")):
+        assert abs(found[name] / 30_000 - q) < 0.01
+    assert K.merged_coverage(stored.limit(0)).count() == 0

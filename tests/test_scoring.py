@@ -283,3 +283,23 @@ def test_ranks_from_score_rows_need_no_list_of_scores(spark):
     ranked = S.true_rank(rows, truth, ["id"], "label")
     assert sorted((r.id, r.true_rank) for r in ranked.collect()) == [(1, 3), (2, 2), (3, None)]
     assert "collect_list" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_prompts_carry_their_place(spark):
+    bank = S.Bank([4, 7], [0, 2], np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]))
+    items = spark.createDataFrame([(1, [0.0, 2.0]), (2, [3.0, 3.0]), (3, None)], "id long, v array<double>")
+    got = {r.id: r.best_prompts and [(round(x.score, 6), x.place) for x in r.best_prompts] for r in S.best_prompts(items, bank, "v").collect()}
+    assert got == {1: [(1.0, 1), (0.707107, 0)], 2: [(0.707107, 0), (1.0, 0)], 3: None}
+
+
+@pytest.mark.parametrize("n", [1, 7, 23])
+def test_tiled_losses_are_those_of_whole_batches(spark, monkeypatch, n):
+    x, y = RNG.normal(size=(n, 5)), RNG.normal(size=(n, 5))
+    df = spark.createDataFrame([(3 * i, x[i].tolist(), y[i].tolist()) for i in range(n)], "id long, x array<double>, y array<double>").repartition(4)
+    for size in (9, 50):
+        monkeypatch.setattr(M, "TILE", 1024)
+        whole = rows(M.contrastive_loss(df, "id", "x", "y", size))
+        monkeypatch.setattr(M, "TILE", 4)
+        tiled = rows(M.contrastive_loss(df, "id", "x", "y", size))
+        assert [r[:2] for r in whole] == [r[:2] for r in tiled] and np.allclose([r[2] for r in whole], [r[2] for r in tiled], atol=1e-9)
+    assert M.contrastive_loss(df.limit(0), "id", "x", "y", 50).count() == 0

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +19,7 @@ from limner.schemas import IMAGE_SHARD, METRICS_LONG, conform, fields, require_c
 from limner.sinks import documents as DOC
 from limner.sinks import tables as K
 from limner.sources import runs as R
+from limner.sources import shard_audit as A
 from limner.sources import shards as S
 from limner.sources import tables as T_
 from limner.streaming import ingest as I
@@ -223,15 +227,53 @@ def test_a_restarted_stream_reads_only_new_shards(spark, tmp_path):
     run = lambda: I.stream_to_cache(I.stream_shards(spark, source, ROW).select("id"), cache, state)
     run().awaitTermination()
     _add_shard(spark, source, "b", [(3, "z")])
-    second = run()
-    second.awaitTermination()
+    with I.ProgressLog(spark) as log:
+        second = run()
+        second.awaitTermination()
+        progress = log.table(second)
     assert rows(spark.read.parquet(cache)) == [(1,), (2,), (3,)]
-    progress = I.progress_table(spark, second)
     assert progress.agg(F.sum("input_rows")).first()[0] == 1
     left = I.eta(progress, 11).first()
     assert left["done"] == 1 and left["seconds_left"] > 0
 
 
+def test_progress_outlives_a_failure(spark, tmp_path):
+    source, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
+    for i, name in enumerate("abc"):
+        _add_shard(spark, source, name, [(10 * i + k, "v") for k in range(i + 1)])
+    stream = I.stream_shards(spark, source, ROW, files_per_trigger=1).select("id")
+    broken = stream.select(F.when(F.col("id") == 20, F.raise_error(F.lit("gone"))).otherwise(F.col("id")).cast("long").alias("id"))
+    assert I.read_progress(spark, log).count() == 0
+    with pytest.raises(StreamingQueryException):
+        I.stream_with_progress(broken, out, log, state).awaitTermination()
+    assert sorted(r.input_rows for r in I.read_progress(spark, log).collect()) == [1, 2]
+    I.stream_with_progress(stream, out, log, state).awaitTermination()
+    assert sorted(r.input_rows for r in I.read_progress(spark, log).collect()) == [1, 2, 3]
+    assert rows(spark.read.parquet(out).select("id")) == [(0,), (10,), (11,), (20,), (21,), (22,)]
+    assert I.eta(I.read_progress(spark, log), 10).first()["done"] == 6
+
+
+def test_shards_are_audited_in_one_pass(spark, tmp_path):
+    root = str(tmp_path / "shards")
+    for i, name in enumerate(("whole", "page", "footer", "empty")):
+        n = 0 if name == "empty" else 3000 + i
+        table = pa.table({"id": pa.array(range(n), pa.int64()), "v": pa.array([f"value {k * 7919}" for k in range(n)])})
+        os.makedirs(f"{root}/{name}")
+        pq.write_table(table, f"{root}/{name}/x.parquet", row_group_size=1000, write_page_checksum=True)
+    A.break_a_page(f"{root}/page/x.parquet")
+    A.cut_the_footer(f"{root}/footer/x.parquet")
+    (tmp_path / "shards" / "note.txt").write_text("no shard")
+    audit = A.audit_shards(spark, root).cache()
+    name = F.element_at(F.split("path", "/"), -2)
+    assert rows(audit.groupBy(name).agg(F.sum("n_rows"), F.count("error"))) == [("empty", 0, 0), ("footer", None, 1), ("page", 3001, 1), ("whole", 3000, 0)]
+    lost = audit.where("error = 'damaged pages'").first()
+    assert (lost.row_group, lost.first_row, lost.n_rows, lost.lost_columns) == (0, 0, 1000, ["id"])
+    assert rows(A.lost_ranges(audit).select(name, "error", "first_row", "end_row")) == [("footer", "no parquet footer", None, None), ("page", "damaged pages", 0, 1000)]
+    assert rows(A.damaged_shards(audit).select(name, "expected_rows", "read_rows")) == [("footer", None, 0), ("page", 3001, 2001)]
+    assert A.audit_shards(spark, f"{root}/page", ["v"]).where("error IS NOT NULL").count() == 0  # the other column is sound
+    assert A.audit_shards(spark, f"file://{root}/whole/x.parquet").count() == 3
+
+
 def test_stream_stops_taking_after_n_rows(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     for i, name in enumerate("abc"):
