@@ -320,6 +320,31 @@ def image_index_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # Joins on the row locator
 
+@query(
+    "WITH f AS (SELECT source, lang, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1, 2) "
+    "SELECT d.doc_id, md5(CASE WHEN d.doc_id % 5 = 0 THEN d.text ELSE f.content END) AS image_hash, "
+    "strlen(CASE WHEN d.doc_id % 5 = 0 THEN d.text ELSE f.content END) AS bytes_size FROM documents d JOIN f ON f.source = d.source AND f.lang = d.lang WHERE d.doc_id % 7 > 0 "
+    "UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id % 7 = 0"
+)
+def payloads_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth row holds its bytes, every seventh names a file that is not there, the others name the file of their source and language."""
+    docs = B.table(spark, sf, "documents")
+    root = scratch_path(spark, "payload-files")
+    files = docs.repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id").select(F.col("source").alias("s"), F.col("lang").alias("l"), "text")
+    files.write.partitionBy("s", "l").text(root)
+    listed = S.list_files(spark, root).where(F.col("path").rlike(r"/part-[^/]*$")).select(
+        F.regexp_extract("path", "/s=([^/]*)/", 1).alias("source"), F.regexp_extract("path", "/l=([^/]*)/", 1).alias("lang"), "path"
+    )
+    own = F.when((F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 7 > 0), F.encode("text", "UTF-8"))
+    path = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("nowhere/"), "doc_id")).otherwise(F.col("path"))
+    rows = docs.join(F.broadcast(listed), ["source", "lang"]).select("doc_id", F.struct(own.alias("bytes"), path.alias("path")).alias("image"))
+
+    def measure(df: DataFrame, payload: str) -> DataFrame:
+        return df.withColumns({"image_hash": F.md5(payload), "bytes_size": F.octet_length(payload).cast("bigint")}).drop(payload)
+
+    return S.measure_payloads(rows, measure, root)
+
+
 INDEXED = "idx AS (SELECT doc_id * 2 AS source_row_idx, quality FROM labels)"
 
 
@@ -337,6 +362,18 @@ def indexed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return S.fetch_indexed(rows, index).select("source_row_idx", "quality", "image_hash")
 
 
+@query(having(B.DOCS, INDEXED, then="SELECT source_row_idx, quality, image_hash, bytes_size FROM docs JOIN idx USING (source_row_idx)"))
+def indexed_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows an index points at, measured in the scan: bitmaps of wanted rows are broadcast, payloads are not shuffled."""
+    rows = B.table(spark, sf, "documents").select(F.lit("documents").alias("source_shard"), F.col("doc_id").alias("source_row_idx"), F.encode("text", "UTF-8").alias("payload"))
+    _, index = _shards_and_index(spark, sf)
+
+    def measure(df: DataFrame, payload: str) -> DataFrame:
+        return df.withColumns({"image_hash": F.md5(payload), "bytes_size": F.octet_length(payload).cast("bigint")}).drop(payload)
+
+    return S.measure_indexed(rows, index, measure, "payload").select("source_row_idx", "quality", "image_hash", "bytes_size")
+
+
 @query(having(B.DOCS, INDEXED, then="SELECT source_row_idx, quality FROM idx WHERE source_row_idx NOT IN (SELECT source_row_idx FROM docs)"))
 def unmatched_index_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows, index = _shards_and_index(spark, sf)

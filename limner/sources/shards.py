@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limner.plans.joins import if_small, lookup_join
+from limner.plans.staging import stage
 from limner.schemas import require_columns
 
 
@@ -116,13 +118,81 @@ def normalize_payload(df: DataFrame, files_root: str | None = None, image: str =
     return inline.unionByName(named.join(files, "_path", "left").drop("_path"))
 
 
+Measure = Callable[[DataFrame, str], DataFrame]
+
+
+def _without_payloads(df: DataFrame) -> DataFrame:
+    held = [f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)]
+    if held:
+        raise ValueError(f"measured rows still hold payloads: {held}")
+    return df
+
+
+def measure_payloads(df: DataFrame, measure: Measure, files_root: str | None = None, image: str = "image") -> DataFrame:
+    """What ``measure(rows, payload_column)`` finds in the payload of each row: the bytes in the image struct, else the file its path names.
+
+    Payloads are measured in the scan that reads them, of the shards or of the files, and dropped there; only the measures of files
+    are joined to the rows that name them. A row whose payload is nowhere has NULL measures. ``measure`` adds
+    columns and drops the payload.
+    """
+    kept = [c for c in df.columns if c != image]
+    own = F.col(image) if isinstance(df.schema[image].dataType, T.BinaryType) else F.col(f"{image}.bytes")
+    inline = _without_payloads(measure(df.where(own.isNotNull()).select(*kept, own.alias("_payload")), "_payload"))
+    found = [f for f in inline.schema.fields if f.name not in kept]
+    rest = df.where(own.isNull())
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in found]
+    if isinstance(df.schema[image].dataType, T.BinaryType) or files_root is None:
+        return inline.unionByName(rest.select(*kept, *blank))
+    files = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(files_root)
+    named = files.select(plain_path(F.col("path")).alias("_path"), F.col("content").alias("_payload"))
+    measured = _without_payloads(measure(named, "_payload")).select("_path", *[f.name for f in found])
+    wanted = rest.select(*kept, plain_path(F.col(f"{image}.path")).alias("_path"))
+    # many rows may name one file, so the measures are the side with one row for each key
+    return inline.unionByName(lookup_join(wanted, measured, ["_path"], "left").select(*kept, *[f.name for f in found]))
+
+
+#: Words of 64 rows that mark the wanted rows of shards, as many as are broadcast at once.
+MARK_WORDS = 1 << 20
+
+
 def fetch_indexed(shards: DataFrame, index: DataFrame, keys: Sequence[str] = ("source_shard", "source_row_idx")) -> DataFrame:
     """Shard rows the index points at, with the index columns.
 
-    The locator is unique on both sides. Spark broadcasts the index when it is
-    small and otherwise filters the scan with a bloom filter of the index.
+    An index proven small is broadcast. A larger one meets the rows by a shuffle, after rows it does not want are left out by ``marked_rows``;
+    use ``measure_indexed`` where the rows hold payloads.
     """
-    return shards.join(index, list(keys))
+    small = if_small(index)
+    if small is not None:
+        return shards.join(F.broadcast(small), list(keys))
+    return marked_rows(shards, index, keys).join(index, list(keys))
+
+
+def marked_rows(shards: DataFrame, index: DataFrame, keys: Sequence[str] = ("source_shard", "source_row_idx")) -> DataFrame:
+    """Shard rows the index points at, filtered in the scan by bitmaps of the wanted positions of each shard.
+
+    A word marks 64 positions of one shard. At most ``MARK_WORDS`` words, of whole shards and together, are broadcast at once: a larger index
+    is split by shard, and each part reads its own rows.
+    """
+    shard, position = keys
+    word, bit = F.expr(f"`{position}` div 64"), (F.col(position) % 64).cast("int")
+    one = F.lit(1).cast("long")
+    marks = stage(index.groupBy(F.col(shard).alias("_shard"), word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("_bits")), "marks")
+    parts = max(1, -(-marks.count() // MARK_WORDS))
+    share = F.pmod(F.xxhash64("_shard", "_word"), F.lit(parts))
+    out = None
+    for part in range(parts):
+        held = F.broadcast(marks.where(share == part))
+        rows = shards.join(held, (F.col(shard) == F.col("_shard")) & (word == F.col("_word"))).where(F.getbit("_bits", bit) == 1).select(*shards.columns)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def measure_indexed(
+    shards: DataFrame, index: DataFrame, measure: Measure, payload: str, keys: Sequence[str] = ("source_shard", "source_row_idx")
+) -> DataFrame:
+    """Index rows with what ``measure`` finds in the payloads they point at: measured in the scan, joined without payloads."""
+    found = _without_payloads(measure(marked_rows(shards, index, keys).select(*keys, payload), payload))
+    return index.join(found, list(keys))
 
 
 def unmatched_index(shards: DataFrame, index: DataFrame, keys: Sequence[str] = ("source_shard", "source_row_idx")) -> DataFrame:

@@ -237,6 +237,38 @@ def test_a_restarted_stream_reads_only_new_shards(spark, tmp_path):
     assert left["done"] == 1 and left["seconds_left"] > 0
 
 
+def _sized(df, payload):
+    return df.withColumn("size", F.octet_length(payload)).drop(payload)
+
+
+def test_payloads_are_measured_where_they_are_read(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "a.bin").write_bytes(b"12345")
+    root = str(tmp_path / "files")
+    rows_ = [(1, (b"xy", None)), (2, (None, f"{root}/a.bin")), (3, (None, f"file://{root}/a.bin")), (4, (None, f"{root}/none")), (5, (None, None)), (6, None)]
+    df = spark.createDataFrame(rows_, "id long, image struct<bytes: binary, path: string>")
+    assert rows(S.measure_payloads(df, _sized, root)) == [(1, 2), (2, 5), (3, 5), (4, None), (5, None), (6, None)]
+    assert rows(S.measure_payloads(df, _sized)) == [(1, 2), (2, None), (3, None), (4, None), (5, None), (6, None)]
+    plain = spark.createDataFrame([(1, b"abc"), (2, None)], "id long, image binary")
+    assert rows(S.measure_payloads(plain, _sized)) == [(1, 3), (2, None)]
+    with pytest.raises(ValueError, match="still hold payloads"):
+        S.measure_payloads(df, lambda d, p: d, root)
+
+
+@pytest.mark.parametrize("words", [1 << 20, 3])
+def test_indexed_rows_are_marked_in_the_scan(spark, monkeypatch, words):
+    monkeypatch.setattr(S, "MARK_WORDS", words)
+    shards = spark.range(1000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source_shard"), F.expr("id div 3").alias("source_row_idx"), F.encode(F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")), "UTF-8").alias("payload"))
+    index = spark.createDataFrame([("s0", 0, "a"), ("s0", 63, "b"), ("s1", 64, "c"), ("s2", 332, "d"), ("s2", 9999, "e"), ("s9", 1, "f")], "source_shard string, source_row_idx long, name string")
+    kept = S.marked_rows(shards, index)
+    assert kept.columns == shards.columns
+    assert rows(kept.select("source_shard", "source_row_idx")) == [("s0", 0), ("s0", 63), ("s1", 64)]
+    measured = S.measure_indexed(shards, index, _sized, "payload")
+    assert rows(measured.select("name", "size")) == [("a", 0), ("b", 39), ("c", 43)]
+    monkeypatch.setattr("limner.sources.shards.if_small", lambda df: None)
+    assert rows(S.fetch_indexed(shards, index).select("name", F.length("payload"))) == [("a", 0), ("b", 39), ("c", 43)]
+
+
 def test_progress_outlives_a_failure(spark, tmp_path):
     source, out, log, state = (str(tmp_path / n) for n in ("in", "out", "log", "state"))
     for i, name in enumerate("abc"):
