@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limner.llm.words import tidy
+from limner.plans.joins import lookup_join
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -168,9 +169,15 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = TEXTS
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     draw = F.xxhash64("doc_id")
+    # ids beyond four times the expected range of a language's smallest hashes never leave their task
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n"))
+    reach = rows.groupBy("lang").agg(F.count("*").alias("n")).select("lang", share.alias("share"))
+    near = lookup_join(rows.select("doc_id", "lang"), reach, ["lang"]).where((draw.cast("double") + 2.0**63) / 2.0**64 <= F.col("share"))
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id", "lang").distinct()
-    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    ids = near.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id", "lang")
+    # of different texts under one id and language, the shorter
+    texts = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    texts = texts.groupBy("doc_id", "lang").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("one")).select("doc_id", "lang", "one.text")
     texts = texts.select("lang", "text", F.pmod(draw, F.lit(1 << 40)).alias("draw"))
     sample = texts.mapInArrow(_sampled_windows(per_text), "lang string, part binary").orderBy("lang", "part").collect()
     if not sample:

@@ -214,6 +214,6 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     cuts = np.unique(np.array([c for c in found.cuts or [] if c > found.first], np.int64))
     order = ["part", "guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     dealt = docs.mapInArrow(_dealt(cuts, found.first), "part int, guest boolean, doc_id long, text string")
-    sorted_ = dealt.repartition("part").sortWithinPartitions(*order)
+    sorted_ = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(*order)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return sorted_.mapInArrow(_compared, schema)

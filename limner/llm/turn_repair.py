@@ -253,7 +253,7 @@ def _repair_long(ranges: DataFrame) -> DataFrame:
     marked = placed.join(firsts, "place", "left").select("conv_id", "turn", "role", "text", "digest", "present", F.col("first").isNull().alias("seen"), "part", "place")
     marked = stage(marked, "turn-faults")
     parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = marked.repartitionByRange(parts, "part").sortWithinPartitions("part", "place").drop("place")
+    dealt = marked.repartitionById(parts, "part").sortWithinPartitions("part", "place").drop("place")
     pieces: dict[int | None, list[tuple[int, Moves]]] = {}
     for r in dealt.mapInArrow(_ways, "conv_id long, part int, ways array<array<long>>").collect():
         pieces.setdefault(r.conv_id, []).append((r.part, tuple(map(tuple, r.ways))))
