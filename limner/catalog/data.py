@@ -16,7 +16,7 @@ from limner.operators import profile as P
 from limner.operators import sketches as K
 from limner.plans.index_job import ImageIndex, build_image_index
 from limner.plans.ordering import dense_index, running_totals
-from limner.plans.profile_job import DIMS, full_profile_document, profile_document
+from limner.plans.profile_job import DIMS, audit_document, full_profile_document, profile_document
 from limner.plans.staging import scratch_path, stage
 from limner.schemas import require_columns
 from limner.sinks.documents import highlights, profile_report
@@ -718,6 +718,30 @@ def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     return P.audit_report(rows, I.image_dims(rows, "payload", jpeg=False), S.bad_shards(spark, sf, B.DOCUMENT_SHARD, "documents.parquet"))
 
 
+@query(
+    having(
+        B.GEOM, B.PNG,
+        "pos AS (SELECT *, row_number() OVER (PARTITION BY source_shard ORDER BY source_row_idx) - 1 AS position FROM png)",
+        "taken AS (SELECT * FROM pos ORDER BY source_shard, position LIMIT 5000)",
+        then="SELECT 1::BIGINT AS parquet_shards, 0::BIGINT AS parquet_bad_shards, (SELECT count(*) FROM png) AS total_rows, count(*) FILTER (error IS NULL) AS decoded_images, "
+        "count(*) FILTER (error IS NOT NULL) AS decode_errors, (SELECT count(DISTINCT style) FROM geom) AS distinct_style_ids, "
+        "(SELECT count(*) FROM (SELECT width, height FROM taken WHERE error IS NULL GROUP BY 1, 2 HAVING count(*) > 1)) AS sample_duplicate_hashes, "
+        "max(width) FILTER (error IS NULL) AS max_width, CAST(printf('%.2f', avg(height) FILTER (error IS NULL)) AS DOUBLE) AS mean_height, "
+        "least(100, count(*) FILTER (error IS NOT NULL)) AS n_errors FROM taken",
+    )
+)
+def audit_document_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields of the whole audit document, with payloads decoded within a budget of rows."""
+    rows = B.png(spark, sf)
+    numbered = running_totals(rows.select("source_shard", "source_row_idx"), ["source_row_idx"], {"at": F.lit(1)}, by=["source_shard"])
+    placed = rows.join(numbered.select("source_shard", "source_row_idx", (F.col("at") - 1).alias("position")), ["source_shard", "source_row_idx"])
+    doc = audit_document(placed, A.audit_shards(spark, sf, ["o_orderkey"], "orders.parquet"), 5000, ["style", "genre"], position="position")
+    return doc.select(
+        "parquet_shards", "parquet_bad_shards", "total_rows", "decoded_images", "decode_errors", F.col("distinct_style_ids"), "sample_duplicate_hashes",
+        F.col("image_width.max").alias("max_width"), F.col("image_height.mean").alias("mean_height"), F.size("errors").cast("bigint").alias("n_errors"),
+    )
+
+
 # Positions, prefixes, formatted reports
 
 POSITIONED = "positioned AS (SELECT *, row_number() OVER (PARTITION BY source_shard ORDER BY source_row_idx) - 1 AS position FROM geom)"

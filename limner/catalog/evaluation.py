@@ -17,6 +17,7 @@ from limner.operators import metrics as M
 from limner.operators import scoring as S
 from limner.operators import splits as P
 from limner.plans.evaluation_job import evaluate_linear_map, evaluate_prompts
+from limner.plans.run_job import evaluate_run
 from limner.plans.joins import lookup_join
 from limner.plans.staging import scratch_path, stage
 from limner.sinks.tables import write_predictions, write_splits
@@ -656,6 +657,32 @@ def prompt_evaluation_beyond_broadcast(spark: SparkSession, sf: str) -> DataFram
     return done.select("vec_id", "true_label", "pred_label", "true_rank")
 
 
+FIRST_ONLY = B.SCORES.replace("scores AS", "scores1 AS").replace("CROSS JOIN bank b", "CROSS JOIN (SELECT * FROM bank WHERE template_id = 0) b").replace("FROM scores)", "FROM scores1)").replace("placed AS", "placed1 AS").replace("FROM placed ", "FROM placed1 ").replace("preds AS", "preds1 AS")
+
+
+@query(
+    having(
+        B.VEC, B.SCORES, FIRST_ONLY,
+        "scored AS (SELECT 'lab/all' AS model_id, * FROM preds UNION ALL SELECT 'lab/first', * FROM preds1)",
+        then="SELECT 'run_1' AS run_id, 'label' AS target, model_id, count(*) AS n_images, CAST(printf('%.4f', avg((pred_label = true_label)::INTEGER)) AS DOUBLE) AS top1_accuracy, "
+        "CAST(printf('%.4f', avg((true_rank <= 5)::INTEGER)) AS DOUBLE) AS top5_accuracy, count(*) AS n_predictions FROM scored GROUP BY model_id",
+    )
+)
+def evaluated_index(spark: SparkSession, sf: str) -> DataFrame:
+    """From an index over shards to the metrics read back from the documents of a run, started twice; and the predictions it left."""
+    items, rows = B.items_and_bank(spark, sf)
+    shards = B.table(spark, sf, "embeddings").select(F.lit("embeddings").alias("source_shard"), F.col("vec_id").alias("source_row_idx"), F.col("embedding").alias("payload"))
+    index = items.select(F.lit("embeddings").alias("source_shard"), F.col("vec_id").alias("source_row_idx"), "label")
+    names = spark.createDataFrame(list(enumerate(CLASS_NAMES)), "class_id int, name string")
+    banks = {"lab/all": {"label": S.load_bank(rows)}, "lab/first": {"label": S.load_bank(rows.where("template_id = 0"))}}
+    root = scratch_path(spark, "evaluated")
+    for _ in range(2):  # the second start finds everything there
+        told = evaluate_run(spark, root, "run_1", index, shards, lambda df: df.withColumnRenamed("payload", "vector"), banks, {"label": names})
+    made = spark.read.parquet(f"{root}/run_1/label/predictions_*.parquet").groupBy(F.regexp_extract("_metadata.file_path", "predictions_([^/]+)\\.parquet", 1).alias("tag")).agg(F.count("*").alias("n_predictions"))
+    joined = told.join(made, F.replace("model_id", F.lit("/"), F.lit("__")) == F.col("tag"))
+    return joined.select("run_id", "target", "model_id", "n_images", "top1_accuracy", "top5_accuracy", "n_predictions")
+
+
 @query()
 def linear_map_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     halves = B.pairs(spark, sf).join(B.table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from limner.catalog.registry import having, query
 from limner.functions import text as T
 from limner.operators import leaderboard as L
 from limner.operators.metrics import metric_pivot
+from limner.plans.run_job import run_page, run_summary
 from limner.plans.staging import scratch_path
 from limner.sinks.documents import best_model_lines
 from limner.sinks.tables import write_csv
@@ -257,6 +260,46 @@ def merge_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summary.select("n_runs_scanned", "n_rows_all", "n_rows_final", "selection_mode", F.array_join(best, ",").alias("best"))
 
 
+LATEST = "late AS (" + _first("target, model_id", "run_id DESC", "runs", "* EXCLUDE (rn)") + ")"
+
+
+@query(
+    having(
+        B.RUNS, LATEST,
+        "top AS (SELECT target, model_id FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY " + BEST + ") AS p FROM late) WHERE p = 1)",
+        then="SELECT (SELECT count(*) FROM late) AS n_rows_final, 'latest' AS selection_mode, 'run_*' AS globs, CAST(0 AS INTEGER) AS exact_n_images, 'run_' AS prefixes, "
+        "(SELECT string_agg(target || '=' || model_id, ',' ORDER BY target) FROM top) AS best, '2024-05-01T10:20:30.000000Z' AS generated_at",
+    )
+)
+def merge_of_latest_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest run of each model instead of its best one, with all fields of the summary."""
+    merged = L.merge_runs([B.runs(spark, sf)], prefer_latest=True, prefixes=["run_"], run_globs=["run_*"], generated_at=datetime(2024, 5, 1, 10, 20, 30, tzinfo=UTC))
+    best = F.transform("best_per_target", lambda b: F.concat_ws("=", b["target"], b["model_id"]))
+    return merged["merge_summary"].select(
+        "n_rows_final", "selection_mode", F.array_join("run_globs", ",").alias("globs"), "exact_n_images", F.array_join("require_track_prefixes", ",").alias("prefixes"),
+        F.array_join(best, ",").alias("best"), "generated_at",
+    )
+
+
+@query(
+    having(
+        B.RUNS, FINAL,
+        "lines AS (SELECT 14 + row_number() OVER (ORDER BY target) - 1 AS line_no, '| ' || target || ' | ' || model_id || ' | ' || printf('%.4f', top1_accuracy) || ' | ' || printf('%.4f', top5_accuracy) || ' | ' "
+        "|| printf('%.2f', images_per_second) || ' | ' || printf('%.1f', elapsed_seconds) || ' |' AS line FROM top)",
+        then="SELECT CAST(line_no AS INTEGER) AS line_no, line FROM lines UNION ALL SELECT 8, '- Max images: `0` (0 means full split)' UNION ALL SELECT 5, '- Streaming split: `none`' "
+        "UNION ALL SELECT CAST(14 + (SELECT count(*) FROM top) AS INTEGER), '' ",
+    )
+)
+def run_summary_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the page over all runs as one: some of the parameters, the best of each target, the end of the table."""
+    parameters = {"split_csv": "data/test.csv", "streaming_repo_id": "", "streaming_split": None, "targets": list(B.TARGETS), "templates_per_class": 1, "max_images": 0}
+    files = {"long_csv": "long.csv", "leaderboard_csv": "leaderboard.csv", "summary_json": "summary.json"}
+    page = run_page(run_summary(B.runs(spark, sf), "run", parameters, files), "runs/run")
+    best = F.col("line").startswith("| ") & ~F.col("line").startswith("| Target")
+    end = F.lit(14) + F.lit(len(B.TARGETS))
+    return page.where(best | F.col("line_no").isin(5, 8) | (F.col("line_no") == end))
+
+
 @query(
     having(
         B.RUNS, FINAL,

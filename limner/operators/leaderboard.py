@@ -8,6 +8,7 @@ holds a third of all rows costs no more than any other.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,11 +166,16 @@ def confusion_index(selected: DataFrame, predictions: DataFrame) -> DataFrame:
     return selected.join(predictions.select(*keys), keys, "left_semi").select(*cols).orderBy("target", "model_id")
 
 
-def merge_summary(all_runs: DataFrame, final: DataFrame, best: DataFrame, mode: str, n_scanned: int) -> DataFrame:
-    """One row: runs scanned, rows before and after selection, mode, and the best rows as an array.
+def merge_summary(
+    all_runs: DataFrame, final: DataFrame, best: DataFrame, mode: str, n_scanned: int, run_globs: Sequence[str] = (), n_images: int = 0,
+    prefixes: Sequence[str] = (), generated_at: datetime | None = None,
+) -> DataFrame:
+    """One row: what was asked for, runs scanned, rows before and after selection, mode, and the best rows as an array.
 
     ``best`` holds one row per target.
     """
+    at = (generated_at or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    names = lambda xs: F.lit(list(xs)).cast("array<string>")
     entry = F.struct("target", "model_id", "top1_accuracy", "top5_accuracy")
     return best.agg(F.array_sort(F.collect_list(entry)).alias("best_per_target")).select(
         F.lit(n_scanned).cast("bigint").alias("n_runs_scanned"),
@@ -177,11 +183,16 @@ def merge_summary(all_runs: DataFrame, final: DataFrame, best: DataFrame, mode:
         final.agg(F.count("*")).scalar().alias("n_rows_final"),
         F.lit(mode).alias("selection_mode"),
         "best_per_target",
+        F.lit(at).alias("generated_at"),
+        names(run_globs).alias("run_globs"),
+        F.lit(n_images).alias("exact_n_images"),
+        names(prefixes).alias("require_track_prefixes"),
     )
 
 
 def merge_runs(
-    frames: Sequence[DataFrame], prefer_latest: bool = False, n_images: int = 0, prefixes: Sequence[str] = (), n_scanned: int | None = None
+    frames: Sequence[DataFrame], prefer_latest: bool = False, n_images: int = 0, prefixes: Sequence[str] = (), n_scanned: int | None = None,
+    run_globs: Sequence[str] = (), generated_at: datetime | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of a merge: long, leaderboard, final, best per target, summary.
 
@@ -196,5 +207,5 @@ def merge_runs(
         "all_runs_leaderboard": leaderboard(merged),
         "final_table": final,
         "best_per_target": best,
-        "merge_summary": merge_summary(merged, final, best, mode, len(frames) if n_scanned is None else n_scanned),
+        "merge_summary": merge_summary(merged, final, best, mode, len(frames) if n_scanned is None else n_scanned, run_globs, n_images, prefixes, generated_at),
     }

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limner.operators.dedupe import dedupe_summary, dup_group_sizes, hash_counts, keep_first, top_duplicate_hashes
-from limner.operators.profile import class_balance, class_counts, coverage, extremes, mix, normalized_entropy, numeric_profile, top_classes
+from limner.operators.dedupe import dedupe_summary, dup_group_sizes, hash_counts, keep_first, repeated_hashes, top_duplicate_hashes
+from limner.operators.images import image_dims
+from limner.operators.indexing import budgeted_prefix
+from limner.operators.profile import class_balance, class_counts, coverage, dims_profile, extremes, mix, normalized_entropy, numeric_profile, top_classes
 from limner.plans.staging import stage
 from limner.sinks.documents import nested_counts, nested_rows, summary_document
 
@@ -77,3 +79,41 @@ def full_profile_document(
     parts["top_duplicate_hashes"] = nested_rows(top_duplicate_hashes(hashes, hash_col), [F.desc("n"), F.col(hash_col)], [hash_col, "n"], 20)
     parts["decode_errors"] = F.lit(0).cast("bigint") if errors is None else errors.agg(F.count("*"))
     return summary_document(rows.sparkSession, parts)
+
+
+def audit_document(
+    rows: DataFrame, audit: DataFrame, budget: int, dims: Sequence[str] = tuple(DIMS), payload: str = "payload", shard: str = "source_shard",
+    position: str = "source_row_idx", top_k: int = 20, n_errors: int = 100,
+) -> DataFrame:
+    """One row on the state of a dataset: shards, rows and classes of all rows, sizes and repeated payloads of the first ``budget`` rows, first errors.
+
+    ``rows`` are those that can be read, ``position`` counting from 0 within a shard; ``audit`` is the table of
+    ``sources.shard_audit.audit_shards``. Payloads are decoded within the budget only, shard by shard. A shard counts as bad if any of its
+    rows are lost. Errors are those of shards, then those of payloads, each in order.
+    """
+    counts = stage(class_counts(rows, dims), "classes")
+    taken = budgeted_prefix(rows.select(shard, position, payload), shard, position, budget)
+    looked = stage(image_dims(taken.withColumn("image_hash", F.md5(payload)), payload).drop(payload), "decoded")
+    good = looked.where("error IS NULL")
+    bad = audit.where("error IS NOT NULL").groupBy("path").agg(F.min("error").alias("error"))
+    errors = bad.select(F.lit(0).alias("kind"), F.col("path").alias("file"), F.lit(None).cast("long").alias("at"), "error").unionByName(
+        looked.where("error IS NOT NULL").select(F.lit(1).alias("kind"), F.col(shard).alias("file"), F.col(position).cast("long").alias("at"), "error")
+    )
+    sizes, found = dims_profile(good), coverage(counts)
+    parts: dict[str, DataFrame] = {
+        "parquet_shards": audit.agg(F.count_distinct("path")),
+        "parquet_bad_shards": bad.agg(F.count("*")),
+        "total_rows": rows.agg(F.count("*")),
+        "decoded_images": good.agg(F.count("*")),
+        "decode_errors": looked.where("error IS NOT NULL").agg(F.count("*")),
+        "disk_size_bytes": audit.select("path", "length").distinct().agg(F.sum("length")),
+    }
+    top = top_classes(counts, top_k)
+    for d in dims:
+        parts[f"top_{d}_ids"] = nested_rows(top.filter(F.col("dim") == d), [F.col("rank")], ["class_id", "n"], top_k)
+        parts[f"distinct_{d}_ids"] = found.filter(F.col("dim") == d).select("classes")
+    parts["sample_duplicate_hashes"] = repeated_hashes(hash_counts(good, "image_hash"))
+    for name in ("width", "height"):
+        parts[f"image_{name}"] = sizes.filter(F.col("metric") == name).select("min", "max", F.col("mean_2").alias("mean"))
+    parts["errors"] = nested_rows(errors, [F.col("kind"), F.col("file"), F.col("at"), F.col("error")], ["file", "error"], n_errors)
+    return summary_document(rows.sparkSession, parts)

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 from limner.schemas import METRICS_DOCUMENT, METRICS_LONG
 
 
-MAX_HEADERS = 100
-
-
 def _matching(spark: SparkSession, root: str, patterns: Sequence[str]) -> list[str]:
     """Existing paths that match any of the patterns, each once."""
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -44,20 +41,15 @@ def read_runs(
         return []
     depth = file.count("/") + 1
     folder = F.element_at(F.split("_metadata.file_path", "/"), -1 - depth)
-    # Metric tables are short: a row per target and model. The headers decide how to read them.
-    header = F.regexp_replace(F.substring_index("value", "\n", 1), "\\s+$", "")
-    texts = spark.read.text(files, wholetext=True)
-    heads = texts.select(header.alias("header"), F.col("_metadata.file_path").alias("path"))
-    groups: dict[str, list[str]] = {}
-    for r in heads.filter("header <> ''").collect():
-        groups.setdefault(r["header"], []).append(r["path"])
-    if len(groups) > MAX_HEADERS:
-        raise ValueError(f"{len(groups)} different headers among the metric tables")
+    # The headers decide how to read the tables. Each is the line at offset 0 of its file; they are grouped on the executors, and the
+    # driver sees one row for each distinct header, with the names of its files, which it lists anyway.
+    lines = spark.read.text(files).select(F.rtrim("value").alias("header"), F.col("_metadata.file_path").alias("path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("header", "at").alias("header")).where("header <> ''")
     frames = []
-    for head in sorted(groups):
-        cols = [c.strip().strip('"') for c in head.split(",")]
+    for r in heads.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect():
+        cols = [c.strip().strip('"') for c in r["header"].split(",")]
         schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-        df = spark.read.schema(schema).option("header", True).csv(groups[head])
+        df = spark.read.schema(schema).option("header", True).csv(r["paths"])
         frames.append(df if "run_id" in cols else df.withColumn("run_id", folder))
     return frames
 
@@ -74,8 +66,9 @@ def collect_metrics(spark: SparkSession, root: str, models: DataFrame, targets:
         return spark.createDataFrame([], METRICS_LONG)
     docs = spark.read.schema(METRICS_DOCUMENT).option("multiLine", True).json(files)
     path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/metrics_([^/]+)\.json$", i)
-    located = docs.select("*", path.alias("metrics_path"), part(1).alias("run_id"), part(2).alias("_target"), part(3).alias("tag"))
+    # a document written by Spark is a folder of that name with one file
+    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/metrics_([^/]+)\.json(?:/part-[^/]*)?$", i)
+    located = docs.select("*", F.regexp_replace(path, r"(?<=\.json)/part-[^/]*$", "").alias("metrics_path"), part(1).alias("run_id"), part(2).alias("_target"), part(3).alias("tag"))
     folder = F.regexp_replace("metrics_path", r"/metrics_[^/]+$", "")
     return located.join(models, "tag").select(
         "run_id",

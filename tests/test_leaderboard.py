@@ -111,3 +111,29 @@ def test_groups_are_cut_before_the_shuffle(runs):
 
 def test_no_global_window_in_the_leaderboard(runs):
     assert "Exchange SinglePartition" not in _plan(L.leaderboard(runs)).split("Window")[0]
+
+
+def test_run_summary_and_page(spark):
+    from datetime import datetime
+
+    from limner.plans.run_job import run_page, run_summary
+
+    data = [("r", "style", "a/b", 10, 0.5, 0.9, 3.0, 2.25), ("r", "style", "c/d", 10, 0.7, 0.8, 3.0, 1.0), ("r", "genre", "a/b", 4, 0.25, 1.0, 61.24, 9.0)]
+    metrics = spark.createDataFrame(data, "run_id string, target string, model_id string, n_images long, top1_accuracy double, top5_accuracy double, elapsed_seconds double, images_per_second double")
+    files = {"long_csv": "x/long.csv", "leaderboard_csv": "x/lead.csv", "summary_json": "x/s.json"}
+    parameters = {"split_csv": "test.csv", "streaming_repo_id": "", "targets": ["style", "genre"], "templates_per_class": 2, "max_images": 0}
+    summary = run_summary(metrics, "r", parameters, files, datetime(2024, 1, 2, 3, 4, 5))
+    row = summary.first()
+    assert (row.run_id, row.n_rows, row.generated_at, row.files.long_csv) == ("r", 3, "2024-01-02T03:04:05.000000Z", "x/long.csv")
+    assert [(b.target, b.model_id) for b in row.best_per_target] == [("genre", "a/b"), ("style", "c/d")]
+    lines = [r.line for r in run_page(summary, "runs/r").orderBy("line_no").collect()]
+    assert lines[2:8] == ["- Run ID: `r`", "- Split: `test.csv`", "- Streaming repo: `none`", "- Targets: `style, genre`", "- Prompt templates per class: `2`", "- Max images: `0` (0 means full split)"]
+    assert "| genre | a/b | 0.2500 | 1.0000 | 9.00 | 61.2 |" in lines and lines[-2:] == ["- `runs/r/style`", "- `runs/r/genre`"]
+
+
+def test_merge_summary_tells_what_was_asked_for(spark):
+    frame = spark.createDataFrame([("a_1", "t", "m", 5, 0.5, 0.6, 1.0, 1.0), ("a_2", "t", "m", 5, 0.4, 0.6, 1.0, 1.0)], "run_id string, target string, model_id string, n_images long, top1_accuracy double, top5_accuracy double, elapsed_seconds double, images_per_second double")
+    for latest, want in ((False, 0.5), (True, 0.4)):
+        row = L.merge_runs([frame], prefer_latest=latest, n_images=5, prefixes=["a_"], run_globs=["a_*"])["merge_summary"].first()
+        assert (row.best_per_target[0].top1_accuracy, row.exact_n_images, row.require_track_prefixes, row.run_globs) == (want, 5, ["a_"], ["a_*"])
+        assert row.generated_at.endswith("Z") and row.selection_mode == ("latest" if latest else "best_top1")

@@ -262,11 +262,11 @@ def test_indexed_rows_are_marked_in_the_scan(spark, monkeypatch, words):
     index = spark.createDataFrame([("s0", 0, "a"), ("s0", 63, "b"), ("s1", 64, "c"), ("s2", 332, "d"), ("s2", 9999, "e"), ("s9", 1, "f")], "source_shard string, source_row_idx long, name string")
     kept = S.marked_rows(shards, index)
     assert kept.columns == shards.columns
-    assert rows(kept.select("source_shard", "source_row_idx")) == [("s0", 0), ("s0", 63), ("s1", 64)]
+    assert rows(kept.select("source_shard", "source_row_idx")) == [("s0", 0), ("s0", 63), ("s1", 64), ("s2", 332)]
     measured = S.measure_indexed(shards, index, _sized, "payload")
-    assert rows(measured.select("name", "size")) == [("a", 0), ("b", 39), ("c", 43)]
+    assert rows(measured.select("name", "size")) == [("a", 0), ("b", 39), ("c", 43), ("d", 48)]
     monkeypatch.setattr("limner.sources.shards.if_small", lambda df: None)
-    assert rows(S.fetch_indexed(shards, index).select("name", F.length("payload"))) == [("a", 0), ("b", 39), ("c", 43)]
+    assert rows(S.fetch_indexed(shards, index).select("name", F.length("payload"))) == [("a", 0), ("b", 39), ("c", 43), ("d", 48)]
 
 
 def test_progress_outlives_a_failure(spark, tmp_path):
