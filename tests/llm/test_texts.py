@@ -87,6 +87,52 @@ def test_changed_words_within_other_text():
     assert scan.findings("Released under the new license. Licensed under the Apache License, Version 1.1.") == []
 
 
+def test_the_ranking_by_bytes_decides():
+    """Two templates are both confirmed on one text: that with fewer different words saves less, as the word it differs in is long."""
+    shared = "license alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    long_word, other = "incomprehensibilities", "counterrevolutionaries"
+    templates = {"A": [f"{shared} {long_word} mu nu"], "B": [f"{shared} {other} xi pi"]}
+    text = f"some words {shared} {other} mu nu and more of them"
+    scan = S.Scanner(templates)
+    assert [(f.license, f.n_different) for _, _, f in scan.findings(text)] == [("B", 2)]
+    ranked = scan.nominated(text, [0, 1])
+    assert [k for _, _, k in ranked] == [1, 0] and ranked[0][0] > ranked[1][0]
+    # without the ranking the one with the fewest different words comes first
+    scan.nominated = lambda window, among: [(0, 0.0, k) for k in among if window.strip()]
+    assert [(f.license, f.n_different) for _, _, f in scan.findings(text)] == [("A", 1)]
+
+
+def test_a_window_that_saves_too_little_is_not_nominated():
+    scan = S.Scanner()
+    text = "A license, a copyright and the permission to say nothing of the sort."
+    everything = list(range(len(scan.templates)))
+    assert len(scan.nominated(text, everything)) < len(everything) and scan.findings(text) == []
+    scan.nominated = lambda window, among: []
+    assert scan.findings(NOTICES and "Released under the MIT License.") == []
+
+
+@pytest.mark.parametrize("name", sorted(S.all_templates()))
+def test_every_template_is_found_where_plain_search_finds_it(name):
+    """Each template alone, twice and within other text, compared with a search for its words."""
+    scan = S.Scanner()
+    for text in S.all_templates()[name]:
+        body = " ".join(text.split())
+        for around in ("{}", "first {} middle {} last", "lorem ipsum dolor sit amet " * 9 + "{}" + " consetetur sadipscing" * 9):
+            whole = around.format(*[body] * around.count("{}"))
+            words, want = S.words_of(whole), S.words_of(body)
+            places = [i for i in range(len(words) - len(want) + 1) if words[i : i + len(want)] == want]
+            got = [S.words_of(whole[a:b]) for a, b, f in scan.findings(whole) if f.license == name and f.verdict == "exact"]
+            assert sum(g == want for g in got) == len(places) == around.count("{}")
+
+
+def test_output_is_no_longer_than_the_text(spark):
+    line = " ".join(["Released under the MIT License."] * 300)
+    rows = [(1, line), (1, line), (None, line), (2, "Copyright nobody\n" * 20)]
+    got = S.license_blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 901 and sum(len(r.block) for r in got) <= sum(len(t) for _, t in rows)
+    assert all(t[r.first_char : r.end_char] == r.block for r in got for i, t in rows[:1] + rows[3:] if i == r.doc_id)
+
+
 def test_license_scan_of_awkward_rows(awkward, nothing):
     assert S.license_blocks(awkward).count() == 0 and S.license_blocks(nothing).count() == 0
 
