@@ -7,10 +7,13 @@ than one range, whatever the size of the table or of its largest group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from limner.plans.joins import if_small
 from limner.plans.staging import stage
@@ -35,18 +38,25 @@ def running_totals(
     """Inclusive running sums and whole-group sums, in ``order`` inside each ``by`` group.
 
     For each ``name -> column`` in ``totals`` the result gains ``name`` (running
-    sum up to and including the row) and ``name_all`` (sum over the group).
-    ``order`` has to be unique inside a group; aggregate to that level first.
+    sum up to and including the row) and ``name_all`` (sum over the group). Totals are whole numbers or doubles; a
+    missing one counts as 0. ``order`` has to be unique inside a group; aggregate to that level first.
+
+    Rows are shuffled once, to their range, where sums within the range are taken as the rows pass by in order. What
+    comes before a range is added after it was written.
     """
     by = list(by)
     order_cols = _as_columns(order)
     values = {name: (F.col(c) if isinstance(c, str) else c) for name, c in totals.items()}
-    staged = stage(
-        df.select("*", *[c.alias(f"_v_{n}") for n, c in values.items()])
+    kinds = dict(df.select(*[F.sum(c).alias(n) for n, c in values.items()]).dtypes)
+    numbers = [F.coalesce(c, F.lit(0)).cast("double" if kinds[n] == "double" else "long").alias(f"_v_{n}") for n, c in values.items()]
+    rows = (
+        df.select("*", *numbers, (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("_g"))
         .repartitionByRange(_range_count(df), *_as_columns(by), *order_cols)
-        .withColumn(_RANGE, F.spark_partition_id()),
-        "ranges",
+        .sortWithinPartitions(*_as_columns(by), *order_cols)
     )
+    shape = StructType([*rows.schema.fields, *[StructField(f"_l_{n}", rows.schema[f"_v_{n}"].dataType) for n in values]])
+    local = rows.mapInArrow(_prefix_sums(list(values)), shape).drop("_g")
+    staged = stage(local.withColumn(_RANGE, F.spark_partition_id()), "ranges")
 
     # One row per (group, range): bounded by the number of ranges plus groups.
     blocks = staged.groupBy(*by, _RANGE).agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in values])
@@ -57,26 +67,46 @@ def running_totals(
         *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_b_{n}").over(group).alias(f"{n}_all") for n in values],
     )
-
-    inside = (
-        Window.partitionBy(*by, _RANGE)
-        .orderBy(*order_cols)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = staged.select(
-        *df.columns, _RANGE, *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in values]
-    )
     on = None
     for c in [*by, _RANGE]:
         same = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
         on = same if on is None else on & same
-    return local.join(offsets, on).select(
+    return staged.join(offsets, on).select(
         *df.columns,
         *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in values],
         *[f"{n}_all" for n in values],
     )
 
 
+def _prefix_sums(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to sorted batches the running sums ``_l_name`` of ``_v_name`` since the last change of ``_g``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carried = None, dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("_g").to_numpy()
+            starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            if group is not None and keys[0] != group:
+                carried = dict.fromkeys(names, 0)
+            added = []
+            for name in names:
+                x = batch.column(f"_v_{name}").to_numpy().copy()
+                x[0] += carried[name]
+                if x.dtype.kind == "i":
+                    total = np.cumsum(x)
+                    total -= np.repeat(np.concatenate(([0], total[starts - 1])), np.diff(np.concatenate(([0], starts, [len(x)]))))
+                else:  # each group on its own, so that no digit of another one gets in
+                    total = np.concatenate([np.cumsum(part) for part in np.split(x, starts)])
+                carried[name] = total[-1]
+                added.append(pa.array(total))
+            group = keys[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *[f"_l_{n}" for n in names]])
+
+    return run
+
+
 def dense_index(df: DataFrame, order: Sequence[str | Column], name: str = "idx") -> DataFrame:
     """Number the rows 0..n-1 in ``order`` (which has to be unique)."""
     order_cols = _as_columns(order)

@@ -55,6 +55,24 @@ def test_running_totals_keep_a_null_group(spark):
     assert rows(out) == rows(spark.createDataFrame([(None, 1, 1, 3), (None, 2, 3, 3), ("a", 3, 3, 3)], "g string, v int, s long, t long"))
 
 
+def test_running_totals_shuffle_rows_once(spark):
+    """Negative and missing values, many groups and one over all ranges; the rows are in one exchange only, that to their ranges."""
+    data = [(None if i % 3 == 0 else f"g{i % 40}", i, None if i % 11 == 0 else (i * 37) % 19 - 9) for i in range(3000)]
+    df = spark.createDataFrame(data, "g string, i long, v int").repartition(7)
+    out = running_totals(df, ["i"], {"s": "v", "x": F.col("v") / 4}, by=["g"])
+    totals, want = {}, {}
+    for g, i, v in data:
+        totals[g] = totals.get(g, 0) + (v or 0)
+        want[i] = totals[g]
+    got = out.collect()
+    assert len(got) == 3000 and all((r.s, r.x, r.s_all, r.x_all) == (want[r.i], want[r.i] / 4, totals[r.g], totals[r.g] / 4) for r in got)
+    assert dict(out.dtypes)["s"] == "bigint" and dict(out.dtypes)["x"] == "double"
+    # what is read back is joined to one row for each group and range, without another exchange of the rows
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" not in plan.split("BroadcastExchange")[0] and "Window" not in plan.split("BroadcastExchange")[0]
+    assert running_totals(df.limit(0), ["i"], {"s": "v"}).count() == 0
+
+
 def test_exact_quantiles_match_numpy(numbers):
     data, df = numbers
     qs = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0)
