@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from functools import lru_cache
 
@@ -11,6 +12,8 @@ from tokenizers import Tokenizer
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker keeps for all its tasks, those it meets first, and further words it keeps until there are so many.
 KEPT, REMEMBERED = 120_000, 120_000
+#: Words of texts that are looked up together.
+_GROUP = 1 << 17
 
 # The word pattern of the vocabulary file, written out for texts of Latin-1 characters in lower case.
 _LETTER, _DIGIT, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\\x09-\\x0d\\x20\\x85\\xa0"
@@ -43,27 +46,51 @@ class WordTokens(dict):
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.rare: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.rare.get(word)
-        if ids is None:
-            ids = self._whole(word)
-            if len(self) < KEPT:
-                self[word] = ids
-            else:
-                if len(self.rare) >= REMEMBERED:
-                    self.rare.clear()
-                self.rare[word] = ids
-        return ids
-
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _learn(self, words: list[str]) -> None:
+        """Words that are not known yet, encoded in one go: blanks part words and have no ids."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        raw = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        ids = [raw[a:b] for a, b in itertools.pairwise(cuts)]
+        kept = max(0, min(KEPT - len(self), len(words)))
+        self.update(zip(words[:kept], ids[:kept], strict=True))
+        self.rare.update(zip(words[kept:], ids[kept:], strict=True))
+
+    def __missing__(self, word: str) -> bytes:
+        return self.rare[word]
+
+    def _plain(self, text: str) -> str | None:
+        """The text in lower case if it can be cut into words here."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self._whole(text)
-        text_lower = text.lower()
-        if any(x in text_lower for x in self.special):
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, _WORDS.findall(text_lower)))
+            return None
+        text = text.lower()
+        return None if any(x in text for x in self.special) else text
+
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = []
+        group: list[list[str] | bytes] = []
+        held = 0
+        for i, text in enumerate(texts):
+            plain = self._plain(text)
+            own = self._whole(text) if plain is None else _WORDS.findall(plain)
+            group.append(own)
+            held += len(own) if plain is not None else 0
+            if held > _GROUP or i + 1 == len(texts):
+                asked = set().union(*[x for x in group if isinstance(x, list)]).difference(self)
+                new = sorted(asked.difference(self.rare))
+                if len(self.rare) + len(new) > REMEMBERED:  # only what these texts need stays
+                    self.rare = {word: self.rare[word] for word in asked.intersection(self.rare)}
+                if new:
+                    self._learn(new)
+                out += [b"".join(map(self.__getitem__, x)) if isinstance(x, list) else x for x in group]
+                group, held = [], 0
+        return out
