@@ -122,6 +122,18 @@ def adaptive_split(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("source_row_idx", "split")
 
 
+@query(
+    having(
+        B.GEOM,
+        then="SELECT source_row_idx, CASE WHEN rn <= 900 THEN 'train' ELSE 'val' END AS split FROM (SELECT source_row_idx, row_number() OVER "
+        "(ORDER BY md5(CAST(source_row_idx AS VARCHAR) || '|7'), source_row_idx) AS rn FROM geom) WHERE rn <= 1000",
+    )
+)
+def adaptive_split_of_many_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """More rows than asked for: the sizes are as asked, and the rest is left out."""
+    return X.adaptive_split(B.geom(spark, sf), "source_row_idx", 900, 100, 7).select("source_row_idx", "split")
+
+
 @query(
     "SELECT vec_id, CAST(ntile(5) OVER (ORDER BY vec_id) - 1 AS INTEGER) AS fold FROM embeddings"
 )

@@ -23,6 +23,8 @@ from limner.functions.text import fill_template
 from limner.plans.staging import stage
 
 MAX_BANK_BYTES = 256 << 20
+#: Numbers of a bank that may stand in a plan.
+PLAN_VALUES = 1 << 16
 #: Size of either side of a tile.
 BLOCK_BYTES = 16 << 20
 
@@ -130,9 +132,9 @@ def score_classes(
     """Add ``out``: the best score per class over its prompts, in ``bank.class_ids`` order.
 
     ``engine="arrow"`` multiplies whole batches; ``engine="catalyst"`` evaluates the
-    same expression with built-in functions, for small banks.
+    same expression with built-in functions. Its bank is part of the plan, so one of more than ``PLAN_VALUES`` numbers goes the other way.
     """
-    if engine == "arrow":
+    if engine == "arrow" or (engine == "catalyst" and bank.vectors.size > PLAN_VALUES):
         scorer = linear_scorer(bank.vectors, bank.starts, unit=cosine)
         return items.withColumn(out, scorer(F.col(vector)))
     if engine != "catalyst":

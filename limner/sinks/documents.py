@@ -31,9 +31,9 @@ def nested_counts(counts: DataFrame, key: str, n: str) -> DataFrame:
     return counts.agg(F.map_from_entries(pairs).alias("counts"))
 
 
-def nested_rows(df: DataFrame, order: Sequence[Column], cols: Sequence[str], limit: int = 100) -> DataFrame:
-    """The first rows as one array of structs, for top-k lists."""
-    top = df.orderBy(*order).limit(limit)
+def nested_rows(df: DataFrame, order: Sequence[Column], cols: Sequence[str], limit: int | None = None) -> DataFrame:
+    """The first ``limit`` rows as one array of structs, for top-k lists; all rows of a table that is bounded by its meaning."""
+    top = df.orderBy(*order).limit(2**31 - 1 if limit is None else limit)  # a limit keeps the order
     return top.agg(F.collect_list(F.struct(*cols)).alias("rows"))
 
 
