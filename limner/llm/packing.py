@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from limner.llm.word_tokens import shared_words
-from limner.llm.words import tidy
+from limner.llm.words import text_groups, tidy
 from limner.plans.staging import stage
 
 CAPACITY = 4096
@@ -36,14 +36,16 @@ def _cut(capacity: int, end_id: int, path: str | None):
         words = shared_words(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = words.ids(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
+            for first, stop in text_groups(batch):
+                rows: list[list] = [[], [], [], [], []]
+                texts = [t or "" for t in batch.column("text").slice(first, stop - first).to_pylist()]
+                for doc, ids in zip(batch.column("doc_id").slice(first, stop - first).to_pylist(), words.ids_of(texts), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
         words.rare.clear()
 
     return run

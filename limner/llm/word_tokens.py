@@ -85,10 +85,10 @@ class WordTokens(dict):
             group.append(own)
             held += len(own) if plain is not None else 0
             if held > _GROUP or i + 1 == len(texts):
-                asked = set().union(*[x for x in group if isinstance(x, list)]).difference(self)
-                new = sorted(asked.difference(self.rare))
+                asked = [word for word in set().union(*[x for x in group if isinstance(x, list)]) if word not in self]
+                new = sorted(word for word in asked if word not in self.rare)
                 if len(self.rare) + len(new) > REMEMBERED:  # only what these texts need stays
-                    self.rare = {word: self.rare[word] for word in asked.intersection(self.rare)}
+                    self.rare = {word: self.rare[word] for word in asked if word in self.rare}
                 if new:
                     self._learn(new)
                 out += [b"".join(map(self.__getitem__, x)) if isinstance(x, list) else x for x in group]
