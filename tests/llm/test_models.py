@@ -94,10 +94,36 @@ def test_toxicity_of_awkward_rows(spark, awkward, nothing):
 
 def test_risk_never_falls_below_zero():
     """Toxic and unlabelled texts that are told apart by one feature alone."""
-    one = lambda b: (np.array([b], np.int32), np.array([3], np.int32), 100)
-    model = X.fit([one(5)] * 20, [one(5)] * 8 + [one(9)] * 72, prior=0.1)
-    at = model.column[5]
-    assert at >= 0 and model.weights[at] > 0 and model.column[9] < 0 and model.shift < 0
+    toxic, unlabelled = np.zeros(X.BUCKETS), np.zeros(X.BUCKETS)
+    toxic[5], unlabelled[5], unlabelled[9] = 20, 8, 72
+    chosen = X.chosen_buckets(toxic, unlabelled, 20, 80)
+    assert chosen.tolist() == [5]
+    value = X.density(np.array([3]), 100)
+    x = np.zeros((80, 1), np.float32)
+    x[:8] = value
+    weights, shift = X.fit(np.full((20, 1), value, np.float32), x, prior=0.1)
+    assert weights[0] > 0 and shift < 0
+
+
+def test_scores_are_those_of_a_plain_sum_over_grams(docs):
+    """The scores of texts, gram by gram in plain Python, from the model's table of features and weights."""
+    labels = docs.sparkSession.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = X.fit_toxicity(docs, labels, F.lit(True))
+    got = {r.doc_id: r.score for r in X.toxicity_scores(docs, model).collect()}
+    letters = {**{c: c - 96 for c in range(97, 123)}, **{c: c - 64 for c in range(65, 91)}, **{c: c for c in range(128, 256)}}
+    for row in docs.limit(25).collect():
+        raw = [0] * 5 + [letters.get(c, 0) for c in (row.text or "").encode()] + [0] * 5
+        hits = Counter()
+        for i in range(len(raw) - 5):
+            h = sum(raw[i + k] * int(X._TIMES[k]) for k in range(5)) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & 0xFFFFFFFF
+            at = int(model.column[h >> (32 - X.BUCKETS.bit_length() + 1)])
+            if at >= 0:
+                hits[at] += 1
+        size = len(raw) - 5
+        total = sum(model.weights[at] * min(n * 400 / (size + 200), 3) for at, n in hits.items()) + model.shift
+        assert abs(got[row.doc_id] - 1 / (1 + math.exp(-total))) < 1e-6, row.doc_id
 
 
 def brute(rows, held):
