@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,23 +177,58 @@ def quality_by_class(df: DataFrame, class_col: str) -> DataFrame:
     )
 
 
-def _pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+def _co_moments(cols: Sequence[str]):
+    """Of the rows of a task, per pair of columns: rows that have both, mean and spread of the first, co-moment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
+            there = ~np.isnan(x)
+            # shifted by a value of each column, so that a constant one has no spread at all
+            shift = np.where(there.any(axis=0), x[there.argmax(axis=0), np.arange(len(cols))], 0.0)
+            z = np.where(there, x - shift, 0.0)
+            m = there.astype(np.float64)
+            n, total = m.T @ m, z.T @ m
+            some = np.maximum(n, 1)
+            new = np.stack([n, shift[:, None] + total / some, (z * z).T @ m - total * total / some, z.T @ z - total * total.T / some])
+            state = new if state is None else merged_co_moments(state, new)
+        if state is not None:
+            yield pa.RecordBatch.from_pydict({"state": pa.array([state.ravel().tolist()], pa.list_(pa.float64()))})
+
+    return run
+
+
+def merged_co_moments(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The state of two sets of rows from the states of both."""
+    n = one[0] + two[0]
+    apart = np.where((one[0] > 0) & (two[0] > 0), two[1] - one[1], 0.0)
+    weight = one[0] * two[0] / np.maximum(n, 1)
+    mean = np.where(one[0] > 0, one[1], two[1]) + apart * two[0] / np.maximum(n, 1)
+    return np.stack([n, mean, one[2] + two[2] + apart * apart * weight, one[3] + two[3] + apart * apart.T * weight])
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair: ``c1, c2, r``; NULL when a column is constant or a pair has less than two rows.
 
-    One pass keeps a mergeable state for each pair: its rows, both means, both spreads and the co-moment. Rows that miss either
-    value of a pair are in no state of it, so tables with and without NULLs go through the same arithmetic.
+    One pass keeps a mergeable state for each pair: its rows, means, spreads and co-moment. Rows that miss either
+    value of a pair (NULL or NaN) are in no state of it, so tables with and without them go through the same arithmetic. The driver merges one
+    state for each task.
     """
-    x = {c: F.col(c).cast("double") for c in cols}
-    states = [
-        F.try_divide(F.regr_sxy(x[a], x[b]), F.sqrt(F.regr_syy(x[a], x[b])) * F.sqrt(F.regr_sxx(x[a], x[b]))).alias(f"r|{a}|{b}") for a, b in _pairs(cols)
-    ]
-    known = set(_pairs(cols))
-    cells = [F.struct(F.lit(a).alias("c1"), F.lit(b).alias("c2"), _finite(f"r|{a}|{b}" if (a, b) in known else f"r|{b}|{a}").alias("r")) for a, b in product(cols, cols)]
-    return df.agg(*states).select(F.inline(F.array(*cells)))
+    cols = list(cols)
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    k = len(cols)
+    state = None
+    for r in numbers.mapInArrow(_co_moments(cols), "state array<double>").collect():
+        new = np.array(r.state).reshape(4, k, k)
+        state = new if state is None else merged_co_moments(state, new)
+    cells = []
+    for (i, a), (j, b) in product(enumerate(cols), enumerate(cols)):
+        spread = 0.0 if state is None or state[0, i, j] < 2 else float(np.sqrt(max(state[2, i, j], 0.0)) * np.sqrt(max(state[2, j, i], 0.0)))
+        cells.append((a, b, float(state[3, i, j] / spread) if spread else None))
+    return df.sparkSession.createDataFrame(cells, "c1 string, c2 string, r double")
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence, top_k: int | None = None) -> DataFrame:

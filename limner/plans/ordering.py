@@ -152,13 +152,13 @@ def exact_quantiles(
     by, cols = list(by), list(cols)
     keys = [*by, "metric"]
     sketched = stage(_sketches(df, cols, qs, by), "sketches")
-    ends = _ranked_ends(_counted(df, cols, by, sketched), sketched, keys)
+    ends = stage(_ranked_ends(_counted(df, cols, by, sketched, len(qs)), sketched, keys), "quantiles")
     lost = ends.where("a IS NULL OR b IS NULL").select(*keys).distinct()
     if not lost.isEmpty():
         whole = F.array(F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")))
         again = sketched.alias("s").join(lost.alias("l"), _same(keys, "s", "l"), "left_semi").withColumn("brackets", whole)
         again = stage(again, "brackets")
-        found = _ranked_ends(_counted(df, cols, by, again), again, keys)
+        found = _ranked_ends(_counted(df, cols, by, again, 1), again, keys)
         ends = ends.alias("s").join(lost.alias("l"), _same(keys, "s", "l"), "left_anti").unionByName(found)
     return ends.select(*keys, "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("t")).alias("value"))
 
@@ -211,18 +211,24 @@ def _merged(pairs: Column) -> Column:
     return F.aggregate(F.array_sort(pairs), F.lit([]).cast("array<struct<lo:double,hi:double>>"), add)
 
 
-def _counted(df: DataFrame, cols: Sequence[str], by: list[str], brackets: DataFrame) -> DataFrame:
+def _counted(df: DataFrame, cols: Sequence[str], by: list[str], brackets: DataFrame, width: int) -> DataFrame:
     """``by, metric, slot, value, n``: rows with each value inside a bracket, and, without a value, those in front of bracket number ``slot``."""
-    metrics = F.map_from_entries(F.collect_list(F.struct("metric", "brackets"))).alias("_brackets")
-    groups = _hinted(brackets.groupBy(*by).agg(metrics)).alias("b")  # a list has one entry for each of ``cols``
+    # the ends of the brackets as columns, so that finding a value's place is plain comparisons
+    ends = [(i, c, j) for i, c in enumerate(cols) for j in range(width)]
+    sides = [F.max(F.when(F.col("metric") == c, F.get("brackets", F.lit(j))[side])).alias(f"_{side}{i}_{j}") for i, c, j in ends for side in ("lo", "hi")]
+    groups = _hinted(brackets.groupBy(*by).agg(*sides)).alias("b")
     rows = df.select(*by, *[_number(c).alias(f"_x{i}") for i, c in enumerate(cols)]).alias("s")
-    joined = rows.join(groups, _same(by, "s", "b"), "inner").select(*[F.col(f"s.{k}").alias(k) for k in by], *[f"_x{i}" for i in range(len(cols))], "_brackets")
+    bounds = [f"_{side}{i}_{j}" for i, _, j in ends for side in ("lo", "hi")]
+    joined = rows.join(groups, _same(by, "s", "b"), "inner").select(*[F.col(f"s.{k}").alias(k) for k in by], *[f"_x{i}" for i in range(len(cols))], *bounds)
 
     def cell(i: int, c: str) -> Column:
-        x, own = F.col(f"_x{i}"), F.try_element_at("_brackets", F.lit(c))
-        slot = F.size(F.filter(own, lambda p: p["hi"] < x)).alias("slot")
-        inside = F.exists(own, lambda p: (p["lo"] <= x) & (x <= p["hi"]))
-        return F.struct(F.lit(c).alias("metric"), slot, F.when(inside, x).alias("value"), (x.isNotNull() & own.isNotNull()).alias("is"))
+        x = F.col(f"_x{i}")
+        slot, inside = F.lit(0), F.lit(False)
+        for j in range(width):
+            lo, hi = F.col(f"_lo{i}_{j}"), F.col(f"_hi{i}_{j}")
+            slot = slot + F.when(hi < x, 1).otherwise(0)
+            inside = inside | F.coalesce((lo <= x) & (x <= hi), F.lit(False))
+        return F.struct(F.lit(c).alias("metric"), slot.alias("slot"), F.when(inside, x).alias("value"), (x.isNotNull() & F.col(f"_lo{i}_0").isNotNull()).alias("is"))
 
     cells = joined.select(*by, F.inline(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).where(F.col("is"))
     return cells.groupBy(*by, "metric", "slot", "value").agg(F.count("*").alias("n"))
