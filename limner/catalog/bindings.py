@@ -14,6 +14,7 @@ from limner.operators.images import geometry_features
 from limner.operators.scoring import Bank, load_bank, predict, score_classes
 from limner.plans.joins import if_small
 from limner.schemas import fields
+from limner.sources.shards import read_shards
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -28,6 +29,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def shards(spark: SparkSession, sf: str, name: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """A table as shards with their locator, be it stored as a file or as a folder of part files."""
+    return read_shards(spark, f"{sf}/{name}.parquet", schema, columns, glob="*")
+
+
 def rounded(df: DataFrame, digits: int = 9, **digits_of: int) -> DataFrame:
     """Round all double columns, so that the order of a sum does not show."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]

@@ -34,15 +34,16 @@ ROUNDED_6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
 
 @query("SELECT 'documents.parquet' AS shard, doc_id AS source_row_idx, doc_id, n_chars FROM documents")
 def shard_scan_with_locator(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.read_shards(spark, sf, B.DOCUMENT_SHARD, ["doc_id", "n_chars"], glob="documents.parquet")
+    rows = B.shards(spark, sf, "documents", B.DOCUMENT_SHARD, ["doc_id", "n_chars"])
+    rows = S.whole_shards(rows, S.part_starts(rows))
     name = F.element_at(F.split("source_shard", "/"), -1)
     return rows.select(name.alias("shard"), "source_row_idx", "doc_id", "n_chars")
 
 
 @query("SELECT 'documents.parquet' AS shard, count(*) AS n_rows FROM documents")
 def shard_row_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = S.read_shards(spark, sf, B.DOCUMENT_SHARD, [], glob="documents.parquet")
-    return S.shard_row_counts(rows).select(F.element_at(F.split("source_shard", "/"), -1).alias("shard"), "n_rows")
+    rows = B.shards(spark, sf, "documents", B.DOCUMENT_SHARD, [])
+    return S.shard_row_counts(rows.withColumn("source_shard", S.shard_of(F.col("source_shard")))).select(F.element_at(F.split("source_shard", "/"), -1).alias("shard"), "n_rows")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY lang) - 1 AS INTEGER) AS position, lang AS model FROM (SELECT DISTINCT lang FROM documents)")
@@ -715,7 +716,7 @@ def box_stats_by_orientation(spark: SparkSession, sf: str) -> DataFrame:
 )
 def audit_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.png(spark, sf)
-    return P.audit_report(rows, I.image_dims(rows, "payload", jpeg=False), S.bad_shards(spark, sf, B.DOCUMENT_SHARD, "documents.parquet"))
+    return P.audit_report(rows, I.image_dims(rows, "payload", jpeg=False), S.bad_shards(spark, f"{sf}/documents.parquet", B.DOCUMENT_SHARD))
 
 
 @query(
@@ -735,7 +736,10 @@ def audit_document_fields(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.png(spark, sf)
     numbered = running_totals(rows.select("source_shard", "source_row_idx"), ["source_row_idx"], {"at": F.lit(1)}, by=["source_shard"])
     placed = rows.join(numbered.select("source_shard", "source_row_idx", (F.col("at") - 1).alias("position")), ["source_shard", "source_row_idx"])
-    doc = audit_document(placed, A.audit_shards(spark, sf, ["o_orderkey"], "orders.parquet"), 5000, ["style", "genre"], position="position")
+    parts = A.audit_shards(spark, f"{sf}/orders.parquet", ["o_orderkey"]).withColumn("shard", S.shard_of(F.col("path")))
+    sizes = parts.select("shard", "path", "length").distinct().groupBy("shard").agg(F.sum("length").alias("length"))
+    audit = parts.drop("path", "length").join(sizes, "shard").withColumnRenamed("shard", "path")
+    doc = audit_document(placed, audit, 5000, ["style", "genre"], position="position")
     return doc.select(
         "parquet_shards", "parquet_bad_shards", "total_rows", "decoded_images", "decode_errors", F.col("distinct_style_ids"), "sample_duplicate_hashes",
         F.col("image_width.max").alias("max_width"), F.col("image_height.mean").alias("mean_height"), F.size("errors").cast("bigint").alias("n_errors"),

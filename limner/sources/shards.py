@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limner.plans.joins import if_small, lookup_join
+from limner.plans.ordering import running_totals
 from limner.plans.staging import stage
 from limner.schemas import require_columns
 
@@ -92,6 +93,28 @@ def shard_row_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_shard").agg(F.count("*").alias("n_rows"))
 
 
+def shard_of(path: Column) -> Column:
+    """The shard a file belongs to: the file itself, or the folder ``<name>.parquet`` around the part files of one shard."""
+    return F.regexp_replace(path, r"^(.*\.parquet)/.*$", "$1")
+
+
+def part_starts(rows: DataFrame) -> DataFrame:
+    """``source_shard, first_row`` of each file of ``read_shards``: the rows in the parts of its shard before it, in the order of their paths."""
+    counts = shard_row_counts(rows).withColumn("_shard", shard_of(F.col("source_shard")))
+    upto = running_totals(counts, ["source_shard"], {"_upto": "n_rows"}, by=["_shard"])
+    return upto.select("source_shard", (F.col("_upto") - F.col("n_rows")).alias("first_row"))
+
+
+def whole_shards(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows, or a stream of them, with the locator counted through all parts of a shard, given ``part_starts``.
+
+    A row of a file that ``starts`` does not know yet has no position.
+    """
+    placed = rows.join(starts, "source_shard", "left") if rows.isStreaming else lookup_join(rows, starts, ["source_shard"], "left")
+    here = {"source_shard": shard_of(F.col("source_shard")), "source_row_idx": F.col("source_row_idx") + F.col("first_row")}
+    return placed.select(*[here[c].alias(c) if c in here else c for c in rows.columns])
+
+
 def plain_path(path: Column) -> Column:
     """Path without its ``file:`` scheme, so that stored and listed paths compare equal."""
     return F.regexp_replace(path, r"^file:/+", "/")
