@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 from limner.catalog import bindings as B
 from limner.catalog.registry import having, query
 from limner.operators.images import image_dims
-from limner.plans.staging import scratch_path
+from limner.plans.staging import scratch_path, stage
 from limner.schemas import fields
+from limner.sources import shards
 from limner.streaming import ingest as I
 from limner.streaming import state as S
 
@@ -19,12 +20,17 @@ VECTOR_SHARD = fields(vec_id=T.LongType(), embedding=T.ArrayType(T.FloatType()),
 ORDER_SHARD = fields(o_orderkey=T.LongType(), o_custkey=T.LongType(), o_orderstatus=T.StringType(), o_totalprice=T.DoubleType())
 
 
+def _stream(spark: SparkSession, sf: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table as it arrives, be it stored as a file or as a folder of part files: a pattern (here of one name) stands for both."""
+    return I.stream_shards(spark, f"{sf}/{{{name}.parquet}}", schema, "*")
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return I.stream_shards(spark, sf, B.DOCUMENT_SHARD, "documents.parquet")
+    return _stream(spark, sf, "documents", B.DOCUMENT_SHARD)
 
 
 def _payloads(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.stream_shards(spark, sf, ORDER_SHARD, "orders.parquet")
+    rows = _stream(spark, sf, "orders", ORDER_SHARD)
     sized = rows.select(
         "source_shard", "source_row_idx", (1 + F.col("o_custkey") % 4000).alias("w"), (1 + F.floor("o_totalprice") % 3000).alias("h"), "o_orderkey"
     )
@@ -36,9 +42,11 @@ def _payloads(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id AS source_row_idx, doc_id, md5(text) AS image_hash FROM documents")
 def streamed_rows_cache(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "stream-cache")
-    rows = _documents(spark, sf).select("source_row_idx", "doc_id", F.md5(F.encode("text", "UTF-8")).alias("image_hash"))
+    starts = stage(shards.part_starts(B.shards(spark, sf, "documents", B.DOCUMENT_SHARD, [])), "part-starts")
+    rows = shards.whole_shards(_documents(spark, sf), starts)
+    rows = rows.select("source_row_idx", "doc_id", F.md5(F.encode("text", "UTF-8")).alias("image_hash"))
     I.stream_to_cache(rows, path).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(path)
+    return I.read_rows(spark, path, rows.schema)
 
 
 @query("SELECT doc_id FROM documents")
@@ -46,8 +54,9 @@ def streamed_cache_resumed(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs over one checkpoint: the second goes on behind the first and adds no row again."""
     path, checkpoint = scratch_path(spark, "resumed-cache"), scratch_path(spark, "resumed-state")
     for _ in range(2):
-        I.stream_to_cache(_documents(spark, sf).select("doc_id"), path, checkpoint).awaitTermination()
-    return spark.read.parquet(path)
+        rows = _documents(spark, sf).select("doc_id")
+        I.stream_to_cache(rows, path, checkpoint).awaitTermination()
+    return I.read_rows(spark, path, rows.schema)
 
 
 @query("SELECT DISTINCT md5(text) AS image_hash FROM documents")
@@ -65,10 +74,11 @@ def streamed_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(having(B.GEOM, B.PNG, then="SELECT error IS NULL AS valid, count(*) AS n, CAST(sum(width) AS BIGINT) AS total_width FROM png GROUP BY 1"))
 def streamed_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     good, bad = scratch_path(spark, "good"), scratch_path(spark, "bad")
-    I.stream_with_quarantine(_payloads(spark, sf), good, bad).awaitTermination()
-    counted = lambda path, flag: spark.read.parquet(path).agg(
+    rows = _payloads(spark, sf)
+    I.stream_with_quarantine(rows, good, bad).awaitTermination()
+    counted = lambda path, flag: I.read_rows(spark, path, rows.schema if not flag else rows.drop("error").schema).agg(
         F.lit(flag).alias("valid"), F.count("*").alias("n"), F.sum("width").alias("total_width")
-    )
+    ).where("n > 0")
     return counted(good, True).unionByName(counted(bad, False))
 
 
@@ -77,7 +87,7 @@ def streamed_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "first")
     rows = _documents(spark, sf).select("source_shard", "source_row_idx", "doc_id")
     I.take_good_rows(rows, path, 150).awaitTermination()
-    return spark.read.parquet(path).select("doc_id")
+    return I.read_rows(spark, path, rows.schema).select("doc_id")
 
 
 @query(having(B.VEC, B.SCORES, then="SELECT vec_id, pred_label, true_rank FROM preds"))
@@ -94,7 +104,7 @@ def _scored_stream(spark: SparkSession, sf: str, then, mode: str) -> DataFrame:
     rows = B.bank_rows(spark, sf)
     bank = B.bank_of(rows)
     prompts = rows.select(F.col("bank_id").alias("vec_id"))
-    items = I.stream_shards(spark, sf, VECTOR_SHARD, "embeddings.parquet").join(prompts, "vec_id", "left_anti")
+    items = _stream(spark, sf, "embeddings", VECTOR_SHARD).join(prompts, "vec_id", "left_anti")
     return S.drain(then(S.stream_score(items, bank, "embedding", "label")), "scores", mode)
 
 

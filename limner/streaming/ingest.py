@@ -55,6 +55,13 @@ def stream_to_cache(df: DataFrame, path: str, checkpoint: str | None = None) ->
     )
 
 
+def read_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of ``schema`` that streams have written below ``path``; none if no batch had any."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
 def stream_with_quarantine(
     df: DataFrame, good_path: str, bad_path: str, error: str = "error", checkpoint: str | None = None
 ) -> StreamingQuery:
