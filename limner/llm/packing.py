@@ -46,7 +46,7 @@ def _cut(capacity: int, end_id: int, path: str | None):
                         for column, value in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
-        words.rare.clear()
+        words.forget()
 
     return run
 

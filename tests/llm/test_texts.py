@@ -318,6 +318,19 @@ def test_words_are_kept_up_to_a_bound(monkeypatch):
         assert len(words) <= 3 and len(words.rare) <= 4
 
 
+def test_words_met_again_are_not_encoded_again(monkeypatch):
+    letters = [chr(97 + i) for i in range(26)]
+    many = [f"{a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:17]]
+    words, learnt = WordTokens(), []
+    monkeypatch.setattr(words, "_learn", lambda new, learn=words._learn: (learnt.extend(new), learn(new)))
+    texts = [" ".join(many[i : i + 1000]) for i in range(0, len(many), 1000)]
+    first = [words.ids(text) for text in texts]
+    assert first == [words.ids(text) for text in texts] and len(learnt) == len(many) == 298_792
+    words.forget()
+    assert len(words.known) == len(words) == 120_000
+    assert np.frombuffer(first[-1], "<u4").tolist() == Tokenizer.from_file(vocabulary_path()).encode(texts[-1], add_special_tokens=False).ids
+
+
 def test_runs_of_a_plan_do_not_grow_with_the_pieces():
     rng = np.random.default_rng(4)
     shape = np.minimum(rng.lognormal(6, 1.2, 200_000).astype(int) + 2, 4096)
