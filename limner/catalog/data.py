@@ -23,7 +23,7 @@ from limner.sinks.documents import highlights, profile_report
 from limner.sinks.tables import config_hash, pending_work, read_manifest, write_csv, write_manifest
 from limner.sources import shard_audit as A
 from limner.sources import shards as S
-from limner.sources.shard_audit import break_a_page, cut_the_footer, local_shards
+from limner.sources.shard_audit import break_pages, cut_the_footer, local_shards
 from limner.sources.tables import materialize_once, read_config_list, read_index, resolve_defaults_columns
 
 ROUNDED_6 = "CAST(printf('%.6f', {}) AS DOUBLE)"
@@ -71,13 +71,17 @@ def unreadable_shards(spark: SparkSession, sf: str) -> DataFrame:
        FROM documents GROUP BY doc_id % 4"""
 )
 def damaged_shards(spark: SparkSession, sf: str) -> DataFrame:
-    """A copy of the documents in four shards, one with a broken page and one without its footer, audited in one pass."""
+    """A copy of the documents in four shards, one with broken pages and one without footers, audited in one pass.
+
+    Each task writes what it has read to a file of each shard, so that no file is larger than what one task reads.
+    """
     path = scratch_path(spark, "damaged")
     copy = B.table(spark, sf, "documents").withColumn("part", (F.col("doc_id") % 4).cast("int"))
-    copy.repartition(4, "part").write.option("parquet.block.size", 1 << 40).option("parquet.page.write-checksum.enabled", True).partitionBy("part").parquet(path)
+    copy.write.option("parquet.page.write-checksum.enabled", True).partitionBy("part").parquet(path)
     local = path.removeprefix("file://")
-    for part, harm in ((1, break_a_page), (2, cut_the_footer)):
-        harm(local_shards(local, f"part={part}")[0])
+    for part, harm in ((1, break_pages), (2, cut_the_footer)):
+        for file in local_shards(local, f"part={part}"):
+            harm(file)
     audit = A.audit_shards(spark, local, ["doc_id", "text"])
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part")
     whole = F.sum(F.when(F.col("error").isNull(), F.col("n_rows")))

@@ -125,15 +125,21 @@ def local_shards(root: str, part: str) -> list[str]:
     return sorted(str(p) for p in Path(root).rglob("*.parquet") if part in p.parts)
 
 
-def break_a_page(path: str) -> None:
-    """Overwrite some bytes in the middle of the first column's data of a file on this machine's disk, for tests of the audit."""
-    column = pq.ParquetFile(path).metadata.row_group(0).column(0)
+def break_a_page(path: str, group: int = 0) -> None:
+    """Overwrite some bytes in the middle of the first column's data of a row group of a file on this machine's disk, for tests of the audit."""
+    column = pq.ParquetFile(path).metadata.row_group(group).column(0)
     with open(path, "r+b") as f:
         begin = min(column.data_page_offset, column.dictionary_page_offset or column.data_page_offset)
         f.seek((column.data_page_offset + begin + column.total_compressed_size) // 2)
         f.write(b"\xff" * 16)
 
 
+def break_pages(path: str) -> None:
+    """``break_a_page`` in every row group of a file."""
+    for group in range(pq.ParquetFile(path).metadata.num_row_groups):
+        break_a_page(path, group)
+
+
 def cut_the_footer(path: str) -> None:
     """Take the last bytes of a file on this machine's disk, for tests of the audit."""
     with open(path, "r+b") as f:

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as contract
+from limner.catalog import data
 from limner.catalog.bindings import TABLES
 from tests.conftest import TESTDATA
 from tests.test_catalog import _sorted
@@ -55,3 +56,22 @@ def test_streams_of_tables_without_files(spark, tmp_path, name):
         pq.write_table(pq.read_table(f"{TESTDATA}/sf0.001/documents.parquet").slice(0, 0), tmp_path / "documents.parquet" / "part-0.parquet")
     df = contract.queries()[name](spark, str(tmp_path))
     assert df.collect() == con.sql(contract.oracle_sql()[name]).fetchall()
+
+
+def test_damaged_shards_are_written_and_broken_in_many_files(spark, parted, tmp_path, monkeypatch):
+    root, con = parted
+    written = tmp_path / "copy"
+    monkeypatch.setattr(data, "scratch_path", lambda spark, label: str(written))
+    monkeypatch.setattr(data, "local_shards", lambda root, part, found=data.local_shards: [_cut_into_groups(f) for f in found(root, part)])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each part
+    try:
+        got = sorted(tuple(r) for r in data.damaged_shards(spark, root).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list(written.glob("part=1/*.parquet"))) == 3
+    assert got == sorted(con.sql(contract.oracle_sql()["damaged_shards"]).fetchall())
+
+
+def _cut_into_groups(path: str) -> str:
+    pq.write_table(pq.ParquetFile(path).read(), path, row_group_size=5, write_page_checksum=True)
+    return path
