@@ -202,8 +202,12 @@ def cross_entropy(df: DataFrame, logits: str, label: str) -> DataFrame:
     )
 
 
-#: Rows of a batch that are multiplied at once; larger batches are cut into tiles of so many rows and columns.
+#: Rows of a batch that are multiplied at once; larger batches are cut into tiles of at least so many rows and columns.
 TILE = 1_024
+#: Tiles along a side of a batch while a tile's side is within ``SIDE_BYTES``: every vector is shuffled so many times, however many there are.
+SIDES, SIDE_BYTES = 16, 64 << 20
+#: Products of a tile that are in memory at once, and the largest scale whose exponentials need no maximum of their own.
+_PRODUCTS, _SAFE_SCALE = 1 << 18, 300.0
 
 
 def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: int = 8, scale: float = 100.0) -> DataFrame:
@@ -211,7 +215,8 @@ def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: i
 
     Batches are cut from the row order. Only the key is numbered; the vectors move to their batch. A batch
     of more than ``TILE`` pairs is cut into tiles, and its logarithms of sums are merged from the largest value and the sum of each
-    tile, so that no task holds a batch.
+    tile, so that no task holds a batch. All products are taken; what is shuffled grows with the rows up to ``SIDES`` tiles of
+    ``SIDE_BYTES`` a side, and with their square beyond.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be 1 or more")
@@ -231,10 +236,13 @@ def contrastive_loss(pairs: DataFrame, order: str, a: str, b: str, batch_size: i
 
 
 def _tiled_loss(rows: DataFrame, batch_size: int, scale: float) -> DataFrame:
-    """``batch_id, n, loss`` of ``batch_id, _at, _a, _b`` by tiles of ``TILE`` rows and columns of each batch."""
-    longest = rows.agg(F.max("_at")).first()[0]
-    tiles = 1 if longest is None else longest // TILE + 1
-    own = F.expr(f"_at div {TILE}").cast("int")
+    """``batch_id, n, loss`` of ``batch_id, _at, _a, _b`` by tiles of rows and columns of each batch."""
+    found = rows.agg(F.max("_at").alias("last"), F.max(F.size("_a")).alias("dim")).first()
+    longest = 0 if found.last is None else found.last + 1
+    most = max(TILE, SIDE_BYTES // (8 * (found.dim or 1) + 64))
+    length = min(most, max(TILE, -(-longest // SIDES)))
+    tiles = max(1, -(-longest // length))
+    own = F.expr(f"_at div {length}").cast("int")
     each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     left = rows.select("batch_id", "_at", F.col("_a").alias("v"), own.alias("_i"), each.alias("_j"))
     # columns of its own, so that the two sides of one table can be told apart
@@ -245,13 +253,12 @@ def _tiled_loss(rows: DataFrame, batch_size: int, scale: float) -> DataFrame:
         if a.num_rows and b.num_rows:
             at, x = _sides(a)
             to, y = _sides(b)
-            z = scale * x @ y.T
             diagonal = np.full(len(at), np.nan)
             meet = np.intersect1d(at, to, return_indices=True)
-            diagonal[meet[1]] = z[meet[1], meet[2]]
-            for side, place, values, mine in ((0, at, z, diagonal), (1, to, z.T, np.full(len(to), np.nan))):
-                top = values.max(axis=1)
-                for name, column in zip(out, (np.full(len(place), a["batch_id"][0].as_py()), place, np.full(len(place), side), top, np.exp(values - top[:, None]).sum(axis=1), mine), strict=True):
+            diagonal[meet[1]] = scale * np.einsum("ij,ij->i", x[meet[1]], y[meet[2]])
+            across, down = _exponentials(scale * x, y, abs(scale))
+            for side, place, (top, total), mine in ((0, at, across, diagonal), (1, to, down, np.full(len(to), np.nan))):
+                for name, column in zip(out, (np.full(len(place), a["batch_id"][0].as_py()), place, np.full(len(place), side), top, total, mine), strict=True):
                     out[name].append(column)
         columns = [np.concatenate(x) if x else np.zeros(0) for x in out.values()]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
@@ -267,6 +274,31 @@ def _tiled_loss(rows: DataFrame, batch_size: int, scale: float) -> DataFrame:
     return each_row.groupBy("batch_id").agg(n.cast("int").alias("n"), ((F.sum("lse") - 2 * F.sum("own")) / (2 * n)).alias("loss"))
 
 
+def _exponentials(x: np.ndarray, y: np.ndarray, bound: float) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """``largest value, sum of exponentials relative to it`` of the rows and of the columns of ``x @ y.T``, some of it at a time.
+
+    No product of unit vectors is beyond ``bound``. A small one stands for the largest value, so that one exponential serves both sides.
+    """
+    safe = bound <= _SAFE_SCALE
+    sides = [(np.full(len(v), bound if safe else -np.inf), np.zeros(len(v))) for v in (x, y)]
+    wide = min(len(y), 2_048)
+    high = max(1, _PRODUCTS // wide)
+    for i in range(0, len(x), high):
+        for j in range(0, len(y), wide):
+            z = x[i : i + high] @ y[j : j + wide].T
+            if safe:
+                z -= bound
+                np.exp(z, out=z)
+                sides[0][1][i : i + high] += z.sum(axis=1)
+                sides[1][1][j : j + wide] += z.sum(axis=0)
+                continue
+            for (top, total), at, values in ((sides[0], slice(i, i + high), z), (sides[1], slice(j, j + wide), z.T)):
+                best = np.maximum(top[at], values.max(axis=1))
+                total[at] = total[at] * np.exp(top[at] - best) + np.exp(values - best[:, None]).sum(axis=1)
+                top[at] = best
+    return sides[0], sides[1]
+
+
 def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     at = rows["_at"].to_numpy()
     order = np.argsort(at)

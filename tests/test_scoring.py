@@ -303,3 +303,16 @@ def test_tiled_losses_are_those_of_whole_batches(spark, monkeypatch, n):
         tiled = rows(M.contrastive_loss(df, "id", "x", "y", size))
         assert [r[:2] for r in whole] == [r[:2] for r in tiled] and np.allclose([r[2] for r in whole], [r[2] for r in tiled], atol=1e-9)
     assert M.contrastive_loss(df.limit(0), "id", "x", "y", 50).count() == 0
+
+
+@pytest.mark.parametrize("scale", [100.0, 5000.0])
+def test_tiles_of_a_batch_do_not_grow_in_number(spark, monkeypatch, scale):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)], [float(i % 5), 2.0, float(i % 11)]) for i in range(300)], "id long, x array<double>, y array<double>")
+    whole = rows(M.contrastive_loss(df, "id", "x", "y", 300, scale))
+    monkeypatch.setattr(M, "TILE", 2)
+    monkeypatch.setattr(M, "SIDES", 3)
+    monkeypatch.setattr(M, "_PRODUCTS", 50)
+    tiles = M.contrastive_loss(df, "id", "x", "y", 300, scale)
+    assert "sequence(0, 2," in tiles._jdf.queryExecution().analyzed().toString()  # three, not one for every two rows
+    tiled = rows(tiles)
+    assert [r[:2] for r in tiled] == [r[:2] for r in whole] and tiled[0][2] == pytest.approx(whole[0][2], rel=1e-12)
