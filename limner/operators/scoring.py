@@ -144,8 +144,10 @@ def score_classes(
     v = V.l2_normalize(v) if cosine else v
     ends = [*bank.starts[1:], len(rows)]
     stacked = V.constant([rows[a:b] for a, b in zip(bank.starts, ends)])
-    best = F.transform(stacked, lambda prompts: F.array_max(V.project(F.col("_v"), prompts)))
-    return items.withColumn("_v", v).withColumn(out, best).drop("_v")
+    # bound as an element, so that no prompt and no term computes the unit vector again; the work of a row is worth moving it to all cores
+    best = F.transform(F.array(v), lambda unit: F.transform(stacked, lambda prompts: F.array_max(V.project(unit, prompts))))
+    spread = items.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.withColumn(out, F.get(best, F.lit(0)))
 
 
 @dataclass(frozen=True)

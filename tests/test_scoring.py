@@ -316,3 +316,12 @@ def test_tiles_of_a_batch_do_not_grow_in_number(spark, monkeypatch, scale):
     assert "sequence(0, 2," in tiles._jdf.queryExecution().analyzed().toString()  # three, not one for every two rows
     tiled = rows(tiles)
     assert [r[:2] for r in tiled] == [r[:2] for r in whole] and tiled[0][2] == pytest.approx(whole[0][2], rel=1e-12)
+
+
+def test_built_in_scores_use_all_cores(spark):
+    items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, v array<double>").coalesce(1)
+    bank = S.Bank([4, 7], [0, 2], np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]))
+    scored = S.score_classes(items, bank, "v", engine="catalyst")
+    assert scored.select(F.spark_partition_id()).distinct().count() == 4
+    plain = {r.id: r.class_scores for r in S.score_classes(items, bank, "v").collect()}
+    assert all(np.allclose(r.class_scores, plain[r.id], atol=1e-12) for r in scored.collect())
