@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limner.llm.words import tidy
+from limner.llm.words import give_back, tidy
 from limner.plans.joins import lookup_join
 
 WINDOW = 256
@@ -185,7 +185,10 @@ def fit_language_model(docs: DataFrame, learn: Column, per_language: int = TEXTS
     labels = sorted({r.lang for r in sample})
     number = {lang: i for i, lang in enumerate(labels)}
     x = np.frombuffer(b"".join(r.part for r in sample), np.uint8).reshape(-1, WINDOW)
-    return ByteCNN.new(labels).fit(x, np.array([number[r.lang] for r in sample]))
+    model = ByteCNN.new(labels).fit(x, np.array([number[r.lang] for r in sample]))
+    del sample, x
+    give_back()
+    return model
 
 
 def _predicted(model: ByteCNN | None):

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from limner.llm.components import components
+from limner.llm.components import stars
 from limner.llm.frequent import most_frequent
-from limner.llm.words import mix, shingle_sets, text_groups, tidy, word_hashes
+from limner.llm.words import give_back, mix, shingle_sets, text_groups, tidy, word_hashes
 from limner.plans.staging import stage
 
 WIDTH = 5
@@ -223,12 +223,17 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(_may_reach(percent), "a long, b long")
 
 
+def _with_component(nodes: DataFrame, joined: DataFrame, *columns: str) -> DataFrame:
+    """``d`` and the component ``c`` of each node, which is the node itself unless it hangs on another in ``joined``."""
+    return nodes.join(joined, F.col("d") == F.col("u"), "left").select("d", F.coalesce("v", "d").alias("c"), *columns)
+
+
 def _cross_pairs(lists: DataFrame, nodes: DataFrame, joined: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of a list whose texts are not connected and may reach the threshold.
 
     Lists longer than BLOCK are dealt into blocks, and each pair of blocks is its own task row group.
     """
-    owner = nodes.join(joined, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c"))
+    owner = _with_component(nodes, joined)
     every_row = Window.partitionBy("h")
     rows = lists.join(owner, "d").withColumns({
         "lo": F.min("c").over(every_row), "hi": F.max("c").over(every_row), "size": F.count("*").over(every_row),
@@ -259,7 +264,7 @@ def _segments(width: int, fragments: int, wanted: np.ndarray):
                 place = (values >> np.uint64(64 - fragments.bit_length() + 1)).astype(np.int64)
                 digests = _digests(values, bounds)
                 own = batch.column("row_no").slice(start, stop - start).to_pylist()
-                rows: dict[str, list] = {"row_no": [], "d": [], "fragment": [], "part": []}
+                rows: dict[str, list] = {"row_no": [], "d": [], "n": [], "fragment": [], "part": []}
                 for i in range(stop - start):
                     a, b = bounds[i], bounds[i + 1]
                     cuts = a + np.searchsorted(place[a:b], np.arange(fragments + 1))
@@ -267,9 +272,10 @@ def _segments(width: int, fragments: int, wanted: np.ndarray):
                         if cuts[f] < cuts[f + 1]:
                             rows["row_no"].append(own[i])
                             rows["d"].append(digests[i])
+                            rows["n"].append(b - a)
                             rows["fragment"].append(f)
                             rows["part"].append(values[cuts[f] : cuts[f + 1]].tobytes())
-                yield _batch(row_no=pa.array(rows["row_no"], pa.int64()), d=pa.array(rows["d"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
+                yield _batch(row_no=pa.array(rows["row_no"], pa.int64()), d=pa.array(rows["d"], pa.int64()), n=pa.array(rows["n"], pa.int64()), fragment=pa.array(rows["fragment"], pa.int32()), part=pa.array(rows["part"], pa.binary()))
 
     return run
 
@@ -283,7 +289,7 @@ def _partial_overlaps(batches):
             both = np.concatenate((np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64)))
             both.sort()
             common[i] = np.count_nonzero(both[1:] == both[:-1])
-        yield _batch(a=batch.column("a"), b=batch.column("b"), fragment=batch.column("fragment"), common=common)
+        yield _batch(**{k: batch.column(k) for k in ("a", "b", "n_a", "n_b")}, common=common)
 
 
 def _crossing(percent: int, every: bool):
@@ -374,28 +380,30 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _met(parts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Fragments of both sides of each pair, from one row of each digest, however many rows with its set passed the bitmap."""
-    rows = parts.groupBy("d").agg(F.min("row_no").alias("row_no"))
+def _met(parts: DataFrame, pairs: DataFrame, *about: str) -> DataFrame:
+    """Fragments of both sides of each pair, from one row of each digest, however many rows with its set passed the bitmap.
+
+    ``about`` names columns of ``parts`` that are the same in all rows of a digest; they come for both sides.
+    """
+    rows = parts.groupBy("d").agg(F.min("row_no").alias("row_no"), *[F.first(c).alias(c) for c in about])
     for side in ("a", "b"):
-        pairs = pairs.join(rows.select(F.col("d").alias(side), F.col("row_no").alias(f"row_{side}")), side)
-    left, right = (parts.select(F.col("d").alias(x), F.col("row_no").alias(f"row_{x}"), "fragment", F.col("part").alias(f"part_{x}")) for x in ("a", "b"))
-    return pairs.join(right, ["b", "row_b"]).join(left, ["a", "row_a", "fragment"]).select("a", "b", "fragment", "part_a", "part_b")
+        pairs = pairs.join(rows.select(F.col("d").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("row_no", *about)]), side)
+    left, right = (parts.select(F.col("d").alias(x), F.col("row_no").alias(f"row_no_{x}"), "fragment", F.col("part").alias(f"part_{x}")) for x in ("a", "b"))
+    met = pairs.join(right, ["b", "row_no_b"]).join(left, ["a", "row_no_a", "fragment"])
+    return met.select("a", "b", "fragment", "part_a", "part_b", *[f"{c}_{x}" for c in about for x in ("a", "b")])
 
 
 def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int = WIDTH, fragments: int = FRAGMENTS) -> DataFrame:
-    """``(a, b, common)`` for pairs of digests: the partial overlaps of all fragments, summed per pair."""
+    """``(a, b, common, n_a, n_b)`` for pairs of digests with anything in common: the partial overlaps of all fragments, summed per pair, and the sizes."""
     asked = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(nodes.select("d", "doc_id"), "d")
     source = docs.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM_BITS)).alias("bucket"), F.monotonically_increasing_id().alias("row_no")).where("doc_id IS NOT NULL")
-    parts = stage(source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "row_no long, d long, fragment int, part binary"), "segments")
-    counted = _met(parts, pairs.select("a", "b")).mapInArrow(_partial_overlaps, "a long, b long, fragment int, common long")
-    return counted.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    parts = stage(source.mapInArrow(_segments(width, fragments, _bitmap(asked)), "row_no long, d long, n long, fragment int, part binary"), "segments")
+    counted = _met(parts, pairs.select("a", "b"), "n").mapInArrow(_partial_overlaps, "a long, b long, n_a long, n_b long, common long")
+    return counted.groupBy("a", "b").agg(F.sum("common").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
 
 def _links(docs, nodes, pairs, width, percent) -> DataFrame:
-    size = nodes.select("d", "n")
     found = overlaps(docs, nodes, pairs, width)
-    found = found.join(size.select(F.col("d").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("d").alias("b"), F.col("n").alias("n_b")), "b")
     return found.where(f"100 * common >= {percent} * (n_a + n_b - common)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -413,8 +421,8 @@ def shingle_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     seen = stage(seen, "sets")
     own = seen.where("kind = 0").select("doc_id", F.col("value").alias("d"), "n", "parity")
     counted = stage(seen.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")), "frequent")
-    top = most_frequent(counted, counters)
-    last = np.sort(np.array([r.value for r in top], np.int64).view(np.uint64))
+    last = np.sort(np.array([r.value for r in most_frequent(counted, counters)], np.int64).view(np.uint64))
+    give_back()
 
     members = own.where("n > 0 AND doc_id IS NOT NULL")
     nodes = stage(members.groupBy("d").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("parity").alias("parity")), "nodes")
@@ -424,16 +432,17 @@ def shingle_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     star = lists.where("a != d").select("a", F.col("d").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = stage(_possible(star, nodes, percent), "pairs")
-    links = stage(_links(docs, nodes, tested, width, percent), "linked")
+    joined = stars(stage(_links(docs, nodes, tested, width, percent), "linked"))
     for every in (False, True):
-        joined = components(links)
         crossing = _cross_pairs(lists, nodes, joined, percent, every).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         crossing = stage(crossing, "pairs")
-        if crossing.limit(1).count():
-            links = stage(links.union(_links(docs, nodes, crossing, width, percent)), "linked")
+        if not crossing.isEmpty():
+            # what is connected stays so: the stars take in the new links
+            links = stage(_links(docs, nodes, crossing, width, percent), "linked")
+            if not links.isEmpty():
+                joined = stars(joined.union(links))
             tested = tested.union(crossing)
-    joined = components(links)
-    merged = nodes.join(joined, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c"), "doc_id")
+    merged = _with_component(nodes, joined, "doc_id")
     least = merged.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     labels = merged.join(least, "c").select("d", "component_id")
     out = own.join(labels, "d", "left")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from limner.llm.words import text_bytes, text_groups, tidy
+from limner.llm.words import give_back, text_bytes, text_groups, tidy
 from limner.plans.staging import discard, stage
 
 GRAM = 5
@@ -201,7 +201,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, toxic_texts:
     discard(sets)
     x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, len(chosen)) if len(chosen) else np.zeros((table.num_rows, 0), np.float32)
     kind = table["kind"].to_numpy()
-    weights, shift = fit(x[kind == 1], x[kind == 0], prior)
+    toxic, unlabelled = x[kind == 1], x[kind == 0]
+    del table, x, met, counts
+    weights, shift = fit(toxic, unlabelled, prior)
+    del toxic, unlabelled
+    give_back()
     return Classifier(column, weights, shift)
 
 

@@ -44,7 +44,7 @@ _FAR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def give_back() -> None:
-    """Hand freed memory of this worker process back to the system: idle workers are kept for other stages and would hold it."""
+    """Hand freed memory of this process back to the system: idle workers are kept for other stages, a driver goes on to others, and both would hold it."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL(None).malloc_trim(0)

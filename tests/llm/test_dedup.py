@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from limner.llm import ngram_join as N
-from limner.llm.components import components
+from limner.llm.components import components, stars
 from limner.llm.exact_dedup import exact_duplicates
 from limner.llm.line_dedup import line_bitmaps, line_report, without_repeated_lines
 from limner.llm.words import shingle_sets, word_endings, word_hashes
@@ -84,6 +84,22 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 150: 100}
 
 
+def test_new_links_are_taken_in_by_known_components(spark):
+    """Few jobs for a chain of near duplicates: stars are checked in one pass, and later links join those that were found."""
+    known = stars(spark.createDataFrame([(3, 1), (2, 1), (9, 5)], "u long, v long"))
+    assert sorted(tuple(r) for r in stars(known.union(spark.createDataFrame([(9, 3), (8, 7)], "u long, v long"))).collect()) == [(2, 1), (3, 1), (5, 1), (8, 7), (9, 1)]
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:i] + [f"x{k}" for k in range(i)] + words[2 * i :])) for i in range(8)] + [(20 + i, " ".join(words[i : i + 45])) for i in range(16)]
+    group = "test_new_links_are_taken_in_by_known_components"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == expected_groups(rows)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 130  # 174 when every search began anew
+
+
 def test_word_hashes_follow_words():
     texts = ["The  cat\tsat", "", None, "THE cat", "x" * 9000 + " cat", "the\x1ccat"]
     hashes, before = word_hashes(pa.array(texts))
